@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 TEMPLATES = [
     "SELECT * FROM raw.t~a",
     "INSERT INTO t~b SELECT x.id, SUM(x.v) AS total FROM t~a x JOIN raw.t~c y ON x.id = y.id WHERE x.d > 10 GROUP BY x.id",
-    "WITH s AS (SELECT id FROM t~a), u AS (SELECT id FROM t~c) SELECT s.id FROM s ORDER BY s.id LIMIT 10",
+    "WITH src AS (SELECT id, extra FROM t~a), spare AS (SELECT id FROM t~c) SELECT src.id FROM src ORDER BY src.id LIMIT 10",
     "UPDATE t~b SET v = 1",
     "DELETE FROM t~b WHERE id IN (SELECT id FROM t~a)",
     "CREATE VIEW v~b AS SELECT id, COUNT(DISTINCT k) AS n FROM t~a GROUP BY id",
@@ -57,8 +57,17 @@ TEMPLATES = [
     "INSERT OVERWRITE TABLE t~b SELECT id FROM t~a",
     "/* block ; comment */ SELECT id /* inner -- x */ FROM t~a # trailing\nWHERE id = 1",
     "SELECT id INTO tmp~b FROM t~a",
-    "INSERT INTO raw.sales SELECT u.id, COALESCE(u.v, 0) AS amt FROM (SELECT id, v FROM v~b) AS u JOIN raw.dim m ON m.id = u.id",
+    "INSERT INTO raw.sales SELECT u.id, COALESCE(u.v, 0) AS amt FROM (SELECT id, v FROM v~c) AS u JOIN raw.dim m ON m.id = u.id",
     "INSERT INTO mart.kpi SELECT SUM(s.amt) AS amt, s.region AS region FROM raw.sales s GROUP BY s.region",
+    "SELECT t~a.id FROM t~a JOIN t~b ON t~a.id = t~b.id JOIN raw.dim ON dim.id = t~a.id WHERE t~a.v > 5",
+    "WITH base AS (SELECT id FROM t~a) SELECT x1.id FROM base x1 JOIN base x2 ON x1.id = x2.id JOIN base x3 ON x3.id = x1.id",
+    "SELECT id FROM `t~a` WHERE id IN (SELECT id FROM `t~b`) OR pid IN (SELECT id FROM `t~b`)",
+    "SELECT id FROM t~a WHERE v IN (SELECT v FROM t~b) AND w IN (SELECT w FROM t~c) AND x IN (SELECT x FROM raw.dim) "
+    "AND y IN (SELECT y FROM raw.geo)",
+    "SELECT id FROM t~a WHERE TRIM(name) = 'a' AND CAST(v AS INT) = 1 AND COALESCE(w, 0) = 2 AND REPLACE(n, 'a', 'b') = 'c' AND ABS(z) = 3",
+    "{% if target %}SELECT id FROM t~a{% else %}SELECT id FROM t~b{% endif %}",
+    "DELETE FROM t~b",
+    "SELECT NVL(v, 0) AS v0 FROM t~a WHERE ROWNUM < 5 CONNECT BY PRIOR id = pid",
 ]
 
 KINDS = len(TEMPLATES)

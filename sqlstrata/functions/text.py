@@ -175,7 +175,7 @@ def clause(outer: Column, name: str) -> Column:
     An ORDER BY inside a window specification is in parentheses, hence not at the outer level.
     """
     start = _CLAUSE_START[name]
-    return F.trim(rx(outer, rf"(?i)^(?:\({BALANCED}\)|(?!{start})[^()])*+{start}((?:\({BALANCED}\)|(?!{_CLAUSE_END})[^()])*+)", 1))
+    return F.trim(rx(outer, rf"(?i)^(?:\({BALANCED}\)|(?!{start})[^()])*+{start}((?:\({BALANCED}\)|(?!{_CLAUSE_END})[^();])*+)", 1))
 
 
 def join_conditions(outer: Column) -> Column:
@@ -191,13 +191,13 @@ def select_list(outer: Column) -> Column:
 
 def split_top_level(text: Column) -> Column:
     """Parts between commas that are outside parentheses, trimmed; blank parts dropped."""
-    return F.filter(F.transform(rx_all(text, TOP_LEVEL_PART), F.trim), lambda p: p != "")
+    return F.filter(F.transform(rx_all(text, TOP_LEVEL_PART), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def subqueries(masked: Column) -> Column:
     """Every outermost parenthesised query with a FROM, without its parentheses."""
     found = rx_all(masked, rf"(?i)\(\s*(SELECT\b{BALANCED})\)", 1)
-    return F.filter(F.transform(found, F.trim), lambda q: F.lower(q).contains("from"))
+    return F.filter(F.transform(found, lambda q: F.trim(q)), lambda q: F.lower(q).contains("from"))
 
 
 def _not_alias() -> str:
@@ -219,5 +219,8 @@ def fingerprint(sql: Column) -> Column:
 def column_refs(text: Column) -> Column:
     """Qualified or plain column names in an expression: no functions, keywords, numbers."""
     words = (r"(?:and|or|not|in|is|null|like|between|exists|case|when|then|else|end|as|asc|desc|distinct|subq|select|from"
-             r"|interval|true|false|over|partition|by|order|rows|range|cast|using|any|all|on|nulls|first|last)")
+             r"|interval|true|false|over|partition|by|order|rows|range|cast|using|any|all|on|nulls|first|last|grouping|sets|rollup|cube"
+             r"|preceding|following|current|row|unbounded)")
+    text = F.regexp_replace(text, r"(?i)\b(?:year|quarter|month|week|day|hour|minute|second)\s+FROM\b", "")
+    text = F.regexp_replace(text, r"(?i)\bAS\s+\w+(?:\s*\([^()]*\))?", "")  # a CAST's type is no column
     return rx_all(text, rf"(?i)(?<![\w.@:])(?!{words}\b)([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?)\b(?!\s*[(.])", 1)

@@ -159,12 +159,12 @@ def cases(stmts: DataFrame) -> DataFrame:
     body = T.rx(F.col("_c"), whole, 1)
     pair = r"(?i)\bWHEN\s+((?:(?!\bTHEN\b)[\s\S])+?)\s+THEN\s+((?:(?!\b(?:WHEN|ELSE|END)\b)[\s\S])+)"
     return rows.select("doc_id", "stmt_idx", "position",
-                       F.transform(T.rx_all(body, pair, 1), F.trim).alias("whens"), F.transform(T.rx_all(body, pair, 2), F.trim).alias("thens"),
+                       F.transform(T.rx_all(body, pair, 1), lambda p: F.trim(p)).alias("whens"), F.transform(T.rx_all(body, pair, 2), lambda p: F.trim(p)).alias("thens"),
                        F.trim(T.rx_or_null(body, r"(?i)\bELSE\s+([\s\S]+?)\s*$", 1)).alias("else_value"), T.rx_or_null(F.col("_c"), whole, 2).alias("alias"))
 
 
 # Words that precede a parenthesis without being a function.
-NOT_A_FUNCTION = ("and or not in is null like between exists case when then else end as select from where join on using having by values "
+NOT_A_FUNCTION = ("insert update and or not in is null like between exists case when then else end as select from where join on using having by values "
                   "into over partition group order union all any some set table if with limit distinct within filter interval key check "
                   "primary foreign unique references default index sets recursive lateral pivot qualify copy unload decimal numeric varchar char int").split()
 

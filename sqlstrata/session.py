@@ -41,10 +41,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage reliably: the rows are in the shared folder, so a lost executor loses nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write a step of a loop to the shared folder and read it back.
+
+    The plan starts anew, a lost executor loses nothing, and the next join knows the real size of the step.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

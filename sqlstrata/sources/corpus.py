@@ -77,4 +77,3 @@ def validate(corpus: DataFrame, statement_count: Column, max_bytes: int = MAX_TE
     )
 
 
-__all__ = ["scan_files", "analyse_files", "read_corpus", "from_query_log", "validate", "T"]
