@@ -221,15 +221,26 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return _union(found)
 
 
-def cycle_groups(edges: DataFrame) -> DataFrame:
-    """Strong components and self-loops with a label `a -> b -> a`, members sorted."""
-    scc = strong_components(edges)
+LABEL_MEMBERS = 1000  # groups above this size have no label; their members are rows of `cycle_members`
+
+
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """`(group_id, node)`: strong components by their smallest node, and self-loops outside them."""
+    scc = cut(strong_components(edges), "scc")
     named = scc.groupBy("component").agg(F.min("node").alias("group_id"))
     big = scc.join(named, "component").select("group_id", "node")
-    loops = edges.filter("src = dst").select(F.col("src").alias("node")).distinct().join(big.select("node"), "node", "left_anti").select(F.col("node").alias("group_id"), "node")
-    members = F.transform(F.array_sort(F.collect_set("node")), lambda n: n.cast("string"))
-    rows = big.unionByName(loops).groupBy("group_id").agg(F.count("*").alias("members"), members.alias("_m"))
-    return rows.select("group_id", "members", F.concat_ws(" -> ", F.array_join("_m", " -> "), F.get("_m", F.lit(0))).alias("label"))
+    loops = edges.filter("src = dst").select(F.col("src").alias("node")).distinct().join(big.select("node"), "node", "left_anti")
+    return big.unionByName(loops.select(F.col("node").alias("group_id"), "node"))
+
+
+def cycle_groups(edges: DataFrame) -> DataFrame:
+    """One row per group of `cycle_members` with its size and a label `a -> b -> a`, members sorted."""
+    rows = cut(cycle_members(edges), "members")
+    sizes = rows.groupBy("group_id").agg(F.count("*").alias("members"))
+    small = rows.join(sizes.filter(F.col("members") <= LABEL_MEMBERS), "group_id")
+    labels = small.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list("node")), lambda n: n.cast("string")).alias("_m"))
+    return sizes.join(labels, "group_id", "left").select("group_id", "members", F.when(F.col("_m").isNotNull(), F.concat_ws(
+        " -> ", F.array_join("_m", " -> "), F.get("_m", F.lit(0)))).alias("label"))
 
 
 def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
