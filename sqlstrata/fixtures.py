@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sqlstrata.session import spread
+
 # One statement (or script) per kind; ~a, ~b and ~c become numbers taken from the order's keys.
 TEMPLATES = [
     "SELECT * FROM raw.t~a",
@@ -75,7 +77,7 @@ KINDS = len(TEMPLATES)
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`qlog(doc_id, path, sql)`: one text per order, in as many files as customers / 30."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"), "o_orderkey")
     text = F.element_at(F.array(*[F.lit(t) for t in TEMPLATES]), (F.col("o_orderkey") % KINDS + 1).cast("int"))
     a, b, c = "o_custkey", "o_orderkey div 10", "(o_orderkey + o_custkey) div 8"
     for mark, number in (("~a", a), ("~b", b), ("~c", c)):

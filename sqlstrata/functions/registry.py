@@ -5,6 +5,7 @@ Each family says which dialects know its names. The table is expanded from these
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _WAREHOUSES = "snowflake bigquery hive athena trino teradata oracle postgresql"
@@ -132,4 +133,7 @@ def registry_rows(custom: dict[str, list[str]] | None = None) -> list[tuple]:
 
 
 def function_registry(spark: SparkSession, custom: dict[str, list[str]] | None = None) -> DataFrame:
-    return spark.createDataFrame(registry_rows(custom), "family string, dialect string, category string, name string, rank int, spark_equivalent string")
+    names = ["family", "dialect", "category", "name", "rank", "spark_equivalent"]
+    columns = dict(zip(names, map(list, zip(*registry_rows(custom)))))
+    kinds = pa.schema([(n, pa.int32() if n == "rank" else pa.string()) for n in names])
+    return spark.createDataFrame(pa.table(columns, schema=kinds))

@@ -25,8 +25,8 @@ def _definition_structs(masked: Column) -> Column:
 
 def definitions(stmts: DataFrame) -> DataFrame:
     """`(doc_id, path, stmt_idx, def_type, schema_name, name, table_key, line, is_ctas, columns)`, one row per definition."""
-    rows = stmts.select("doc_id", "path", "stmt_idx", "start_line", "sql", "masked",
-                        F.explode(_definition_structs(F.col("masked"))).alias("d"))
+    rows = T.hold(stmts.select("doc_id", "path", "stmt_idx", "start_line", "sql", "masked"), _d=_definition_structs(F.col("masked")))
+    rows = rows.select("doc_id", "path", "stmt_idx", "start_line", "sql", "masked", F.explode("_d").alias("d"))
     is_ctas = ((F.col("d.def_type") == "table") & (F.col("masked").rlike(r"(?i)\bAS\s+(?:SELECT|WITH|\()") | F.col("masked").rlike(_INTO)))
     body = F.when((F.col("d.def_type") == "table") & ~is_ctas,
                   T.rx(F.col("masked"), rf"{_TABLE}\s*\(({T.BALANCED})\)", 3)).otherwise(F.lit(""))
@@ -35,8 +35,10 @@ def definitions(stmts: DataFrame) -> DataFrame:
         "doc_id", "path", "stmt_idx", "d.def_type", "d.schema_name", "d.name",
         T.qualified_key(F.col("d.name"), F.col("d.schema_name")).alias("table_key"),
         (F.col("start_line") + T.line_at(F.col("sql"), at) - 1).alias("line"), is_ctas.alias("is_ctas"),
-        T.split_top_level(body).alias("_parts"))
-    return rows.withColumn("columns", _columns(F.col("_parts"))).drop("_parts")
+        body.alias("_body"))
+    rows = T.hold(rows, _parts=T.split_top_level(F.col("_body")))
+    rows = T.hold(rows, _keys=_table_keys(F.col("_parts")))
+    return T.hold(rows, columns=_columns(F.col("_parts"), F.col("_keys"))).drop("_parts", "_keys", "_body")
 
 
 _CONSTRAINT = r"(?i)^\s*(?:PRIMARY\s+KEY|FOREIGN\s+KEY|UNIQUE|CHECK|CONSTRAINT)\b"
@@ -60,9 +62,8 @@ def _table_keys(parts: Column) -> Column:
     return pairs
 
 
-def _columns(parts: Column) -> Column:
+def _columns(parts: Column, table_keys: Column) -> Column:
     plain = F.filter(parts, lambda p: ~p.rlike(_CONSTRAINT) & p.rlike(_COLUMN))
-    table_keys = _table_keys(parts)
 
     def column(p: Column) -> Column:
         name, rest = T.rx(p, _COLUMN, 1), T.rx(p, _COLUMN, 3)

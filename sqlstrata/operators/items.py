@@ -59,15 +59,14 @@ def select_items(stmts: DataFrame) -> DataFrame:
 
     `kind` is "alias" for a plain column under another name.
     """
-    outer = _main_query(F.col("masked"))
-    base = stmts.select("doc_id", "path", "stmt_idx", T.split_top_level(T.select_list(outer)).alias("_items"), alias_pairs(outer).alias("_tables"))
+    base = T.hold(stmts.select("doc_id", "path", "stmt_idx", "masked"), _outer=_main_query(F.col("masked")))
+    base = T.hold(base, _items=T.split_top_level(T.select_list(F.col("_outer"))), _tables=alias_pairs(F.col("_outer")))
     rows = base.select("doc_id", "path", "stmt_idx", "_tables", F.posexplode("_items").alias("position", "_item"))
     alias = T.rx_or_null(F.col("_item"), _ALIAS_TAIL, 1)
     expr = F.trim(F.regexp_replace("_item", _ALIAS_TAIL, ""))
     rows = rows.select("doc_id", "path", "stmt_idx", "position", "_tables", expr.alias("expr"), alias.alias("alias"))
-    kind = item_kind(F.col("expr"))
     column = T.rx_or_null(F.col("expr"), r"(\w+|\*)$", 1)
-    rows = rows.select("*", kind.alias("_kind"), F.lower(T.rx_or_null(F.col("expr"), r"^(\w+)\.(?:\w+|\*)$", 1)).alias("source_alias"), column.alias("_column"))
+    rows = T.hold(rows, _kind=item_kind(F.col("expr")), source_alias=F.lower(T.rx_or_null(F.col("expr"), r"^(\w+)\.(?:\w+|\*)$", 1)), _column=column)
     plain = F.col("_kind") == "direct"
     renamed = plain & F.col("alias").isNotNull() & (F.lower("alias") != F.lower("_column"))
     table = F.when(plain, resolve_alias(F.col("_tables"), F.col("source_alias")))
@@ -80,9 +79,11 @@ def select_items(stmts: DataFrame) -> DataFrame:
 
 def alias_pairs(outer: Column) -> Column:
     """Array of (alias, table_key) of the FROM and JOIN tables in an outer text."""
-    found = F.filter(refs_.ref_structs(outer), lambda r: r["context"].isin("FROM", "JOIN"))
-    return F.transform(found, lambda r: F.struct(
-        F.lower(F.coalesce(r["alias"], r["table_name"])).alias("alias"), T.qualified_key(r["table_name"], r["schema_name"]).alias("table_key")))
+    found = F.filter(refs_.ref_matches(outer), lambda m: m.rlike(r"(?i)^(?:FROM|JOIN)\b"))
+    whole = rf"(?i)^{refs_._ONE_REF_EXTENDED}\s+{refs_._NAME}{refs_._ALIAS}"
+    pairs = F.transform(found, lambda m: F.struct(
+        F.lower(F.coalesce(T.rx_or_null(m, whole, 4), T.rx(m, whole, 3))).alias("alias"), refs_.match_key(m).alias("table_key")))
+    return F.filter(pairs, lambda p: refs_.is_table_name(T.key_name(p["table_key"])))
 
 
 def resolve_alias(pairs: Column, alias: Column) -> Column:
@@ -102,7 +103,8 @@ def item_inputs(items: DataFrame) -> DataFrame:
 
 def column_uses(stmts: DataFrame) -> DataFrame:
     """`(column_ref, used_in)`: columns by clause (select, where, join, group, having, order, set, insert, partition, function)."""
-    outer, masked = _main_query(F.col("masked")), F.col("masked")
+    stmts = T.hold(stmts.select("doc_id", "path", "stmt_idx", "masked"), _outer=_main_query(F.col("masked")))
+    outer, masked = F.col("_outer"), F.col("masked")
     texts = {
         "select": T.select_list(outer), "where": T.clause(outer, "where"), "group": T.clause(outer, "group"),
         "having": T.clause(outer, "having"), "order": T.clause(outer, "order"),
@@ -172,10 +174,9 @@ NOT_A_FUNCTION = ("insert update and or not in is null like between exists case
 def function_calls(stmts: DataFrame) -> DataFrame:
     """Every call: `(name, is_window, is_source)`; `is_source` when it stands after FROM or JOIN."""
     body = F.regexp_replace(F.col("masked"), r"(?i)^\s*(?:CREATE|INSERT|ALTER)\b(?:(?!\b(?:SELECT|AS)\b)[\s\S])*", "")
-    call = rf"(?i)((?:\b(?:FROM|JOIN)\s+(?:LATERAL\s+)?)?)\b([A-Za-z_][\w.]*)\s*\((?:({T.BALANCED})\)(\s*OVER\b)?)?"
     # A call hides the calls among its arguments, so scan names alone and look at each one's surroundings.
     name = r"(?i)((?:\b(?:FROM|JOIN)\s+(?:LATERAL\s+|TABLE\s*\(\s*)?)?)\b([A-Za-z_][\w.]*)\s*(?=\()"
-    rows = stmts.select("doc_id", "path", "stmt_idx", body.alias("_b")).select(
+    rows = T.hold(stmts.select("doc_id", "path", "stmt_idx", "masked"), _b=body).select(
         "doc_id", "path", "stmt_idx", F.transform(T.rx_all(F.col("_b"), rf"(?i)\b(\w+)\s*\({T.BALANCED}\)\s*OVER\b", 1), F.upper).alias("_over"),
         F.explode(T.rx_all(F.col("_b"), name, 0)).alias("_m"))
     fn = F.upper(T.rx(F.col("_m"), r"(?i)([A-Za-z_][\w.]*)\s*$", 1))
@@ -199,7 +200,8 @@ def functions_used(stmts: DataFrame, registry: DataFrame, dialect: str = "mysql"
 
 def subquery_rows(stmts: DataFrame) -> DataFrame:
     """Outermost subqueries with their clause and normalised text."""
-    rows = stmts.select("doc_id", "path", "stmt_idx", "masked", F.posexplode(T.subqueries(F.col("masked"))).alias("position", "subquery"))
+    rows = T.hold(stmts.select("doc_id", "path", "stmt_idx", "masked"), _q=T.subqueries(F.col("masked")))
+    rows = rows.select("doc_id", "path", "stmt_idx", "masked", F.posexplode("_q").alias("position", "subquery"))
     at = F.expr("instr(masked, subquery)")
     before = F.lower(F.substring(F.col("masked"), F.greatest(at - 100, F.lit(1)), F.least(at - 1, F.lit(100))))
     place = (F.when(before.contains("select") & ~before.contains("where") & ~before.contains("having") & ~before.contains("from"), "select")

@@ -23,55 +23,103 @@ def is_table_name(name: Column) -> Column:
     return ~F.lower(name).isin(P.REFERENCE_RESERVED) & (F.length(name) >= 2) & ~name.rlike(r"^\d+$")
 
 
-def _parse(match: Column, keywords: str) -> Column:
-    whole = rf"(?i)^{keywords}\s+{_NAME}{_ALIAS}"
-    word = F.upper(F.regexp_replace(T.rx(match, whole, 1), r"\s+", " "))
-    return F.struct(
-        word.alias("context"), F.nullif(T.rx(match, whole, 2), F.lit("")).alias("schema_name"),
-        T.rx(match, whole, 3).alias("table_name"), F.nullif(T.rx(match, whole, 4), F.lit("")).alias("alias"), match.alias("_match"))
-
-
 def _ref_type(context: Column) -> Column:
     return (F.when(context == "FROM", "select").when(context == "JOIN", "join").when(context.startswith("INSERT"), "insert")
             .when(context == "UPDATE", "update").when(context == "DELETE FROM", "delete")
             .when(context == "MERGE INTO", "merge").when(context == "USING", "select").when(context == "INTO", "insert"))
 
 
-def ref_structs(clean: Column, extended: bool = False) -> Column:
-    """Array of (context, schema_name, table_name, alias, _match) of one statement, in text order.
+_PARSE = rf"(?is)^{_ONE_REF_EXTENDED}\s+((?:\w+\.)?)[\"'`]?(\w+)[\"'`]?(?:\s.*)?$"
+
+
+def ref_matches(clean: Column, extended: bool = False) -> Column:
+    """Array of the texts `KEYWORD [schema.]table [alias]` of a statement, in order of appearance."""
+    return T.rx_all(without_function_from(clean), rf"(?i)\b{_ONE_REF_EXTENDED if extended else _ONE_REF}\s+{_NAME}{_ALIAS}", 0)
+
+
+def with_delete_sources(matches: Column) -> Column:
+    """DELETE FROM names its table twice, as target and as FROM source, because both forms match it."""
+    deletes = F.filter(matches, lambda m: m.rlike(r"(?i)^DELETE\b"))
+    return F.concat(matches, F.transform(deletes, lambda m: F.regexp_replace(m, r"(?i)^DELETE\s+", "")))
+
+
+def match_key(match: Column) -> Column:
+    """`schema.table` of a match, lower case."""
+    return F.lower(F.regexp_replace(match, _PARSE, "$2$3"))
+
+
+def match_name(match: Column) -> Column:
+    return F.lower(F.regexp_replace(match, _PARSE, "$3"))
+
+
+def keys_of(matches: Column, keyword: str) -> Column:
+    """Table keys of the matches that start with the keyword pattern, reserved words left out."""
+    kept = F.filter(matches, lambda m: m.rlike(rf"(?i)^(?:{keyword})\b"))
+    return F.filter(F.transform(kept, match_key), lambda k: is_table_name(T.key_name(k)))
+
+
+READ, WRITE = "FROM|JOIN|USING", "INSERT|UPDATE|DELETE|MERGE|INTO"
 
-    DELETE FROM names its table twice, as target and as FROM source, because both forms match it.
-    """
-    keywords = _ONE_REF_EXTENDED if extended else _ONE_REF
-    found = T.rx_all(without_function_from(clean), rf"(?i)\b{keywords}\s+{_NAME}{_ALIAS}", 0)
-    parsed = F.transform(found, lambda m: _parse(m, keywords))
-    also_from = F.transform(F.filter(parsed, lambda r: r["context"] == "DELETE FROM"), lambda r: F.struct(
-        F.lit("FROM").alias("context"), r["schema_name"].alias("schema_name"), r["table_name"].alias("table_name"),
-        r["alias"].alias("alias"), r["_match"].alias("_match")))
-    return F.filter(F.concat(parsed, also_from), lambda r: is_table_name(r["table_name"]))
+
+def names_used(clean: Column, extended: bool = True) -> Column:
+    """Lower-case table names of a statement, one per reference."""
+    return F.filter(F.transform(with_delete_sources(ref_matches(clean, extended)), match_name), is_table_name)
+
+
+def _identity(match: Column) -> Column:
+    """What two references must share to count as one: table and type."""
+    word = F.lower(F.regexp_replace(match, _PARSE, "$1 "))
+    kind = F.regexp_replace(F.regexp_replace(word, r"^(?:insert\s|into).*", "insert "), r"^using.*", "from ")
+    return F.concat(kind, match_key(match))
+
+
+def _explode_matches(stmts: DataFrame, extended: bool, dedupe: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+    rows = T.hold(stmts.select("doc_id", "path", "stmt_idx", "start_line", "sql", "clean", *keep), _found=ref_matches(F.col("clean"), extended))
+    rows = T.hold(rows, _found=with_delete_sources(F.col("_found")))
+    if dedupe:
+        # Sorted by identity and place, the first of each run is the one to keep: no shuffle, no comparison of all pairs.
+        rows = T.hold(rows, _found=F.array_sort(F.transform("_found", lambda m, i: F.struct(_identity(m).alias("k"), i.alias("i"), m.alias("m")))))
+        firsts = F.filter("_found", lambda s, i: (i == 0) | (F.get("_found", i - 1)["k"] != s["k"]))
+        rows = rows.select("doc_id", "path", "stmt_idx", "start_line", "sql", *keep, F.explode(firsts).alias("_s")).withColumn("_m", F.col("_s.m")).drop("_s")
+    else:
+        rows = rows.select("doc_id", "path", "stmt_idx", "start_line", "sql", *keep, F.explode("_found").alias("_m"))
+    m = F.col("_m")
+    whole = rf"(?i)^{_ONE_REF_EXTENDED}\s+{_NAME}{_ALIAS}"
+    rows = rows.select("doc_id", "path", "stmt_idx", "start_line", "sql", *keep, "_m", F.upper(F.regexp_replace(T.rx(m, whole, 1), r"\s+", " ")).alias("context"),
+                       T.rx_or_null(m, whole, 2).alias("schema_name"), T.rx(m, whole, 3).alias("table_name"), T.rx_or_null(m, whole, 4).alias("alias"))
+    return rows.filter(is_table_name(F.col("table_name")))
+
+
+def _finish(rows: DataFrame) -> DataFrame:
+    position = F.expr("instr(lower(sql), lower(_m))")
+    kind = _ref_type(F.col("context"))
+    return rows.select(
+        "doc_id", "path", "stmt_idx", "schema_name", "table_name", T.qualified_key(F.col("table_name"), F.col("schema_name")).alias("table_key"),
+        "alias", kind.alias("ref_type"), "context", F.when(kind.isin("select", "join"), "read").otherwise("write").alias("access_mode"),
+        (F.col("start_line") + T.line_at(F.col("sql"), position) - 1).alias("line"))
 
 
 def table_refs(stmts: DataFrame, extended: bool = False, dedupe: bool = True) -> DataFrame:
     """`(doc_id, path, stmt_idx, schema_name, table_name, table_key, alias, ref_type, context, access_mode, line)`.
 
-    `extended` adds INTO, MERGE INTO and USING. `dedupe` keeps one row per (schema, table, type) of a statement;
-    it works on the row's array, so it needs no shuffle.
+    `extended` adds INTO, INSERT OVERWRITE, MERGE INTO and USING. `dedupe` keeps one row per (schema, table, type) of a statement.
     """
-    refs = ref_structs(F.col("clean"), extended)
-    return _explode_refs(stmts.select("doc_id", "path", "stmt_idx", "start_line", "sql", refs.alias("_refs")), dedupe)
+    return _finish(_explode_matches(stmts, extended, dedupe))
 
 
 # --- CTEs ------------------------------------------------------------------------------------------------------
 
 _CTE = rf"(?i)(?:\bWITH\s+(?:RECURSIVE\s+)?|,\s*)(\w+)(?:\s*\([^()]*\))?\s+AS\s*\(({T.BALANCED})\)"
 
+_CTE_ANCHORED = _CTE.replace("(?i)(?:\\bWITH", "(?i)^(?:WITH")
+
 
 def cte_structs(masked: Column) -> Column:
     """Array of (name, body) of a statement's CTEs."""
-    has_with = masked.rlike(r"(?i)\bWITH\b")
-    names, bodies = T.rx_all(masked, _CTE, 1), T.rx_all(masked, _CTE, 2)
-    both = F.transform(names, lambda n, i: F.struct(F.lower(n).alias("name"), F.get(bodies, i).alias("body")))
-    return F.when(has_with, F.filter(both, lambda c: ~c["name"].isin(P.CTE_RESERVED))).otherwise(F.filter(both, lambda c: F.lit(False)))
+    head = r"(?i)^(?:WITH\s+(?:RECURSIVE\s+)?|,\s*)(\w+)[\s\S]*$"
+    found = F.when(masked.rlike(r"(?i)\bWITH\b"), T.rx_all(masked, _CTE, 0)).otherwise(F.array().cast("array<string>"))
+    both = F.transform(found, lambda c: F.struct(F.lower(T.rx(c, head, 1)).alias("name"), T.rx(c, _CTE_ANCHORED, 2).alias("body")))
+    return F.filter(both, lambda c: ~c["name"].isin(P.CTE_RESERVED))
 
 
 def subquery_aliases(masked: Column) -> Column:
@@ -82,7 +130,8 @@ def subquery_aliases(masked: Column) -> Column:
 
 def ctes(stmts: DataFrame) -> DataFrame:
     """`(doc_id, path, stmt_idx, position, cte_name, is_recursive, body, line)`."""
-    rows = stmts.select("doc_id", "path", "stmt_idx", "start_line", "masked", F.posexplode(cte_structs(F.col("masked"))).alias("position", "c"))
+    rows = T.hold(stmts.select("doc_id", "path", "stmt_idx", "start_line", "masked"), _c=cte_structs(F.col("masked")))
+    rows = rows.select("doc_id", "path", "stmt_idx", "start_line", "masked", F.posexplode("_c").alias("position", "c"))
     at = F.expr("instr(lower(masked), concat(c.name, ' '))")
     return rows.select("doc_id", "path", "stmt_idx", "position", F.col("c.name").alias("cte_name"),
                        F.col("masked").rlike(r"(?i)\bWITH\s+RECURSIVE\b").alias("is_recursive"), F.col("c.body").alias("body"),
@@ -104,23 +153,5 @@ def drop_local_refs(refs: DataFrame, stmts: DataFrame) -> DataFrame:
 
 def base_table_refs(stmts: DataFrame, extended: bool = False, dedupe: bool = True) -> DataFrame:
     """`table_refs` without CTE and alias uses, decided inside each row: the join-free form of `drop_local_refs`."""
-    base = stmts.select("doc_id", "path", "stmt_idx", "start_line", "sql", "clean", local_names(F.col("masked")).alias("_local"))
-    refs = F.filter(ref_structs(F.col("clean"), extended), lambda r: ~(
-        r["schema_name"].isNull() & F.array_contains(F.col("_local"), F.lower(r["table_name"]))))
-    return _explode_refs(base.select("doc_id", "path", "stmt_idx", "start_line", "sql", refs.alias("_refs")), dedupe)
-
-
-def _explode_refs(base: DataFrame, dedupe: bool) -> DataFrame:
-    if dedupe:
-        def key(r):
-            return F.lower(F.concat_ws("|", F.coalesce(r["schema_name"], F.lit("")), r["table_name"], _ref_type(r["context"])))
-        keyed = base.withColumn("_keys", F.transform("_refs", key))
-        base = keyed.withColumn("_refs", F.filter("_refs", lambda r, i: F.array_position(F.col("_keys"), key(r)) == i + 1)).drop("_keys")
-    rows = base.select("doc_id", "path", "stmt_idx", "start_line", "sql", F.explode("_refs").alias("r"))
-    position = F.expr("instr(lower(sql), lower(r._match))")
-    return rows.select(
-        "doc_id", "path", "stmt_idx", "r.schema_name", "r.table_name",
-        T.qualified_key(F.col("r.table_name"), F.col("r.schema_name")).alias("table_key"),
-        "r.alias", _ref_type(F.col("r.context")).alias("ref_type"), "r.context",
-        F.when(_ref_type(F.col("r.context")).isin("select", "join"), "read").otherwise("write").alias("access_mode"),
-        (F.col("start_line") + T.line_at(F.col("sql"), position) - 1).alias("line"))
+    rows = _explode_matches(T.hold(stmts, _local=local_names(F.col("masked"))), extended, dedupe, ("_local",))
+    return _finish(rows.filter(F.col("schema_name").isNotNull() | ~F.array_contains("_local", F.lower("table_name"))))

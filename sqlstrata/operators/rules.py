@@ -24,17 +24,15 @@ class Rule:
 def features(stmts: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """Everything the rules look at, from the statement's own text."""
     keep = [c for c in ("declared",) if c in stmts.columns]
-    f = stmts.select("doc_id", "path", "stmt_idx", "sql", "clean", "masked", *keep, I._main_query(F.col("masked")).alias("outer_q"))
+    f = T.hold(stmts.select("doc_id", "path", "stmt_idx", "sql", "clean", "masked", *keep), outer_q=I._main_query(F.col("masked")), outer_clean=T.outer_text(F.col("clean")),
+               tables_used=R.names_used(F.col("clean")))
     m, o = F.col("masked"), F.col("outer_q")
-    names = F.transform(R.ref_structs(F.col("clean"), extended=True), lambda r: F.lower(r["table_name"]))
-    f = f.select(
-        "*", S.statement_kind(F.col("clean")).alias("kind"), T.clause(o, "where").alias("where_q"), T.clause(o, "having").alias("having_q"),
-        T.clause(o, "group").alias("group_q"), T.select_list(o).alias("select_q"), names.alias("tables_used"),
-        T.rx_count(m, r"(?i)\bJOIN\b").alias("joins"), T.rx_count(m, r"(?i)\(\s*SELECT\b").alias("subqueries"),
-        (T.rx_count(m, r"(?i)\bWHERE\b") + T.rx_count(m, r"(?i)\bHAVING\b")).alias("conditions"),
-        F.size(T.split_top_level(T.rx(o, r"(?i)\bFROM\s+((?:(?!\b(?:WHERE|GROUP|ORDER|HAVING|LIMIT|JOIN|UNION|SET|ON|QUALIFY)\b)[^()])*+)", 1))).alias("from_items"))
-    return f.select("*", F.array_distinct("tables_used").alias("tables"), I.alias_pairs(o).alias("aliases"),
-                    F.filter(T.split_top_level(F.col("group_q")), lambda g: g != "").alias("group_items"))
+    f = T.hold(
+        f, kind=S.statement_kind(F.col("clean")), where_q=T.clause(o, "where"), having_q=T.clause(o, "having"), group_q=T.clause(o, "group"), select_q=T.select_list(o),
+        literal_where=T.clause(F.col("outer_clean"), "where"), joins=T.rx_count(m, r"(?i)\bJOIN\b"), subqueries=T.rx_count(m, r"(?i)\(\s*SELECT\b"),
+        conditions=T.rx_count(m, r"(?i)\bWHERE\b") + T.rx_count(m, r"(?i)\bHAVING\b"), aliases=I.alias_pairs(o), tables=F.array_distinct("tables_used"),
+        from_items=F.size(T.split_top_level(T.rx(o, r"(?i)\bFROM\s+((?:(?!\b(?:WHERE|GROUP|ORDER|HAVING|LIMIT|JOIN|UNION|SET|ON|QUALIFY)\b)[^()])*+)", 1))))
+    return T.hold(f, group_items=T.split_top_level(F.col("group_q")), select_items=T.split_top_level(F.col("select_q")), where_qualifiers=_qualifiers(F.col("where_q")))
 
 
 _AGG = r"(?i)\b(?:COUNT|SUM|AVG|MIN|MAX|GROUP_CONCAT|STRING_AGG|LISTAGG|ARRAY_AGG|STDDEV\w*|VAR\w*)\s*\("
@@ -54,17 +52,17 @@ def statement_rules() -> list[Rule]:
     selects = kind.isin("select", "cte")
     n_tables = F.size("tables")
     cross_at, join_at = F.expr("instr(upper(outer_q), 'CROSS JOIN')"), F.length(o) - F.instr(F.reverse(F.upper(o)), "NIOJ") - 2
-    literal_where = T.clause(T.outer_text(F.col("clean")), "where")
+    literal_where = F.col("literal_where")
     filtered = F.exists("tables", lambda t: F.lower(F.col("where_q")).contains(t))
     or_parts = F.split(w, r"(?i)\s+OR\s+")
     spans = F.exists(F.transform(or_parts, lambda p, i: F.struct(_qualifiers(p).alias("l"), _qualifiers(F.get(or_parts, i + 1)).alias("r"))),
                      lambda p: (F.size(p["l"]) > 0) & (F.size(p["r"]) > 0) & ~F.arrays_overlap(p["l"], p["r"]))
-    table_qualifiers = F.filter(_qualifiers(w), lambda q: F.exists(F.col("aliases"), lambda a: a["alias"] == q))
+    table_qualifiers = F.filter("where_qualifiers", lambda q: F.exists(F.col("aliases"), lambda a: a["alias"] == q))
     branches = F.filter(F.transform(F.split(o, r"(?i)\b(?:UNION\s+ALL|UNION|INTERSECT|EXCEPT)\b"), T.select_list), lambda s: s != "")
     branch_sizes = F.array_distinct(F.transform(branches, lambda s: F.size(T.split_top_level(s))))
     unused = F.array_except(F.transform(R.cte_structs(m), lambda c: c["name"]),
                              F.transform(T.rx_all(m, r"(?i)(?:\b(?:FROM|JOIN|USING)|,)\s+(\w+)\b(?!\s*(?:\([^()]*\)\s*)?AS\s*\()", 1), F.lower))
-    sub_select = F.exists(T.split_top_level(F.col("select_q")), lambda i: i.rlike(r"(?i)^\(subq\)"))
+    sub_select = F.exists("select_items", lambda i: i.rlike(r"(?i)^\(subq\)"))
     agg_items = F.col("select_q").rlike(r"(?i)\bCOUNT\s*\(\s*(?:\*|DISTINCT\b)")
     distinct_count = F.col("select_q").rlike(r"(?i)\bCOUNT\s*\(\s*DISTINCT\b") & ~F.col("select_q").rlike(r"(?i)\bCOUNT\s*\(\s*\*")
     perf, quality, practice = "performance", "quality", "best-practice"
@@ -146,9 +144,10 @@ def duplicate_subqueries(stmts: DataFrame) -> DataFrame:
 
 def repeated_tables(stmts: DataFrame) -> DataFrame:
     """Tables a statement reads more than once, with `is_local` for CTE and alias names."""
-    read = F.filter(R.ref_structs(F.col("clean")), lambda r: r["context"].isin("FROM", "JOIN"))
-    rows = stmts.select("doc_id", "path", "stmt_idx", R.local_names(F.col("masked")).alias("_local"),
-                        F.explode(F.transform(read, lambda r: F.lower(r["table_name"]))).alias("table_name"))
+    found = R.with_delete_sources(R.ref_matches(F.col("clean")))
+    read = F.transform(F.filter(found, lambda m: m.rlike(r"(?i)^(?:FROM|JOIN)\b")), R.match_name)
+    rows = T.hold(stmts.select("doc_id", "path", "stmt_idx", "clean", "masked"), _local=R.local_names(F.col("masked")), _read=F.filter(read, R.is_table_name))
+    rows = rows.select("doc_id", "path", "stmt_idx", "_local", F.explode("_read").alias("table_name"))
     rows = rows.select("doc_id", "path", "stmt_idx", "table_name", F.array_contains("_local", F.col("table_name")).alias("is_local"))
     return rows.groupBy("doc_id", "path", "stmt_idx", "table_name", "is_local").agg(F.count("*").alias("uses")).filter("uses > 1")
 
@@ -169,7 +168,8 @@ def grouped_findings(stmts: DataFrame) -> DataFrame:
 
 def dead_columns(stmts: DataFrame) -> DataFrame:
     """H10: columns a CTE selects that neither its own clauses nor the later text of the statement use."""
-    rows = stmts.select("doc_id", "path", "stmt_idx", "masked", F.posexplode(R.cte_structs(F.col("masked"))).alias("_i", "c"))
+    rows = T.hold(stmts.select("doc_id", "path", "stmt_idx", "masked"), _c=R.cte_structs(F.col("masked")))
+    rows = rows.select("doc_id", "path", "stmt_idx", "masked", F.posexplode("_c").alias("_i", "c"))
     body = T.outer_text(F.col("c.body"))
     after = F.substring(F.col("masked"), F.expr("instr(masked, c.body)") + F.length("c.body"), F.length("masked"))
     rows = rows.select("doc_id", "path", "stmt_idx", F.col("c.name").alias("cte_name"), after.alias("_after"),
@@ -183,7 +183,8 @@ def dead_columns(stmts: DataFrame) -> DataFrame:
 
 def index_candidates(stmts: DataFrame) -> DataFrame:
     """H21: columns by purpose (filter, join, sort, group) per statement, from the row's own clauses."""
-    o = I._main_query(F.col("masked"))
+    stmts = T.hold(stmts.select("doc_id", "path", "stmt_idx", "clean", "masked"), _outer=I._main_query(F.col("masked")))
+    o = F.col("_outer")
     texts = {"filter": T.clause(o, "where"), "join": F.array_join(T.join_conditions(o), " , "), "sort": T.clause(o, "order"), "group": T.clause(o, "group")}
     cols = F.array(*[F.struct(F.lit(k).alias("purpose"), F.array_distinct(F.transform(T.column_refs(v), F.lower)).alias("columns")) for k, v in texts.items()])
     rows = stmts.filter(S.statement_kind(F.col("clean")).isin("select", "cte")).select("doc_id", "path", "stmt_idx", F.explode(F.filter(cols, lambda c: F.size(c["columns"]) > 0)).alias("c"))

@@ -99,8 +99,9 @@ def statements(corpus: DataFrame, templates: bool = True, helper: bool = False)
         flagged = F.col("sql").rlike(NEEDS_HELPER)
         cut = F.coalesce(split_flagged(F.when(flagged, F.col("sql"))), F.when(~flagged, cut))
     cols = [c for c in ("doc_id", "path") if c in corpus.columns]
-    parts = corpus.select(*cols, cut.alias("_pieces"))
-    lines = parts.select(*cols, "_pieces", T.prefix_sums(F.transform("_pieces", T.newlines)).alias("_before"))
+    parts = T.hold(corpus.select(*cols, "sql"), _pieces=cut).drop("sql")
+    parts = T.hold(parts, _newlines=F.transform("_pieces", T.newlines))
+    lines = T.prefix_sums(parts, "_newlines", "_before")
     kept = F.filter(F.arrays_zip("_pieces", "_before"),
                     lambda p: T.strip_leading_comments(_without_separator(p["_pieces"])) != "")
     rows = lines.select(*cols, F.posexplode(kept).alias("stmt_idx", "_p"))
@@ -110,9 +111,10 @@ def statements(corpus: DataFrame, templates: bool = True, helper: bool = False)
     rows = rows.withColumn("end_line", F.col("start_line") + T.newlines(F.col("sql")))
     clean = T.strip_comments(F.col("sql"))
     if templates:
-        clean = T.strip_comments(T.normalise_template(F.col("sql")))
-    rows = rows.withColumn("clean", F.regexp_replace(clean, r"^\s+|\s+\z", ""))
-    return rows.withColumn("masked", T.mask_literals(F.col("clean")))
+        # Most texts hold no template: they skip its eight replacements.
+        clean = T.strip_comments(F.when(F.col("sql").rlike(r"\{[{%#]"), T.normalise_template(F.col("sql"))).otherwise(F.col("sql")))
+    rows = T.hold(rows, clean=F.regexp_replace(clean, r"^\s+|\s+\z", ""))
+    return T.hold(rows, masked=T.mask_literals(F.col("clean")))
 
 
 # --- classification --------------------------------------------------------------------------------------------
@@ -180,7 +182,7 @@ def merged_runs(stmts: DataFrame, dialect: str = "MySQL") -> DataFrame:
     """Runs of consecutive DDL or session statements of one text, one row per run, by gaps and islands."""
     session = session_command(F.col("sql"), F.lit(dialect))
     ddl = ddl_info(F.col("sql"))
-    marked = stmts.select("doc_id", "start_line", "stmt_idx", session.alias("_s"), ddl.alias("_d")).select(
+    marked = T.hold(stmts.select("doc_id", "start_line", "stmt_idx", "sql"), _s=session, _d=ddl).select(
         "doc_id", "start_line", "stmt_idx",
         F.when(F.col("_s").isNotNull(), "session").when(F.col("_d").isNotNull(), "ddl").otherwise("other").alias("unit"),
         F.coalesce("_s", F.concat_ws(" ", "_d.action", "_d.keyword")).alias("what"))
@@ -196,8 +198,8 @@ def merged_runs(stmts: DataFrame, dialect: str = "MySQL") -> DataFrame:
 
 def dialect_markers(stmts: DataFrame, keep: tuple[str, ...] = ("doc_id", "stmt_idx")) -> DataFrame:
     """One boolean column per syntax marker, all in one projection over the text without comments."""
-    base = stmts.select(*keep, T.strip_comments(F.col("sql")).alias("_clean"))
-    base = base.select(*keep, "_clean", T.mask_literals(F.col("_clean")).alias("_masked"))
+    base = T.hold(stmts.select(*dict.fromkeys([*keep, "sql"])), _clean=T.strip_comments(F.col("sql")))
+    base = T.hold(base, _masked=T.mask_literals(F.col("_clean")))
     return base.select(*keep, *[
         F.col("_clean" if name in P.UNMASKED_MARKERS else "_masked").rlike(pattern).alias(name) for name, pattern in P.DIALECT_MARKERS])
 
@@ -226,7 +228,7 @@ def detected_dialect(markers: DataFrame, keep: tuple[str, ...] = ("doc_id", "stm
                  F.lit(-i).alias("order"), F.lit(d).alias("dialect"))
         for i, (d, points) in enumerate(P.DIALECT_POINTS.items())])
     ranked = F.sort_array(F.filter(ranked, lambda s: s["score"] > 0), asc=False)
-    rows = typed.select(*keep, "oracle_minus", "teradata_sample", ranked.alias("_r"))
+    rows = T.hold(typed, _r=ranked)
     top, second = F.get("_r", F.lit(0)), F.coalesce(F.get("_r", F.lit(1))["score"], F.lit(0))
     weak = (((top["dialect"] == "Oracle") & (top["score"] == 1) & F.col("oracle_minus"))
             | ((top["dialect"] == "Teradata") & (top["score"] == 2) & F.col("teradata_sample")))

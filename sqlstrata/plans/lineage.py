@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sqlstrata.functions import text as T
 from sqlstrata.operators import catalog as C, definitions as D, items as I, refs as R
+from sqlstrata.session import cut
 
 NODE = ["id", "type", "name", "parent_id", "file_path", "line"]
 
@@ -48,21 +49,18 @@ def contains_edges(column_nodes_df: DataFrame) -> DataFrame:
 
 def statement_io(stmts: DataFrame, extended: bool = False) -> DataFrame:
     """`(inputs, outputs)` per statement, from its own row: what it reads and what it writes, local names and itself left out."""
-    local = R.local_names(F.col("masked"))
-    base = stmts.select("doc_id", "path", "stmt_idx", "start_line", "masked", R.ref_structs(F.col("clean"), extended).alias("_r"), local.alias("_l"), D._definition_structs(F.col("masked")).alias("_d"))
-    key = lambda r: T.qualified_key(r["table_name"], r["schema_name"])
-    real = F.filter("_r", lambda r: ~F.array_contains(F.col("_l"), F.lower(r["table_name"])))
-    reads = F.transform(F.filter(real, lambda r: r["context"].isin("FROM", "JOIN", "USING")), key)
-    writes = F.transform(F.filter(real, lambda r: ~r["context"].isin("FROM", "JOIN", "USING")), key)
-    is_ctas = F.col("masked").rlike(r"(?i)\bAS\s+(?:SELECT|WITH|\()") | F.col("masked").rlike(D._INTO)
-    made = F.transform(F.filter("_d", lambda d: (d["def_type"] == "view") | is_ctas), lambda d: T.qualified_key(d["name"], d["schema_name"]))
-    out = base.select("doc_id", "path", "stmt_idx", "masked", F.array_distinct(F.concat(writes, made)).alias("outputs"), F.array_distinct(reads).alias("_in"))
+    base = T.hold(stmts.select("doc_id", "path", "stmt_idx", "clean", "masked"), _m=R.with_delete_sources(R.ref_matches(F.col("clean"), extended)),
+                  _l=R.local_names(F.col("masked")), _d=D._definition_structs(F.col("masked")),
+                  _ctas=F.col("masked").rlike(r"(?i)\bAS\s+(?:SELECT|WITH|\()") | F.col("masked").rlike(D._INTO))
+    made = F.transform(F.filter("_d", lambda d: (d["def_type"] == "view") | F.col("_ctas")), lambda d: T.qualified_key(d["name"], d["schema_name"]))
+    out = T.hold(base, _in=F.array_except(R.keys_of(F.col("_m"), R.READ), "_l"),
+                 outputs=F.array_distinct(F.concat(F.array_except(R.keys_of(F.col("_m"), R.WRITE), "_l"), made)))
     return out.select("doc_id", "path", "stmt_idx", "masked", F.array_except("_in", "outputs").alias("inputs"), "outputs")
 
 
 def key_edges(stmts: DataFrame, extended: bool = False) -> DataFrame:
     """`(src_key, dst_key)` with the number of statements behind it and the first one. Rows are paired inside each statement only."""
-    io = statement_io(stmts, extended).filter("size(inputs) > 0 and size(outputs) > 0")
+    io = statement_io(stmts, extended)
     rows = io.select("doc_id", "path", "stmt_idx", F.explode("inputs").alias("src_key"), "outputs").select("doc_id", "path", "stmt_idx", "src_key", F.explode("outputs").alias("dst_key"))
     return rows.groupBy("src_key", "dst_key").agg(F.count("*").alias("statements"), F.min(F.struct("path", "doc_id", "stmt_idx")).alias("first"))
 
@@ -78,7 +76,7 @@ def resolve_nodes(keys: DataFrame, defs: DataFrame) -> DataFrame:
 
 def table_edges(stmts: DataFrame, defs: DataFrame, extended: bool = False) -> DataFrame:
     """`(src, dst, statements, file_path, stmt_idx)` between node ids; an edge of a node to itself is dropped."""
-    edges = key_edges(stmts, extended)
+    edges = cut(key_edges(stmts, extended), "key_edges")
     keys = edges.select(F.col("src_key").alias("key")).union(edges.select("dst_key")).distinct()
     ids = resolve_nodes(keys, defs)
     s, d = ids.select(F.col("key").alias("src_key"), F.col("id").alias("src")), ids.select(F.col("key").alias("dst_key"), F.col("id").alias("dst"))
@@ -96,12 +94,13 @@ def external_nodes(edges: DataFrame) -> DataFrame:
 
 def lineage_graph(stmts: DataFrame, with_columns: bool = True, extended: bool = False) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a corpus. Edges carry `relationship`: "flow" or "contains"."""
-    defs = D.definitions(stmts)
-    flow = table_edges(stmts, defs, extended).select("src", "dst", F.lit("flow").alias("relationship"), "file_path")
+    defs = cut(D.definitions(stmts), "defs")
+    flow = cut(table_edges(stmts, defs, extended).select("src", "dst", F.lit("flow").alias("relationship"), "file_path"), "flow")
     nodes = definition_nodes(defs).select(*NODE).unionByName(cte_nodes(R.ctes(stmts)).select(*NODE)).unionByName(external_nodes(flow).select(*NODE))
+    nodes = cut(nodes, "nodes")
     if not with_columns:
         return nodes, flow
-    cols = column_nodes(D.def_columns(defs))
+    cols = cut(column_nodes(D.def_columns(defs)), "columns")
     return nodes.unionByName(cols.select(*NODE)), flow.unionByName(contains_edges(cols).withColumn("file_path", F.lit(None).cast("string")))
 
 
@@ -160,7 +159,7 @@ def output_sources(stmts: DataFrame) -> DataFrame:
 
 def cte_dependencies(stmts: DataFrame) -> DataFrame:
     """`(src_cte, dst_cte)` inside a statement: the destination's body reads the source. No join: names and bodies share a row."""
-    rows = stmts.select("doc_id", "stmt_idx", R.cte_structs(F.col("masked")).alias("_c")).filter("size(_c) > 1")
+    rows = T.hold(stmts.select("doc_id", "stmt_idx", "masked"), _c=R.cte_structs(F.col("masked"))).filter("size(_c) > 1")
     rows = rows.select("doc_id", "stmt_idx", F.transform("_c", lambda c: c["name"]).alias("_n"), F.explode("_c").alias("c"))
     read = F.array_distinct(F.transform(T.rx_all(F.col("c.body"), r"(?i)\b(?:FROM|JOIN)\s+(\w+)\b", 1), F.lower))
     return rows.select("doc_id", "stmt_idx", F.col("c.name").alias("dst_cte"), F.explode(F.array_intersect(read, "_n")).alias("src_cte")).filter("src_cte <> dst_cte")

@@ -14,15 +14,13 @@ _SET_OP = r"(?i)\b(?:UNION\s+ALL|UNION|INTERSECT|EXCEPT|MINUS)\b"
 
 
 def _parts(stmts: DataFrame) -> DataFrame:
-    o = I._main_query(F.col("masked"))
-    base = stmts.select("doc_id", "path", "stmt_idx", "clean", "masked", o.alias("o"))
+    base = T.hold(stmts.select("doc_id", "path", "stmt_idx", "masked"), o=I._main_query(F.col("masked")))
     m, o = F.col("masked"), F.col("o")
-    read = F.filter(R.ref_structs(o), lambda r: r["context"].isin("FROM", "JOIN"))
+    read = F.transform(F.filter(R.ref_matches(o), lambda r: r.rlike(r"(?i)^(?:FROM|JOIN)\b")), R.match_name)
     joins = T.rx_all(o, r"(?i)\b((?:NATURAL\s+)?(?:(?:INNER|CROSS|(?:LEFT|RIGHT|FULL)(?:\s+OUTER)?)\s+)?JOIN)\b", 1)
-    return base.select("doc_id", "path", "stmt_idx", "o", R.cte_structs(m).alias("ctes"), F.transform(read, lambda r: F.lower(r["table_name"])).alias("tables"),
-                       F.transform(joins, lambda j: F.upper(F.regexp_replace(j, r"\s+", " "))).alias("joins"), T.clause(o, "where").alias("w"), T.clause(o, "group").alias("g"),
-                       T.clause(o, "having").alias("h"), T.clause(o, "order").alias("ob"), T.select_list(o).alias("s"),
-                       T.rx_all(o, r"(?i)\(subq\)", 0).alias("subs"), T.rx_all(o, _SET_OP, 0).alias("sets"), T.rx(o, r"(?i)\bLIMIT\s+(\d+)|\bTOP\s*\(?\s*(\d+)", 0).alias("lim"))
+    return T.hold(base, ctes=R.cte_structs(m), tables=F.filter(read, R.is_table_name), joins=F.transform(joins, lambda j: F.upper(F.regexp_replace(j, r"\s+", " "))),
+                  w=T.clause(o, "where"), g=T.clause(o, "group"), h=T.clause(o, "having"), ob=T.clause(o, "order"), s=T.select_list(o), subs=T.rx_all(o, r"(?i)\(subq\)", 0),
+                  sets=T.rx_all(o, _SET_OP, 0), lim=T.rx(o, r"(?i)\bLIMIT\s+(\d+)|\bTOP\s*\(?\s*(\d+)", 0))
 
 
 def op_nodes(stmts: DataFrame) -> DataFrame:
@@ -47,7 +45,8 @@ def op_nodes(stmts: DataFrame) -> DataFrame:
             op("union", F.upper(F.regexp_replace(F.get("sets", F.lit(0)), r"\s+", " ")), F.size("sets") > 0), op("result", F.lit("RESULT"), s != "")), lambda n: n.isNotNull()))
     leaves = F.concat(F.transform("ctes", lambda c: leaf("cte", c["name"])), F.transform("tables", lambda t: leaf("table", t)), F.transform("subs", lambda q: leaf("subquery", F.lit("(subquery)"))),
                       F.flatten(F.transform("ctes", lambda c: F.transform(T.rx_all(c["body"], r"(?i)\b(?:FROM|JOIN)\s+(?:\w+\.)?(\w+)\b", 1), lambda t: leaf("table", F.lower(t), c["name"], 1)))))
-    rows = p.select("doc_id", "path", "stmt_idx", F.size(chain).alias("_len"), F.posexplode(F.concat(chain, leaves)).alias("pos", "n"))
+    p = T.hold(T.hold(p, _chain=chain), _leaves=leaves)
+    rows = p.select("doc_id", "path", "stmt_idx", F.size("_chain").alias("_len"), F.posexplode(F.concat("_chain", "_leaves")).alias("pos", "n"))
     return rows.select("doc_id", "path", "stmt_idx", "pos", "n.kind", "n.label", F.col("n.parent").alias("parent_label"), "n.depth",
                        F.when(F.col("n.in_chain"), F.col("pos")).alias("chain"), F.concat(F.col("n.kind"), F.lit("_"), F.col("pos").cast("string")).alias("node_id"), F.col("_len").alias("chain_length"))
 

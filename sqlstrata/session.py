@@ -20,6 +20,7 @@ def local_session(cores: int = 8, app: str = "sqlstrata", memory: str = "16g") -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-"))
         .config(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="spark-"))
         .getOrCreate()
@@ -54,3 +55,9 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for one run's tables."""
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a source with fewer splits than cores over all cores; a larger source keeps its splits and is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

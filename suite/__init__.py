@@ -1,0 +1,4 @@
+"""The registered queries."""
+
+from suite import analysis_queries, text_queries  # noqa: F401
+from suite.base import ORACLES, QUERIES  # noqa: F401
