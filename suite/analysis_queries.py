@@ -33,9 +33,9 @@ CTES["scored"] = f"SELECT *, CAST(floor({_SCORE} + 0.5) AS INTEGER) AS complexit
 # Which rule fires on which kind of template (statement 0 unless given), with type, severity and category.
 _FIRES = {
     "H1": ([0], "warning", "medium", "performance"), "H3": ([3, 48], "error", "high", "performance"), "H4": ([30], "warning", "medium", "performance"), "H5": ([45], "warning", "medium", "performance"),
-    "H6": ([25], "error", "high", "performance"), "H7": ([2], "warning", "medium", "quality"), "H8": ([15, 44], "info", "low", "quality"), "H11": ([15, 29, 30], "warning", "medium", "performance"),
+    "H6": ([25], "error", "high", "performance"), "H7": ([2], "warning", "medium", "quality"), "H8": ([15, 45], "info", "low", "quality"), "H9": ([44], "info", "low", "quality"),
     "H12": ([42], "warning", "medium", "performance"), "H13": ([26], "info", "medium", "performance"), "H14": ([10], "warning", "high", "performance"), "H15": ([42], "info", "low", "performance"),
-    "H16": ([43], "warning", "high", "performance"), "H17": ([4, 44, 45], "info", "medium", "performance"), "H18": ([14], "info", "medium", "performance"), "H19": ([15], "info", "medium", "performance"),
+    "H17": ([4, 44, 45], "info", "medium", "performance"), "H18": ([14], "info", "medium", "performance"), "H19": ([15], "info", "medium", "performance"),
     "H20": ([14], "warning", "high", "quality"), "H22a": ([11], "warning", "high", "performance"), "H22b": ([9, 11], "warning", "medium", "performance"), "H22c": ([46], "warning", "medium", "performance"),
     "H22d": ([46], "warning", "high", "performance"), "H22e": ([46], "info", "medium", "performance"), "H22f": ([46], "warning", "medium", "performance"), "H22g": ([46], "info", "low", "performance"),
     "H23a": ([11], "warning", "medium", "performance"), "H23b": ([11], "info", "low", "performance"), "H23c": ([11], "warning", "medium", "performance"), "H24": ([9, 27], "warning", "high", "performance"),
@@ -44,11 +44,15 @@ _FIRES = {
 }
 _H2 = [0, 8, 9, 10, 11, 12, 13, 14, 15, 25, 26, 27, 28, 29, 30, 31, 33, 38, 39, 42, 43, 44, 45, 46, 47, 49]
 _FIXED = ", ".join(f"('{r}', {k}, '{t}', '{s}', '{c}')" for r, (ks, t, s, c) in _FIRES.items() for k in ks)
+CTES["reads"] = r"""SELECT doc_id, path, stmt_idx, t, t IN (SELECT l.n FROM local_names l WHERE l.doc_id = x.doc_id AND l.stmt_idx = x.stmt_idx) AS local_name, count(*) AS n FROM (
+    SELECT doc_id, path, stmt_idx, lower(unnest(regexp_extract_all(txt, '(?i)\b(?:FROM|JOIN)\s+(?:\w+\.)?["''`]?(\w+)', 1))) AS t FROM reftext) x WHERE t NOT IN (SELECT w FROM reserved) AND len(t) >= 2 GROUP BY ALL"""
 CTES["findings"] = f"""SELECT doc_id, path, 0 AS stmt_idx, rule_id, type, severity, category FROM qlog q JOIN (VALUES {_FIXED}) v(rule_id, k, type, severity, category) ON q.kind = v.k
     UNION ALL SELECT doc_id, path, 0, 'H2', 'info', 'low', 'performance' FROM qlog WHERE kind IN ({', '.join(map(str, _H2))})
     UNION ALL SELECT doc_id, path, 1, 'H2', 'info', 'low', 'performance' FROM qlog WHERE kind = 8 UNION ALL SELECT doc_id, path, 2, 'H2', 'info', 'low', 'performance' FROM qlog WHERE kind = 23
     UNION ALL SELECT doc_id, path, i, 'H35b', 'warning', 'medium', 'best-practice' FROM qlog, (VALUES (0), (1)) v(i) WHERE kind = 23
     UNION ALL SELECT doc_id, path, 0, 'H31', 'warning', 'medium', 'best-practice' FROM qlog WHERE kind IN (28, 33, 49)
+    UNION ALL SELECT doc_id, path, 0, 'H8', 'info', 'low', 'quality' FROM qlog WHERE (kind = 45 AND b = c) OR (kind = 2 AND a = c)
+    UNION ALL SELECT doc_id, path, stmt_idx, CASE WHEN local_name THEN 'H16' ELSE 'H11' END, 'warning', CASE WHEN local_name AND n > 2 THEN 'high' ELSE 'medium' END, 'performance' FROM reads WHERE n > 1
     UNION ALL SELECT doc_id, path, 0, 'H36', 'info', NULL, 'best-practice' FROM qlog WHERE kind IN (16, 18, 19, 49)"""
 
 
@@ -106,7 +110,7 @@ def _(spark, d):
     return O.max_fan_out(O.op_edges(O.op_nodes(stored_stmts(spark, d)))).groupBy("max_fan_out").agg(F.count("*").alias("statements"))
 
 
-@query("A10_critical_path", """SELECT doc_id, critical_path FROM qlog JOIN (VALUES (0, 3), (1, 6), (2, 5), (9, 7), (10, 6), (12, 4), (13, 4), (15, 4), (26, 5), (30, 9), (31, 4), (42, 6)) v(kind, critical_path) USING (kind)""")
+@query("A10_critical_path", """SELECT doc_id, critical_path FROM qlog JOIN (VALUES (0, 3), (1, 6), (2, 5), (9, 6), (10, 6), (12, 4), (13, 4), (15, 4), (26, 5), (30, 9), (31, 4), (42, 6)) v(kind, critical_path) USING (kind)""")
 def _(spark, d):
     # The kinds whose chain is written down on the other side; the shape of all others is in A13.
     s = O.shape(O.op_nodes(stmts(spark, d)))
@@ -262,7 +266,7 @@ _FAMILIES = {f"F{i}": n for i, n in enumerate(["common_aggregates", "ranking", "
 
 
 def _register_family(family: str, title: str) -> None:
-    names = sorted({r[3] for r in FR.registry_rows() if r[0] == family})
+    names = sorted({r[3] for r in FR.registry_rows() if r[0] == family} - {n.upper() for n in I.NOT_A_FUNCTION})
     @query(f"{family}_{title}", rf"""SELECT name, count(*) AS calls FROM (SELECT upper(unnest(regexp_extract_all(masked, '(?i)\b([A-Za-z_][\w.]*)\s*\(', 1))) AS name FROM stmts) WHERE name IN ({quoted(names)}) GROUP BY 1""")
     def _(spark, d):
         known = FR.function_registry(spark).filter(F.col("family") == family).select("name").distinct()

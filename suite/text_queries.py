@@ -10,7 +10,7 @@ from sqlstrata.operators import catalog as C, definitions as D, items as I, refs
 from sqlstrata.plans import graph as G, lineage as L
 from sqlstrata.sources import corpus as Q, snapshot as N
 from sqlstrata.session import scratch_path
-from suite.base import base_refs, corpus, defs, join_text, query, quoted, stmts
+from suite.base import base_refs, corpus, defs, join_text, query, quoted, stmts, stored_stmts
 
 
 @query("S1_corpus_scan")
@@ -65,7 +65,7 @@ def _(spark, d):
 @query("S6_graph_sink", "SELECT type, count(*) AS n FROM nodes GROUP BY type")
 def _(spark, d):
     root = scratch_path(spark, "graph")
-    nodes, edges = L.lineage_graph(stmts(spark, d))
+    nodes, edges = L.lineage_graph(stored_stmts(spark, d))
     N.write_graph(nodes, edges, root, "run1", "all")
     return spark.read.parquet(f"{root}/stats").select("type", "n")
 
@@ -398,25 +398,25 @@ def _(spark, d):
 
 @query("P49_filter_by_type", "SELECT src, dst FROM edges WHERE src IN (SELECT id FROM nodes WHERE type IN ('table', 'view')) AND dst IN (SELECT id FROM nodes WHERE type IN ('table', 'view'))")
 def _(spark, d):
-    nodes, edges = L.lineage_graph(stmts(spark, d))
+    nodes, edges = L.lineage_graph(stored_stmts(spark, d))
     return G.edges_among(edges, G.filter_by_type(nodes, ["table", "view"])).select("src", "dst")
 
 
 @query("P50_filter_by_search", "SELECT id, 'substring' AS mode FROM nodes WHERE name LIKE '%12%' UNION ALL SELECT id, 'regex' FROM nodes WHERE regexp_matches(name, '^v[0-9]+$')")
 def _(spark, d):
-    nodes, _ = L.lineage_graph(stmts(spark, d))
+    nodes, _ = L.lineage_graph(stored_stmts(spark, d))
     return G.filter_by_search(nodes, "12").select("id", F.lit("substring").alias("mode")).union(G.filter_by_search(nodes, "^V[0-9]+$", regex=True).select("id", F.lit("regex")))
 
 
 @query("P51_combined_filter", "SELECT id FROM nodes WHERE type IN ('table', 'view') AND name LIKE '%1%' AND type <> 'external'")
 def _(spark, d):
-    nodes, _ = L.lineage_graph(stmts(spark, d))
+    nodes, _ = L.lineage_graph(stored_stmts(spark, d))
     return G.filter_by_search(G.filter_by_type(nodes, ["table", "view"]), "1").filter("type <> 'external'").select("id")
 
 
 @query("P52_ranked_search", "SELECT id, type, name FROM nodes WHERE lower(name) LIKE '%t12%' ORDER BY CASE WHEN lower(name) = 't12' THEN 0 ELSE 1 END, lower(name), name, id LIMIT 15")
 def _(spark, d):
-    nodes, _ = L.lineage_graph(stmts(spark, d))
+    nodes, _ = L.lineage_graph(stored_stmts(spark, d))
     return G.search_names(nodes, "T12")
 
 
