@@ -92,21 +92,24 @@ def hold(df: DataFrame, **cols: Column) -> DataFrame:
     Without it the optimizer copies a column into the one place that uses it, and inside an array function that place
     runs once per element. A one-element explode is the barrier; it is pipelined and moves no data.
     """
-    packed = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias("_held")
     kept = [c for c in df.columns if c not in cols]
-    return df.select(*kept, packed).select(*kept, *[F.col(f"_held.{n}").alias(n) for n in cols])
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
-def prefix_sums(df: DataFrame, values: str, name: str) -> DataFrame:
-    """Add the exclusive prefix sums of an int array, by blocks of sqrt(n): a long array costs n * sqrt(n), never n * n."""
+def with_prefix_sums(df: DataFrame, values: str) -> tuple[DataFrame, Column]:
+    """The frame with a helper column, and the exclusive prefix sums of an int array.
+
+    Blocks of sqrt(n) are summed first, so a long array costs n * sqrt(n), never n * n.
+    """
     def total(arr: Column) -> Column:
         return F.aggregate(arr, F.lit(0), lambda acc, x: acc + x)
-    df = hold(df, _block=F.greatest(F.ceil(F.sqrt(F.size(values))).cast("int"), F.lit(1)))
-    size = F.col("_block")
-    df = hold(df, _sums=F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / size).cast("int")), lambda k: total(F.slice(values, k * size + 1, size))))
-    df = hold(df, _starts=F.transform("_sums", lambda _, k: total(F.slice("_sums", F.lit(1), k))))
-    at = lambda i: F.floor(i / size).cast("int")
-    return hold(df, **{name: F.transform(values, lambda _, i: F.get("_starts", at(i)) + total(F.slice(values, at(i) * size + 1, F.pmod(i, size))))}).drop("_block", "_sums", "_starts")
+    size = F.greatest(F.ceil(F.sqrt(F.size(values))).cast("int"), F.lit(1))
+    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("starts"))
+    blocks = F.aggregate(F.sequence(F.lit(0), F.floor(F.size(values) / size).cast("int")), start, lambda acc, k: F.struct(
+        (acc["sum"] + total(F.slice(values, k * size + 1, size))).alias("sum"), F.array_append(acc["starts"], acc["sum"]).alias("starts")))
+    df = hold(df, _starts=blocks["starts"], _size=size)
+    at = lambda i: F.floor(i / F.col("_size")).cast("int")
+    return df, F.transform(values, lambda _, i: F.get("_starts", at(i)) + total(F.slice(values, at(i) * F.col("_size") + 1, F.pmod(i, F.col("_size")))))
 
 
 # --- templates -------------------------------------------------------------------------------------------------

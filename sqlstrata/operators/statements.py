@@ -101,8 +101,8 @@ def statements(corpus: DataFrame, templates: bool = True, helper: bool = False)
     cols = [c for c in ("doc_id", "path") if c in corpus.columns]
     parts = T.hold(corpus.select(*cols, "sql"), _pieces=cut).drop("sql")
     parts = T.hold(parts, _newlines=F.transform("_pieces", T.newlines))
-    lines = T.prefix_sums(parts, "_newlines", "_before")
-    kept = F.filter(F.arrays_zip("_pieces", "_before"),
+    lines, before = T.with_prefix_sums(parts, "_newlines")
+    kept = F.filter(F.arrays_zip(F.col("_pieces").alias("_pieces"), before.alias("_before")),
                     lambda p: T.strip_leading_comments(_without_separator(p["_pieces"])) != "")
     rows = lines.select(*cols, F.posexplode(kept).alias("stmt_idx", "_p"))
     lead = T.newlines(F.regexp_extract("_p._pieces", r"^\s*", 0))

@@ -223,8 +223,8 @@ def column_edges(spark, d):
 CTES["col_keys"] = """SELECT doc_id, src_key, src_column, dst_key, dst_column FROM (
     SELECT doc_id, 't' || a AS src_key, 'id' AS src_column, 't' || b AS dst_key, 'id' AS dst_column FROM qlog WHERE kind = 1 UNION ALL SELECT doc_id, 't' || a, 'v', 't' || b, 'total' FROM qlog WHERE kind = 1
     UNION ALL SELECT doc_id, 't' || a, 'id', 'v' || b, 'id' FROM qlog WHERE kind = 5 UNION ALL SELECT doc_id, 't' || a, 'k', 'v' || b, 'n' FROM qlog WHERE kind = 5
-    UNION ALL SELECT doc_id, 't' || a, c, 't' || b, c FROM qlog, (VALUES ('id'), ('v')) v(c) WHERE kind = 36 UNION ALL SELECT doc_id, 't' || a, 'id', 'tmp' || b, 'id' FROM qlog WHERE kind = 39
-    UNION ALL SELECT doc_id, 'raw.sales', c, 'mart.kpi', o FROM qlog, (VALUES ('amt', 'amt'), ('region', 'region')) v(c, o) WHERE kind = 41) x"""
+    UNION ALL SELECT doc_id, 't' || a, col, 't' || b, col FROM qlog, (VALUES ('id'), ('v')) v(col) WHERE kind = 36 UNION ALL SELECT doc_id, 't' || a, 'id', 'tmp' || b, 'id' FROM qlog WHERE kind = 39
+    UNION ALL SELECT doc_id, 'raw.sales', col, 'mart.kpi', col FROM qlog, (VALUES ('amt'), ('region')) v(col) WHERE kind = 41) x"""
 CTES["col_edges"] = "SELECT DISTINCT s.id AS src_id, src_column, d.id AS dst_id, dst_column FROM col_keys JOIN node_of s ON s.key = src_key JOIN node_of d ON d.key = dst_key"
 
 
