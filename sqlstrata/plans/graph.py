@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sqlstrata.session import cut
+from sqlstrata.session import cut, cut_counted
 
 DEFAULT_DEPTH, MAX_DEPTH = 5, 20  # fixed values: default and clamp of a requested depth
 _COMPACT = 8  # rounds after which the seen set is rewritten as one table
@@ -27,7 +27,7 @@ def _directed(edges: DataFrame, direction: str) -> DataFrame:
         e = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     if direction == "both":
         e = e.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return cut(e.distinct(), "edges")
+    return e.distinct()
 
 
 def _allowed(edges: DataFrame, nodes: DataFrame | None, types: list[str] | None, exclude_external: bool) -> DataFrame:
@@ -48,20 +48,15 @@ def closure(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_dep
 
     Many seeds travel together: the loop runs once for all of them.
     """
-    if direction == "up" and nodes is not None:
-        e = _allowed(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), nodes, types, exclude_external)
-        e = cut(e.distinct(), "edges")
-    else:
-        e = cut(_allowed(_directed(edges, direction), nodes, types, exclude_external), "edges")
+    e = cut(_allowed(_directed(edges, direction), nodes, types, exclude_external), "edges")
     frontier = cut(seeds.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")), "frontier")
     seen, depth = [frontier], 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(e, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        for earlier in seen:
-            step = step.join(earlier.select("seed", "node"), ["seed", "node"], "left_anti")
-        frontier = cut(step.withColumn("depth", F.lit(depth)), "frontier")
-        if frontier.isEmpty():
+        step = step.join(_union(seen).select("seed", "node"), ["seed", "node"], "left_anti")
+        frontier, rows = cut_counted(step.withColumn("depth", F.lit(depth)), "frontier")
+        if rows == 0:
             break
         seen.append(frontier)
         if len(seen) > _COMPACT:
@@ -112,7 +107,7 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> tuple[Da
 def shortest_path(edges: DataFrame, source, target, max_depth: int | None = None) -> DataFrame:
     """`(position, node)` of one shortest path; among equals the one whose parents have the smallest ids. Empty when there is none."""
     spark = edges.sparkSession
-    e = _directed(edges, "down")
+    e = cut(_directed(edges, "down"), "edges")
     kind = e.schema["src"].dataType
     start = spark.range(1).select(F.lit(source).cast(kind).alias("node")).select("node", F.array("node").alias("path"))
     frontier, depth = cut(start, "frontier"), 0
@@ -121,10 +116,9 @@ def shortest_path(edges: DataFrame, source, target, max_depth: int | None = None
         depth += 1
         step = frontier.join(e, F.col("node") == F.col("src")).groupBy("dst").agg(F.min(F.struct(F.col("src"), F.col("path"))).alias("p"))
         step = step.select(F.col("dst").alias("node"), F.array_append("p.path", F.col("dst")).alias("path"))
-        for earlier in seen:
-            step = step.join(earlier.select("node"), "node", "left_anti")
-        frontier = cut(step, "frontier")
-        if frontier.isEmpty():
+        step = step.join(_union([f.select("node") for f in seen]), "node", "left_anti")
+        frontier, rows = cut_counted(step, "frontier")
+        if rows == 0:
             break
         seen.append(frontier)
     return frontier.filter(F.col("node") == F.lit(target)).select(F.posexplode("path").alias("position", "node"))
@@ -147,8 +141,8 @@ def simple_paths(edges: DataFrame, source, target, max_depth: int | None = None)
         depth += 1
         last = open_.filter(F.element_at("path", -1) != F.lit(target)).withColumn("_at", F.element_at("path", -1))
         step = last.join(useful, F.col("_at") == F.col("src")).filter(~F.array_contains("path", F.col("dst")))
-        open_ = cut(step.select(F.array_append("path", F.col("dst")).alias("path")), "paths")
-        if open_.isEmpty():
+        open_, rows = cut_counted(step.select(F.array_append("path", F.col("dst")).alias("path")), "paths")
+        if rows == 0:
             break
         done.append(open_.filter(F.element_at("path", -1) == F.lit(target)))
     return _union(done).select("path", F.size("path").alias("depth"))
@@ -179,13 +173,11 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 def _trim(edges: DataFrame) -> DataFrame:
     """Drop edges at nodes without a way in or a way out, until none is left: such nodes are in no cycle."""
-    e = cut(edges.filter("src <> dst").select("src", "dst").distinct(), "core")
-    size = e.count()
+    e, size = cut_counted(edges.filter("src <> dst").select("src", "dst").distinct(), "core")
     while True:
         kept = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         kept = kept.join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        kept = cut(kept, "core")
-        left = kept.count()
+        kept, left = cut_counted(kept, "core")
         if left == size or left == 0:
             return kept
         e, size = kept, left
@@ -275,8 +267,8 @@ def levels(edges: DataFrame, acyclic: bool = False) -> DataFrame:
     reached, level = [frontier], 0
     while True:
         level += 1
-        frontier = cut(frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().withColumn("level", F.lit(level)), "level")
-        if frontier.isEmpty():
+        frontier, rows = cut_counted(frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().withColumn("level", F.lit(level)), "level")
+        if rows == 0:
             break
         reached.append(frontier)
         if len(reached) > _COMPACT:

@@ -92,9 +92,9 @@ def external_nodes(edges: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("int").alias("line"))
 
 
-def lineage_graph(stmts: DataFrame, with_columns: bool = True, extended: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a corpus. Edges carry `relationship`: "flow" or "contains"."""
-    defs = cut(D.definitions(stmts), "defs")
+def lineage_graph(stmts: DataFrame, with_columns: bool = True, extended: bool = False, defs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a corpus. Edges carry `relationship`: "flow" or "contains". `defs` saves a pass when it is stored already."""
+    defs = defs if defs is not None else cut(D.definitions(stmts), "defs")
     flow = cut(table_edges(stmts, defs, extended).select("src", "dst", F.lit("flow").alias("relationship"), "file_path"), "flow")
     nodes = definition_nodes(defs).select(*NODE).unionByName(cte_nodes(R.ctes(stmts)).select(*NODE)).unionByName(external_nodes(flow).select(*NODE))
     nodes = cut(nodes, "nodes")

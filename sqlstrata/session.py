@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -52,6 +52,13 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, label: str = "step") -> tuple[DataFrame, int]:
+    """`cut`, with the number of rows observed while they were written: no second job counts them."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return out, seen.get["rows"]
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for one run's tables."""
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sqlstrata.operators import compare as K, definitions as D, refs as R, statements as S
@@ -36,48 +36,73 @@ def index_of(files: DataFrame) -> dict[str, DataFrame]:
 
 
 TABLES = ("files", "refs", "defs")
+BUCKETS = 64  # the index is cut by path hash; a batch rewrites only the buckets it touches
+POINTER = "batch long, bucket int, version string"
 
 
-def _version(root: str, spark: SparkSession) -> str | None:
-    rows = _pointer(spark, root)
-    return rows[0].version if rows else None
+def bucket_of(path: str) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
 
 
-def _pointer(spark: SparkSession, root: str) -> list:
-    try:
-        return spark.read.schema("batch long, version string, pending long").parquet(f"{root}/pointer").orderBy(F.desc("batch")).limit(1).collect()
-    except Exception:  # nothing has been applied yet
-        return []
+def _pointer(spark: SparkSession, root: str) -> dict[int, tuple[int, str]]:
+    """Newest (batch, version) of each bucket, at most BUCKETS rows."""
+    if not _exists(spark, f"{root}/pointer"):
+        return {}
+    rows = spark.read.schema(POINTER).parquet(f"{root}/pointer")
+    last = rows.groupBy("bucket").agg(F.max(F.struct("batch", "version")).alias("p")).select("bucket", "p.batch", "p.version")
+    return {r.bucket: (r.batch, r.version) for r in last.collect()}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def _read(spark: SparkSession, root: str, table: str, pointer: dict[int, tuple[int, str]]) -> DataFrame | None:
+    paths = [f"{root}/{version}/{table}/bucket={bucket}" for bucket, (_, version) in pointer.items()]
+    paths = [p for p in paths if _exists(spark, p)]  # a bucket that lost its last path has no folder
+    if not paths:
+        return None
+    return spark.read.parquet(*paths)
 
 
 def load_index(spark: SparkSession, root: str) -> dict[str, DataFrame] | None:
-    version = _version(root, spark)
-    return {t: spark.read.parquet(f"{root}/{version}/{t}") for t in TABLES} if version else None
+    """The index tables as of the newest pointer rows."""
+    pointer = _pointer(spark, root)
+    if not pointer:
+        return None
+    empty = index_of(spark.createDataFrame([], "path string, sql string"))
+    found = {t: _read(spark, root, t, pointer) for t in TABLES}
+    return {t: df if df is not None else empty[t] for t, df in found.items()}
 
 
 def apply_batch(root: str):
-    """A `foreachBatch` function: coalesce, drop what is unchanged by hash, replace the rest, write a new version, move the pointer.
+    """A `foreachBatch` function: coalesce, drop what is unchanged by hash, rewrite the touched buckets, move their pointers.
 
-    A batch that is run again (after a failure) finds its number in the pointer and does nothing.
+    Old versions stay, so a reader keeps its view, and a batch that is run again after a failure finds its number and does nothing.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        current = _pointer(spark, root)
-        if current and current[0].batch >= batch_id:
+        pointer = _pointer(spark, root)
+        if any(done >= batch_id for done, _ in pointer.values()):
             return
-        old = {t: spark.read.parquet(f"{root}/{current[0].version}/{t}") for t in TABLES} if current else None
         change = latest(batch).withColumn("content_hash", F.when(F.col("change_type") != "delete", F.sha2("sql", 256)))
-        if old:
-            change = change.join(old["files"].select("path", "content_hash"), ["path", "content_hash"], "left_anti")
+        known = _read(spark, root, "files", pointer)
+        if known is not None:
+            change = change.join(known.select("path", "content_hash"), ["path", "content_hash"], "left_anti")
         staged = f"{root}/changes/{batch_id}"
-        change.write.mode("overwrite").parquet(staged)
+        change.withColumn("bucket", bucket_of("path")).write.mode("overwrite").parquet(staged)
         change = spark.read.parquet(staged)
+        touched = {r.bucket for r in change.select("bucket").distinct().collect()}  # at most BUCKETS values
         fresh = index_of(change.filter("change_type <> 'delete'").select("path", "sql"))
+        old = {b: p for b, p in pointer.items() if b in touched}
         version = f"v{batch_id}"
         for t in TABLES:
-            merged = K.merge_index(old[t], change, fresh[t]) if old else fresh[t]
-            merged.write.mode("overwrite").parquet(f"{root}/{version}/{t}")
-        spark.range(1).select(F.lit(batch_id).alias("batch"), F.lit(version).alias("version"), F.lit(0).cast("long").alias("pending")).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+            before = _read(spark, root, t, old)
+            merged = K.merge_index(before, change, fresh[t]) if before is not None else fresh[t]
+            merged.withColumn("bucket", bucket_of("path")).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{version}/{t}")
+        moved = spark.range(BUCKETS).select(F.lit(batch_id).cast("long").alias("batch"), F.col("id").cast("int").alias("bucket"), F.lit(version).alias("version"))
+        moved.filter(F.col("bucket").isin(sorted(touched) or [-1])).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
     return run
 
 

@@ -443,7 +443,7 @@ def changes_of(de):
 def impact_of(spark, d, files=False):
     s = stored_stmts(spark, d)
     de = cut(D.definitions(s), "defs")
-    nodes, edges = L.lineage_graph(s)
+    nodes, edges = L.lineage_graph(s, defs=de)
     targets = cut(M.target_ids(changes_of(de), nodes), "targets")
     fk = C.foreign_keys_to(D.def_columns(de), de.select(F.col("table_key").alias("target_key")))
     rows = cut(M.impact(nodes, edges, targets, fk, node_files=L.node_files(de) if files else None), "impact")
