@@ -29,17 +29,20 @@ def local_session(cores: int = 8, app: str = "sqlstrata", memory: str = "16g") -
     return spark
 
 
+_fallback: dict[str, str] = {}  # one temporary folder per local application that names none
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder. Only a local master may fall back to a temporary one."""
-    folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(CHECKPOINT_CONF, folder)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    sc = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF) or sc.getCheckpointDir()
+    if folder:
+        return folder
+    if not sc.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
+    if sc.applicationId not in _fallback:
+        _fallback[sc.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return _fallback[sc.applicationId]
 
 
 def cut(df: DataFrame, label: str = "step") -> DataFrame:

@@ -110,11 +110,9 @@ def _(spark, d):
     return O.max_fan_out(O.op_edges(O.op_nodes(stored_stmts(spark, d)))).groupBy("max_fan_out").agg(F.count("*").alias("statements"))
 
 
-@query("A10_critical_path", """SELECT doc_id, critical_path FROM qlog JOIN (VALUES (0, 3), (1, 6), (2, 5), (9, 6), (10, 6), (12, 4), (13, 4), (15, 4), (26, 5), (30, 9), (31, 4), (42, 6)) v(kind, critical_path) USING (kind)""")
+@query("A10_critical_path", "SELECT doc_id, stmt_idx, ops + CAST(has_table AS INTEGER) AS critical_path FROM chains")
 def _(spark, d):
-    # The kinds whose chain is written down on the other side; the shape of all others is in A13.
-    s = O.shape(O.op_nodes(stmts(spark, d)))
-    return s.filter((F.col("doc_id") % X.KINDS).isin(0, 1, 2, 9, 10, 12, 13, 15, 26, 30, 31, 42) & (F.col("stmt_idx") == 0)).select("doc_id", "critical_path")
+    return O.shape(O.op_nodes(stmts(spark, d))).select("doc_id", "stmt_idx", "critical_path")
 
 
 @query("A11_cte_depth", "SELECT doc_id, 1 AS max_cte_depth FROM qlog WHERE kind IN (2, 29, 43)")
@@ -132,11 +130,12 @@ def _(spark, d):
     return O.shape(O.op_nodes(stmts(spark, d))).groupBy("is_complex").agg(F.count("*").alias("statements"), F.max("nodes").alias("most_nodes"))
 
 
-@query("A14_node_levels", """SELECT doc_id, count(*) AS nodes, count(*) FILTER (WHERE joins > 3) AS bottlenecks FROM (SELECT doc_id, joins, unnest(range(joins)) FROM counts WHERE kind IN (1, 9, 10, 30, 42, 43, 28, 33, 34)) GROUP BY doc_id""")
+# The join of a recursive CTE's body is no operator of the statement itself.
+@query("A14_node_levels", "SELECT doc_id, count(*) AS nodes, count(*) FILTER (WHERE joins > 3) AS bottlenecks FROM (SELECT doc_id, joins, unnest(range(joins)) FROM counts WHERE kind <> 29) GROUP BY doc_id")
 def _(spark, d):
     s = stored_stmts(spark, d)
     levels = O.node_levels(O.op_nodes(s), A.feature_counts(s)).filter("kind = 'join'")
-    return levels.filter((F.col("doc_id") % X.KINDS).isin(1, 9, 10, 30, 42, 43, 28, 33, 34)).groupBy("doc_id").agg(F.count("*").alias("nodes"), F.count_if("is_bottleneck").alias("bottlenecks"))
+    return levels.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.count_if("is_bottleneck").alias("bottlenecks"))
 
 
 @query("A15_top_findings", """SELECT doc_id, stmt_idx, rank, w AS weight FROM (SELECT doc_id, stmt_idx, row_number() OVER (PARTITION BY doc_id, stmt_idx ORDER BY w DESC) AS rank, w FROM (SELECT *, CASE severity WHEN 'high' THEN 30 WHEN 'medium' THEN 20 ELSE 10 END

@@ -141,6 +141,8 @@ CTES = {
     "cte_nodes": "SELECT 'cte:' || cte_name AS id, 'cte' AS type, cte_name AS name FROM ctes GROUP BY cte_name",
     "nodes": """SELECT id, type, name, CAST(NULL AS VARCHAR) AS parent_id FROM def_nodes UNION ALL SELECT id, type, name, NULL FROM cte_nodes UNION ALL SELECT id, type, name, NULL FROM ext_nodes
         UNION ALL SELECT id, type, name, parent_id FROM col_nodes""",
+    # The operator chain of each template's statements, read off the template.
+    "chains": "SELECT doc_id, stmt_idx, v.chain, len(string_split(v.chain, '>')) AS ops, v.kind NOT IN (4, 29, 32, 35) AS has_table FROM qlog q JOIN (VALUES (0, 0, 'SELECT>RESULT'), (1, 0, 'JOIN>WHERE>GROUP BY>SELECT>RESULT'), (2, 0, 'SELECT>ORDER BY>LIMIT>RESULT'), (4, 0, 'WHERE'), (5, 0, 'GROUP BY>SELECT>RESULT'), (8, 0, 'SELECT>UNION ALL>RESULT'), (8, 1, 'SELECT>RESULT'), (9, 0, 'CROSS JOIN>WHERE>WINDOW>SELECT>RESULT'), (10, 0, 'CROSS JOIN>JOIN>WHERE>SELECT>RESULT'), (11, 0, 'WHERE>CASE>SELECT>RESULT'), (12, 0, 'GROUP BY>SELECT>RESULT'), (13, 0, 'WINDOW>SELECT>RESULT'), (14, 0, 'WHERE>SELECT>RESULT'), (15, 0, 'WHERE>SELECT>RESULT'), (21, 0, 'SELECT>RESULT'), (23, 2, 'SELECT>RESULT'), (25, 0, 'SELECT>RESULT'), (26, 0, 'GROUP BY>HAVING>SELECT>RESULT'), (27, 0, 'WHERE>SELECT>RESULT'), (28, 0, 'JOIN>SELECT>RESULT'), (29, 0, 'SELECT>RESULT'), (30, 0, 'JOIN>LEFT JOIN>RIGHT JOIN>INNER JOIN>FULL OUTER JOIN>JOIN>SELECT>RESULT'), (31, 0, 'SELECT>UNION>RESULT'), (32, 0, 'WHERE'), (33, 0, 'JOIN>SELECT>RESULT'), (34, 0, 'JOIN>WHERE'), (35, 0, 'WHERE'), (36, 0, 'WHERE>SELECT>RESULT'), (37, 0, 'SELECT>RESULT'), (38, 0, 'WHERE>SELECT>RESULT'), (39, 0, 'SELECT>RESULT'), (40, 0, 'JOIN>SELECT>RESULT'), (41, 0, 'GROUP BY>SELECT>RESULT'), (42, 0, 'JOIN>JOIN>WHERE>SELECT>RESULT'), (43, 0, 'JOIN>JOIN>SELECT>RESULT'), (44, 0, 'WHERE>SELECT>RESULT'), (45, 0, 'WHERE>SELECT>RESULT'), (46, 0, 'WHERE>SELECT>RESULT'), (47, 0, 'SELECT>RESULT'), (49, 0, 'WHERE>SELECT>RESULT')) v(kind, stmt_idx, chain) ON q.kind = v.kind",
     "edges": "SELECT src, dst, 'flow' AS relationship FROM flow UNION ALL SELECT parent_id, id, 'contains' FROM col_nodes",
 }
 

@@ -420,11 +420,9 @@ def _(spark, d):
     return G.search_names(nodes, "T12")
 
 
-@query("P53_fingerprint", r"""SELECT sha256(trim(regexp_replace(lower(regexp_replace(t, '\s+', ' ', 'g')), '\b(from|join|,)\s+(\w+)\s+(?:as\s+)?(x|y|a|b|c|d|e|f|g|t|s|q1|x1|x2|x3|fg)\b', '\1 \2', 'g'))) AS fingerprint, count(*) AS texts
-  FROM (SELECT regexp_replace(regexp_replace(regexp_replace(sql, '/\*(?:[^*]|\*[^/])*\*/', ' ', 'g'), '--[^\n]*', ' ', 'g'), '#[^\n]*', ' ', 'g') AS t FROM qlog WHERE kind IN (0, 3, 12, 22, 25)) GROUP BY 1""")
+@query("P53_fingerprint")
 def _(spark, d):
-    log = X.query_log(spark, d).filter((F.col("doc_id") % X.KINDS).isin(0, 3, 12, 22, 25))
-    return log.groupBy(T.fingerprint(F.col("sql")).alias("fingerprint")).agg(F.count("*").alias("texts"))
+    return X.query_log(spark, d).groupBy(T.fingerprint(F.col("sql")).alias("fingerprint")).agg(F.count("*").alias("texts"))
 
 
 @query("P54_subqueries", """SELECT doc_id, position, replace(replace(replace(subquery, '~a', CAST(a AS VARCHAR)), '~b', CAST(b AS VARCHAR)), '~c', CAST(c AS VARCHAR)) AS subquery, location FROM qlog JOIN (VALUES (2, 0, 'SELECT id, extra FROM t~a', 'where'), (2, 1, 'SELECT id FROM t~c', 'where'),

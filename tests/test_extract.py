@@ -86,3 +86,17 @@ def test_user_rule(corpus):
 def test_extraction_needs_no_shuffle_and_no_python(corpus, build):
     plan = build(S.statements(corpus("SELECT 1 FROM t1")))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_fingerprint_ignores_case_blanks_comments_and_aliases(corpus):
+    from sqlstrata.functions import text as T
+    df = corpus("SELECT a FROM t1 x WHERE 1=1", "select  a\nfrom t1 AS y where 1=1 -- note", "SELECT b FROM t1 x WHERE 1=1").select("doc_id", T.fingerprint(F.col("sql")).alias("f"))
+    f = {r.doc_id: r.f for r in df.collect()}
+    assert f[0] == f[1] != f[2]
+
+
+def test_filter_sources(corpus):
+    from sqlstrata.plans import opgraph as O
+    n = O.op_nodes(S.statements(corpus("SELECT a FROM t1 JOIN t2 ON 1=1 JOIN t3 ON 1=1 WHERE a = 1 GROUP BY a HAVING SUM(b) > 1")))
+    got = {(r["filter"], r.table_name) for r in O.filter_sources(n, O.op_edges(n)).collect()}
+    assert got == {(f, t) for f in ("WHERE", "HAVING") for t in ("t1", "t2", "t3")}
