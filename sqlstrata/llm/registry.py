@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from sqlstrata.llm import jaccard_join
+from sqlstrata.llm import decontaminate, jaccard_join, license_scan, main_text, packing, quality, repeat_index, secret_scan, url_filter, vp_search
 
 QUERIES = {
+    "op1_harmonic_packing": packing.query,
+    "op2_url_language_models": url_filter.query,
+    "op3_benchmark_decontamination": decontaminate.query,
     "op4_jaccard_join": jaccard_join.query,
+    "op5_secret_scan": secret_scan.query,
+    "op6_vantage_point_search": vp_search.query,
+    "op7_main_text": main_text.query,
+    "op8_license_scan": license_scan.query,
+    "op9_repeat_index": repeat_index.query,
+    "op10_quality_cotraining": quality.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_vantage_point_search": vp_search.SQL}
