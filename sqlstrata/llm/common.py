@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from sqlstrata.session import scratch_path
 
@@ -35,9 +35,37 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def wide(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal rows over all tasks by keys, also where the number of tasks is taken from the session."""
-    return df.repartition(*[F.col(k) for k in keys])
+ROWS_PER_FILE = 500_000
+
+
+def _kept(df: DataFrame, rows: int | None) -> tuple[DataFrame, tuple[int, int]]:
+    """`stored` for the pairs of a loop in files of a useful size, with their number and a sum over them that tells whether they changed."""
+    seen = Observation()
+    df = df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h"))
+    out = stored(df if rows is None else df.coalesce(rows // ROWS_PER_FILE + 1), "pairs")
+    return out, (seen.get["n"], seen.get["h"])
+
+
+def components(links: DataFrame) -> DataFrame:
+    """`links(a, b)` to `(node, component)` of all linked nodes: connected components, named by their smallest node.
+
+    Large-star and small-star rounds: each joins neighbours to the smallest one, so stars and chains alike take few rounds. A hot node's
+    neighbours are first aggregated to one minimum, and joins on it can be split.
+    """
+    pairs, state = _kept(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), None)
+    while True:
+        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large, _ = _kept(large, 2 * state[0])
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.inline(F.array(F.struct("u", F.col("m").alias("w")), F.struct(F.col("v").alias("u"), F.col("m").alias("w")))).alias("u", "v"))
+        before = state
+        pairs, state = _kept(small.where("u <> v").distinct(), 2 * state[0])
+        if state == before:
+            break
+    named = pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return named.union(named.select(F.col("component").alias("node"), "component").distinct())
 
 
 # ---- texts as bytes ----
@@ -123,18 +151,24 @@ def slot(key: Column, bits: int = SET_BITS) -> Column:
     return F.xxhash64(key).bitwiseAND(F.lit(bits - 1))
 
 
-def bit_set(keys: DataFrame, bits: int = SET_BITS) -> bytes:
-    """The keys of the one column of `keys`, as a bit set for `in_bits`. At most bits / 64 rows of two longs reach the driver."""
+def bit_sets(keys: DataFrame, conditions: list[Column], bits: int = SET_BITS) -> bytes:
+    """The keys of the first column of `keys` for which each condition holds, as one bit set after the other. At most bits / 64 rows reach the driver."""
     c = keys.columns[0]
-    s = keys.where(F.col(c).isNotNull()).select((F.col(c).cast("long").bitwiseAND(F.lit(bits - 1))).alias("s"))
-    words = s.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(s & 63 AS INT))")).alias("b"))
-    got = words.toArrow()
-    out = np.zeros(bits // 64, np.int64)
+    s = keys.where(F.col(c).isNotNull()).select(F.col(c).cast("long").bitwiseAND(F.lit(bits - 1)).alias("s"), *[x.alias(f"c{i}") for i, x in enumerate(conditions)])
+    bit = F.expr("shiftleft(1L, CAST(s & 63 AS INT))")
+    words = s.groupBy(F.shiftright("s", 6).alias("w")).agg(*[F.bit_or(F.when(F.col(f"c{i}"), bit).otherwise(F.lit(0).cast("long"))).alias(f"b{i}") for i in range(len(conditions))])
+    got, out = words.toArrow(), np.zeros((len(conditions), bits // 64), np.int64)
     if got.num_rows:
-        out[got.column("w").to_numpy()] = got.column("b").to_numpy()
+        for i in range(len(conditions)):
+            out[i, got.column("w").to_numpy()] = got.column(f"b{i}").to_numpy()
     return out.tobytes()
 
 
+def bit_set(keys: DataFrame, bits: int = SET_BITS) -> bytes:
+    """The keys of the one column of `keys`, as a bit set for `in_bits`."""
+    return bit_sets(keys, [F.lit(True)], bits)
+
+
 def in_bits(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Whether each key may be in the set."""
     s = keys.astype(np.int64) & np.int64(len(bits) * 64 - 1)

@@ -16,13 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sqlstrata.llm import common as C
-from sqlstrata.plans.graph import components
 
 C.by_value(__name__)
 
 GRAM = 4
 NUM, DEN = 85, 100  # sets link when DEN * intersection >= NUM * union
-SHARED = 8  # a gram that more index entries hold is put last in the order; any value gives the same result
+SHARED = (8, 64, 512)  # a gram counted more often comes later in the order, by these steps; any values give the same result
 ORDER_BITS = 1 << 25
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -73,37 +72,50 @@ def _sets_of(batch: pa.RecordBatch, gram: int):
 
 
 def _profile(gram: int, num: int, den: int):
-    """(doc_id, n, sig_a, sig_b, lead): set size, 128-bit signature, and the smallest hashes; copies within a batch give one lead."""
+    """(doc_id, n, sig_a, sig_b, lead, times): set size, 128-bit signature, and grams to be counted for the order.
+
+    Counted are all grams that several sets of a batch hold (with their number, on the batch's first row) and the first of each set (once).
+    """
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("lead", pa.list_(pa.int64()))])
+        schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "sig_a", "sig_b")] + [("lead", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
         for batch in batches:
-            seen = set()
-            for ids, sets in _sets_of(batch, gram):
-                n, a, b, lead = [], [], [], []
+            found = [(ids, sets) for ids, sets in _sets_of(batch, gram)]
+            sets = [s for _, part in found for s in part]
+            sig = []
+            with np.errstate(over="ignore"):
                 for s in sets:
                     u = s.view(np.uint64)
-                    with np.errstate(over="ignore"):
-                        x, y = int(C.mix(u ^ _COEF[0]).sum(dtype=np.uint64).view(np.int64)), int(C.mix(u ^ _COEF[1]).sum(dtype=np.uint64).view(np.int64))
-                    n.append(len(s)), a.append(x), b.append(y)
-                    lead.append(s[:0] if (x, y) in seen else s[:lead_length(len(s), num, den)])
-                    seen.add((x, y))
-                sizes = np.cumsum([0] + [len(x) for x in lead]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                                                  pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(lead) if lead else np.zeros(0, np.int64)))], schema=schema)
+                    sig.append(tuple(int(C.mix(u ^ c).sum(dtype=np.uint64).view(np.int64)) for c in _COEF[:2]))
+            first = {x: i for i, x in reversed(list(enumerate(sig)))}
+            one = [first[x] == i for i, x in enumerate(sig)]
+            grams, times = np.unique(np.concatenate([s for s, o in zip(sets, one) if o] or [np.zeros(0, np.int64)]), return_counts=True)
+            grams, times = grams[times > 1], times[times > 1]
+            lead, count = [], []
+            for s, o in zip(sets, one):
+                s = s[:lead_length(len(s), num, den)] if o else s[:0]
+                if len(grams):
+                    s = s[grams[np.minimum(np.searchsorted(grams, s), len(grams) - 1)] != s]
+                lead.append(s)
+                count.append(np.ones(len(s), np.int64))
+            if lead:
+                lead[0], count[0] = np.r_[grams, lead[0]], np.r_[times, count[0]]
+            sizes = pa.array(np.cumsum([0] + [len(x) for x in lead]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(sizes, pa.array(np.concatenate(x or [np.zeros(0, np.int64)]))) for x in (lead, count)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in sig], pa.int64()), pa.array([x for _, x in sig], pa.int64()), *lists], schema=schema)
     return run
 
 
 def _entries(gram: int, num: int, den: int, late):
-    """(doc_id, n, entries): the first grams of each set when grams of the bit set `late` are put last."""
+    """(doc_id, n, entries): the first grams of each set in the order of how many sets hold them (by steps), then of their hash."""
     def run(batches):
-        bits = np.frombuffer(late.value, np.int64)
+        steps = np.frombuffer(late.value, np.int64).reshape(len(SHARED), -1)
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("entries", pa.list_(pa.int64()))])
         for batch in batches:
             for ids, sets in _sets_of(batch, gram):
                 out = []
                 for s in sets:
-                    last = C.in_bits(s, bits)
-                    out.append(np.concatenate([s[~last], s[last]])[:lead_length(len(s), num, den)])
+                    step = sum(C.in_bits(s, bits).astype(np.int8) for bits in steps)
+                    out.append(s[np.argsort(step, kind="stable")[:lead_length(len(s), num, den)]])
                 sizes = np.cumsum([0] + [len(x) for x in out]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                                                   pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))], schema=schema)
@@ -134,7 +146,9 @@ def _may_link(n, pos, m, at, num, den):
 
 
 def _heads(num: int, den: int):
-    """Rows sorted by (gram, block, n, doc_id) to the rows of lists of two and more, with the head of their block and of the block before.
+    """Rows sorted by (gram, block, pos, n, doc_id) to the rows of lists of two and more, with the head of their block and of the block before.
+
+    The head has fewest rarer grams of its own: of all entries it can resemble most others.
 
     A head that size or position rules out is NONE. A list longer than FLUSH rows is passed on in parts; only its heads are remembered.
     """
@@ -221,32 +235,31 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: i
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = C.stored(texts.mapInArrow(_profile(gram, num, den), "doc_id bigint, n bigint, sig_a bigint, sig_b bigint, lead array<bigint>"), "profile")
+    profile = C.stored(texts.mapInArrow(_profile(gram, num, den), "doc_id bigint, n bigint, sig_a bigint, sig_b bigint, lead array<bigint>, times array<bigint>"), "profile")
     classes = C.stored(profile.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
 
     # 1. The order: grams that many first entries hold come last.
-    often = profile.select(F.explode("lead").alias("gram")).groupBy("gram").count().where(F.col("count") > SHARED).select("gram")
-    late = C.shared_array(spark, C.bit_set(often, ORDER_BITS))
+    counts = profile.select(F.explode(F.arrays_zip("lead", "times")).alias("x")).groupBy(F.col("x.lead").alias("gram")).agg(F.sum("x.times").alias("c")).where(F.col("c") > SHARED[0])
+    late = C.shared_array(spark, C.bit_sets(counts, [F.col("c") > least for least in SHARED], ORDER_BITS))
 
     # 2. The index: entries of one set per class, in blocks by size.
     copies = profile.where("n > 0 AND doc_id IS NOT NULL").join(classes.where("copies > 1"), ["sig_a", "sig_b"]).where("doc_id <> rep").select("doc_id")
     entries = texts.mapInArrow(_entries(gram, num, den, late), "doc_id bigint, n bigint, entries array<bigint>").where(F.size("entries") > 0)
-    entries = entries.where("doc_id IS NOT NULL").join(C.stored(copies, "copies"), "doc_id", "left_anti")
+    entries = entries.where("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
     step = math.log(den / num)
     index = entries.select("doc_id", "n", F.floor(F.log("n") / step).cast("long").alias("block"), F.posexplode("entries").alias("p", "gram"))
     index = index.select("gram", "block", "n", "doc_id", F.col("p").cast("long").alias("pos"))
-    lists = index.repartition("gram").sortWithinPartitions("gram", "block", "n", "doc_id").mapInArrow(
+    lists = index.repartition("gram").sortWithinPartitions("gram", "block", "pos", "n", "doc_id").mapInArrow(
         _heads(num, den), "gram bigint, block bigint, n bigint, doc_id bigint, pos bigint, head bigint, before bigint")
     lists = C.stored(lists, "lists")
 
     # 3. Answers of the heads of blocks, whole sets checked.
     heads = lists.select("doc_id", F.explode(F.array("head", "before")).alias("h")).where((F.col("h") != NONE) & (F.col("h") != F.col("doc_id")))
     known = C.stored(_verified(heads.select(F.least("h", "doc_id").alias("a"), F.greatest("h", "doc_id").alias("b")).distinct(), texts, gram, num, den), "links")
-    links = known
 
     # 4. The rest: only pairs in lists of several components, between them, and not yet answered.
-    group = components(known.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
-    placed = lists.join(C.stored(group, "group"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+    group = C.stored(C.components(known), "group")
+    placed = lists.join(group.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
     several = placed.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("gram")
     placed = C.stored(placed.join(several, "gram"), "placed")
     x = placed.select("gram", "block", *[F.col(c).alias(f"x_{c}") for c in ("n", "doc_id", "pos", "head", "before", "c")])
@@ -256,16 +269,29 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: i
         & ~F.col("x_doc_id").isin(F.col("y_head"), F.col("y_before")) & ~F.col("y_doc_id").isin(F.col("x_head"), F.col("x_before"))
         & _fits(F.col("x_n"), F.col("y_n"), F.col("x_pos"), F.col("y_pos"), num, den))
     pairs = far.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
-    links = links.union(C.stored(_verified(pairs, texts, gram, num, den), "links"))
+    more = C.stored(_verified(pairs, texts, gram, num, den), "links")
 
-    # 5. Components of class representatives, and each row's class.
-    comps = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("rep"), "component")
+    # 5. Components of class representatives, from those found before and the new links, and each row's class.
+    stars = group.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    comps = C.components(more.union(stars)).select(F.col("node").alias("rep"), "component")
     named = classes.join(comps, "rep", "left").select("sig_a", "sig_b", F.coalesce("component", "rep").alias("class_component"))
     out = profile.select("doc_id", "n", "sig_a", "sig_b").join(named, ["sig_a", "sig_b"], "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class_component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(own, "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` without all but the smallest doc_id of each component; of repeated rows of one doc_id one stays. Rows without a doc_id stay."""
+    found = C.stored(jaccard_components(docs), "components")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(C.stored(gone, "gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    again = C.stored(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "again")
+    if again.isEmpty():
+        return left
+    twice = left.join(again, left["doc_id"] == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, left["doc_id"] == F.col("_again"), "left_anti").union(twice)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link classes of all documents."""
     return jaccard_components(C.table(spark, sf_dir, "documents"))

@@ -199,8 +199,10 @@ def redacted(docs: DataFrame) -> DataFrame:
     start = F.struct(F.lit("").alias("done"), F.lit(1).alias("at"))
     step = lambda s, x: F.struct(F.concat(s["done"], F.substring(F.col("text"), s["at"], x["b"] + 1 - s["at"]), F.lit("[SECRET]")).alias("done"), (x["e"] + 1).alias("at"))
     cut = F.aggregate("_spans", start, step, lambda s: F.concat(s["done"], F.substring(F.col("text"), s["at"], F.length("text"))))
-    text = F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col("text"))
-    columns = {"text": text} | ({"n_chars": F.when(F.col("_spans").isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    both = both.withColumn("_text", cut)
+    columns = {"text": F.coalesce("_text", "text")}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.coalesce(F.length("_text"), "n_chars").cast(docs.schema["n_chars"].dataType)
     return both.withColumns(columns).select(*docs.columns)
 
 
