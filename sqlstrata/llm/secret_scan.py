@@ -16,11 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sqlstrata.llm import common as C
 from sqlstrata.llm.quality import _CLASS
+from sqlstrata.session import scratch_path
 
 C.by_value(__name__)
 
@@ -186,11 +186,43 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, max_labelled: int =
     n = {r["label"]: r["count"] for r in weight}
     known = known.withColumn("weight", F.when(F.col("label") == 1, 0.5 / n[1.0]).otherwise(0.5 / n[0.0]) * sum(n.values()))
     forest = RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=7).fit(asm.transform(known))
-    scored = forest.transform(asm.transform(found.select("*", *[figure(n).alias(n) for n in FIGURES])))
-    scored = scored.withColumn("score", vector_to_array("probability")[1])
+    nodes = _saved(forest, found.sparkSession)
+    scored = found.select(*out[:-1], "figures").mapInArrow(_forest_scores(nodes), ", ".join(f"{n} {t}" for n, t in found.select(*out[:-1]).dtypes) + ", score double")
     return scored.select(*out, (F.col("score") >= 0.5).alias("is_secret"))
 
 
+def _saved(forest, spark: SparkSession) -> list[dict[str, np.ndarray]]:
+    """The trees as arrays, through the model's own format in the shared folder: at most trees * 2**(depth + 1) nodes."""
+    path = scratch_path(spark, "llm-forest")
+    forest.write().save(path)
+    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.id", "nodeData.impurityStats", "nodeData.leftChild", "nodeData.rightChild", "nodeData.split").orderBy("treeID", "id").collect()
+    trees: dict[int, list] = {}
+    for r in rows:
+        trees.setdefault(r["treeID"], []).append(r)
+    return [{"left": np.array([n["leftChild"] for n in t]), "right": np.array([n["rightChild"] for n in t]), "feature": np.array([n["split"]["featureIndex"] for n in t]),
+             "most": np.array([(n["split"]["leftCategoriesOrThreshold"] or [0.0])[0] for n in t]), "chance": np.array([n["impurityStats"][1] / sum(n["impurityStats"]) for n in t])} for t in trees.values()]
+
+
+def forest_scores(trees: list[dict[str, np.ndarray]], x: np.ndarray) -> np.ndarray:
+    """Mean over the trees of the share of secrets in the leaf that each row of `x` falls into."""
+    total = np.zeros(len(x))
+    for t in trees:
+        at = np.zeros(len(x), np.int64)
+        while (inner := t["left"][at] >= 0).any():
+            go = x[np.arange(len(x)), np.maximum(t["feature"][at], 0)] <= t["most"][at]
+            at = np.where(inner, np.where(go, t["left"][at], t["right"][at]), at)
+        total += t["chance"][at]
+    return total / max(1, len(trees))
+
+
+def _forest_scores(trees: list[dict[str, np.ndarray]]):
+    def run(batches):
+        for batch in batches:
+            x = np.array(batch.column(batch.num_columns - 1).to_pylist(), float).reshape(batch.num_rows, len(FIGURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(forest_scores(trees, x))], names=[*batch.schema.names[:-1], "score"])
+    return run
+
+
 def redacted(docs: DataFrame) -> DataFrame:
     """`docs` with every secret replaced by `[SECRET]` and `n_chars` of changed texts counted anew; all other rows and columns as they are."""
     spans = scan(docs).where("is_secret").groupBy("key").agg(F.array_sort(F.collect_set(F.struct(F.col("begin").cast("int").alias("b"), F.col("end").cast("int").alias("e")))).alias("_spans"))

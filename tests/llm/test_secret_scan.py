@@ -63,3 +63,17 @@ def test_empty_and_without_findings(spark):
     assert S.scan(make_docs(spark, [])).count() == 0
     docs = make_docs(spark, [(1, "nothing here"), (2, None)])
     assert S.scan(docs).count() == 0 and S.redacted(docs).count() == 2
+
+
+def test_scores_are_the_forests(spark):
+    import numpy as np
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    r = np.random.RandomState(1)
+    x = r.rand(300, len(S.FIGURES))
+    rows = [(*map(float, v), float(v[0] + v[3] > 1)) for v in x]
+    df = VectorAssembler(inputCols=S.FIGURES, outputCol="vector").transform(spark.createDataFrame(rows, [*S.FIGURES, "label"]))
+    forest = RandomForestClassifier(featuresCol="vector", numTrees=8, maxDepth=4, seed=3).fit(df)
+    mine = S.forest_scores(S._saved(forest, spark), x)
+    assert np.allclose(mine, [p["probability"][1] for p in forest.transform(df).select("probability").collect()])
