@@ -120,17 +120,14 @@ def column_uses(stmts: DataFrame) -> DataFrame:
     return rows.select("doc_id", "path", "stmt_idx", "u.used_in", F.explode("u.cols").alias("column_ref"))
 
 
-MAX_PREDICATES = 5  # fixed value: the report lists the first five leaves of a condition
-
-
 def predicates(stmts: DataFrame) -> DataFrame:
-    """Leaves of the WHERE condition between AND / OR, the first five, in order.
+    """Leaves of the WHERE condition between AND / OR, in order.
 
     A nested group of conditions counts as one leaf; BETWEEN keeps its AND.
     """
     where = F.regexp_replace(T.clause(_main_query(F.col("masked")), "where"), r"(?i)(\bBETWEEN\s+\S+)\s+AND\s+", "$1 \u0001 ")
     leaves = F.filter(F.transform(F.split(where, r"(?i)\s+(?:AND|OR)\s+"), lambda p: F.trim(F.replace(p, F.lit("\u0001"), F.lit("AND")))), lambda p: p != "")
-    return stmts.select("doc_id", "path", "stmt_idx", F.posexplode(F.slice(leaves, 1, MAX_PREDICATES)).alias("position", "predicate"))
+    return stmts.select("doc_id", "path", "stmt_idx", F.posexplode(leaves).alias("position", "predicate"))
 
 
 def windows(stmts: DataFrame) -> DataFrame:
@@ -202,10 +199,10 @@ def subquery_rows(stmts: DataFrame) -> DataFrame:
     """Outermost subqueries with their clause and normalised text."""
     rows = T.hold(stmts.select("doc_id", "path", "stmt_idx", "masked"), _q=T.subqueries(F.col("masked")))
     rows = rows.select("doc_id", "path", "stmt_idx", "masked", F.posexplode("_q").alias("position", "subquery"))
-    at = F.expr("instr(masked, subquery)")
-    before = F.lower(F.substring(F.col("masked"), F.greatest(at - 100, F.lit(1)), F.least(at - 1, F.lit(100))))
-    place = (F.when(before.contains("select") & ~before.contains("where") & ~before.contains("having") & ~before.contains("from"), "select")
-             .when(before.contains("having"), "having").otherwise("where"))
+    # The clause that holds a subquery opens with the last such word before it that is in no closed parenthesis.
+    before = F.regexp_replace(F.expr("substring(masked, 1, instr(masked, subquery) - 1)"), rf"\({T.BALANCED}\)", "")
+    word = F.lower(T.rx(before, r"(?is)^.*\b(SELECT|FROM|WHERE|HAVING|JOIN|ON|SET|ORDER|GROUP)\b", 1))
+    place = F.when(word == "select", "select").when(word == "having", "having").otherwise("where")
     return rows.select("doc_id", "path", "stmt_idx", "position", "subquery", place.alias("location"), T.normalise_query(F.col("subquery")).alias("normalized"))
 
 

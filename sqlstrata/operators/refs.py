@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sqlstrata.functions import patterns as P, text as T
 
-_NAME = r"""(?:(\w+)\.)?["'`]?(\w+)["'`]?"""
+_NAME = T.TABLE_NAME
 _ALIAS = rf"(?:\s+(?:AS\s+)?(?!(?:{'|'.join(P.NOT_AN_ALIAS)})\b)(\w+))?"
 # One pass over the text finds every keyword; the keyword decides the reference type.
 _ONE_REF = r"(INSERT\s+INTO|DELETE\s+FROM|UPDATE|FROM|JOIN)"
@@ -29,7 +29,7 @@ def _ref_type(context: Column) -> Column:
             .when(context == "MERGE INTO", "merge").when(context == "USING", "select").when(context == "INTO", "insert"))
 
 
-_PARSE = rf"(?is)^{_ONE_REF_EXTENDED}\s+((?:\w+\.)?)[\"'`]?(\w+)[\"'`]?(?:\s.*)?$"
+_PARSE = rf"(?is)^{_ONE_REF_EXTENDED}\s+{_NAME}(?:\s.*)?$"
 
 
 def ref_matches(clean: Column, extended: bool = False) -> Column:
@@ -44,8 +44,8 @@ def with_delete_sources(matches: Column) -> Column:
 
 
 def match_key(match: Column) -> Column:
-    """`schema.table` of a match, lower case."""
-    return F.lower(F.regexp_replace(match, _PARSE, "$2$3"))
+    """`schema.table` of a match, lower case, without quotes."""
+    return F.lower(F.regexp_replace(F.regexp_replace(match, _PARSE, "$2$3"), T.QUOTES, ""))
 
 
 def match_name(match: Column) -> Column:
@@ -74,7 +74,7 @@ def _identity(match: Column) -> Column:
 
 
 def _explode_matches(stmts: DataFrame, extended: bool, dedupe: bool, keep: tuple[str, ...] = ()) -> DataFrame:
-    rows = T.hold(stmts.select("doc_id", "path", "stmt_idx", "start_line", "sql", "clean", *keep), _found=ref_matches(F.col("clean"), extended))
+    rows = T.hold(stmts.select("doc_id", "path", "stmt_idx", "start_line", "sql", "masked", *keep), _found=ref_matches(F.col("masked"), extended))
     rows = T.hold(rows, _found=with_delete_sources(F.col("_found")))
     if dedupe:
         # Sorted by identity and place, the first of each run is the one to keep: no shuffle, no comparison of all pairs.
@@ -86,7 +86,7 @@ def _explode_matches(stmts: DataFrame, extended: bool, dedupe: bool, keep: tuple
     m = F.col("_m")
     whole = rf"(?i)^{_ONE_REF_EXTENDED}\s+{_NAME}{_ALIAS}"
     rows = rows.select("doc_id", "path", "stmt_idx", "start_line", "sql", *keep, "_m", F.upper(F.regexp_replace(T.rx(m, whole, 1), r"\s+", " ")).alias("context"),
-                       T.rx_or_null(m, whole, 2).alias("schema_name"), T.rx(m, whole, 3).alias("table_name"), T.rx_or_null(m, whole, 4).alias("alias"))
+                       T.qualifier(T.rx(m, whole, 2)).alias("schema_name"), T.rx(m, whole, 3).alias("table_name"), T.rx_or_null(m, whole, 4).alias("alias"))
     return rows.filter(is_table_name(F.col("table_name")))
 
 

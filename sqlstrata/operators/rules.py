@@ -25,7 +25,7 @@ def features(stmts: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """Everything the rules look at, from the statement's own text."""
     keep = [c for c in ("declared",) if c in stmts.columns]
     f = T.hold(stmts.select("doc_id", "path", "stmt_idx", "sql", "clean", "masked", *keep), outer_q=I._main_query(F.col("masked")), outer_clean=T.outer_text(F.col("clean")),
-               tables_used=R.names_used(F.col("clean")))
+               tables_used=R.names_used(F.col("masked")))
     m, o = F.col("masked"), F.col("outer_q")
     f = T.hold(
         f, kind=S.statement_kind(F.col("clean")), where_q=T.clause(o, "where"), having_q=T.clause(o, "having"), group_q=T.clause(o, "group"), select_q=T.select_list(o),
@@ -67,43 +67,43 @@ def statement_rules() -> list[Rule]:
     distinct_count = F.col("select_q").rlike(r"(?i)\bCOUNT\s*\(\s*DISTINCT\b") & ~F.col("select_q").rlike(r"(?i)\bCOUNT\s*\(\s*\*")
     perf, quality, practice = "performance", "quality", "best-practice"
     rules = [
-        Rule("H1", "warning", "medium", perf, "SELECT * detected", m.rlike(r"(?i)\bselect\s+(?:distinct\s+)?(?:[\w.]+\.)?\*")),
-        Rule("H2", "info", "low", perf, "No LIMIT clause", selects & ~o.rlike(r"(?i)\b(?:LIMIT|TOP|FETCH)\b") & (n_tables > 0)),
-        Rule("H3", "error", "high", perf, F.concat(F.upper(kind), F.lit(" without WHERE clause")), kind.isin("update", "delete") & ~o.rlike(r"(?i)\bWHERE\b")),
-        Rule("H4", "warning", "medium", perf, F.format_string("High number of JOINs (%d)", F.col("joins")), F.col("joins") > 5),
-        Rule("H5", "warning", "medium", perf, F.format_string("Multiple subqueries detected (%d)", F.col("subqueries")), F.col("subqueries") > 3),
-        Rule("H6", "error", "high", perf, "Possible Cartesian product",
+        Rule("H1", "warning", "medium", perf, "the select list is a star: columns are not named", m.rlike(r"(?i)\bselect\s+(?:distinct\s+)?(?:[\w.]+\.)?\*")),
+        Rule("H2", "info", "low", perf, "reads tables and returns all rows, without a limit", selects & ~o.rlike(r"(?i)\b(?:LIMIT|TOP|FETCH)\b") & (n_tables > 0)),
+        Rule("H3", "error", "high", perf, F.concat(F.upper(kind), F.lit(" changes every row: it has no condition")), kind.isin("update", "delete") & ~o.rlike(r"(?i)\bWHERE\b")),
+        Rule("H4", "warning", "medium", perf, F.format_string("%d joins in one query", F.col("joins")), F.col("joins") > 5),
+        Rule("H5", "warning", "medium", perf, F.format_string("%d subqueries in one query", F.col("subqueries")), F.col("subqueries") > 3),
+        Rule("H6", "error", "high", perf, "tables are listed without a condition between them",
              selects & (F.greatest(n_tables, F.col("from_items")) > 1) & (F.col("joins") == 0) & (F.col("conditions") == 0)
              & ~o.rlike(r"(?i)\b(?:UNION|INTERSECT|EXCEPT|WITH)\b") & (F.col("subqueries") == 0) & (F.col("from_items") > 1)),
-        Rule("H7", "warning", "medium", quality, F.concat(F.lit('Unused CTE: '), F.array_join(F.array_sort(unused), ", ")), F.size(unused) > 0),
-        Rule("H12", "warning", "medium", perf, F.concat(F.lit("Filter on "), F.get(table_qualifiers, F.lit(0)), F.lit(" could be applied before JOIN")),
+        Rule("H7", "warning", "medium", quality, F.concat(F.lit('never read: '), F.array_join(F.array_sort(unused), ", ")), F.size(unused) > 0),
+        Rule("H12", "warning", "medium", perf, F.concat(F.lit("only "), F.get(table_qualifiers, F.lit(0)), F.lit(" is filtered: filter it ahead of the join")),
              selects & (F.col("joins") > 0) & (F.size(table_qualifiers) == 1)),
-        Rule("H13", "info", "medium", perf, "HAVING clause without aggregate functions", (F.col("having_q") != "") & ~F.col("having_q").rlike(_AGG)),
-        Rule("H14", "warning", "high", perf, "CROSS JOIN appears before other JOINs", (cross_at > 0) & (cross_at + 6 < join_at)),
-        Rule("H15", "info", "low", perf, "Tables with WHERE filters detected", selects & (F.col("joins") > 1) & (w != "") & filtered),
-        Rule("H17", "info", "medium", perf, "IN subquery could be converted to JOIN", m.rlike(r"(?i)(?<!\bNOT)\s+IN\s*\(\s*SELECT\b")),
-        Rule("H18", "info", "medium", perf, "EXISTS subquery could be converted to JOIN", m.rlike(rf"(?i)\bEXISTS\s*\(\s*SELECT\b{T.BALANCED}\bWHERE\b") | m.rlike(r"(?i)\bEXISTS\s*\(\s*SELECT\b[^()]*\bWHERE\b")),
-        Rule("H19", "info", "medium", perf, "Scalar subquery in SELECT list", sub_select),
-        Rule("H20", "warning", "high", quality, "NOT IN with subquery may have unexpected NULL behavior", m.rlike(r"(?i)\bNOT\s+IN\s*\(\s*SELECT\b")),
-        Rule("H23a", "warning", "medium", perf, "Arithmetic operation on column may cause implicit type conversion", w.rlike(r"(?i)[A-Za-z_]\w*\s*[+-]\s*0(?![\w.])")),
-        Rule("H23b", "info", "low", perf, "Redundant arithmetic operation on column", w.rlike(r"(?i)[A-Za-z_]\w*\s*[*/]\s*1(?![\w.])")),
-        Rule("H23c", "warning", "medium", perf, "String concatenation on column prevents index usage", literal_where.rlike(r"(?i)[A-Za-z_]\w*\s*\|\|\s*''(?!')")),
-        Rule("H24", "warning", "high", perf, "LIKE pattern starts with wildcard (%)", literal_where.rlike(r"(?i)\bLIKE\s+N?'%")),
-        Rule("H25", "info", "medium", perf, "OR condition spans different columns", spans),
-        Rule("H26", "warning", "medium", perf, F.format_string("GROUP BY with %d columns", F.size("group_items")), F.size("group_items") > 5),
-        Rule("H27", "info", "low", perf, "Aggregate query without WHERE clause", selects & (w == "") & ((F.col("group_q") != "") | agg_items)),
-        Rule("H28", "info", "medium", perf, "COUNT(DISTINCT) detected", selects & distinct_count),
-        Rule("H29", "warning", "medium", quality, "Set operation branches have different column counts", F.size(branch_sizes) > 1),
-        Rule("H35a", "info", "low", practice, F.concat(F.upper(T.rx(F.col("clean"), r"(?i)^\s*\w+\s+(?:OR\s+REPLACE\s+)?(\w+)", 1)), F.lit(" DDL detected")),
+        Rule("H13", "info", "medium", perf, "the HAVING condition needs no groups: WHERE would do", (F.col("having_q") != "") & ~F.col("having_q").rlike(_AGG)),
+        Rule("H14", "warning", "high", perf, "a cross join multiplies rows ahead of the other joins", (cross_at > 0) & (cross_at + 6 < join_at)),
+        Rule("H15", "info", "low", perf, "several joins, and a filter that may decide their order", selects & (F.col("joins") > 1) & (w != "") & filtered),
+        Rule("H17", "info", "medium", perf, "an IN list comes from a query: a semi-join says the same", m.rlike(r"(?i)(?<!\bNOT)\s+IN\s*\(\s*SELECT\b")),
+        Rule("H18", "info", "medium", perf, "an EXISTS test has its own condition: a semi-join says the same", m.rlike(rf"(?i)\bEXISTS\s*\(\s*SELECT\b{T.BALANCED}\bWHERE\b") | m.rlike(r"(?i)\bEXISTS\s*\(\s*SELECT\b[^()]*\bWHERE\b")),
+        Rule("H19", "info", "medium", perf, "a query in the select list may run once per row", sub_select),
+        Rule("H20", "warning", "high", quality, "NOT IN over a query is never true once the query returns a null", m.rlike(r"(?i)\bNOT\s+IN\s*\(\s*SELECT\b")),
+        Rule("H23a", "warning", "medium", perf, "adding zero turns a column into an expression of another type", w.rlike(r"(?i)[A-Za-z_]\w*\s*[+-]\s*0(?![\w.])")),
+        Rule("H23b", "info", "low", perf, "multiplying or dividing by one changes nothing but hides the column", w.rlike(r"(?i)[A-Za-z_]\w*\s*[*/]\s*1(?![\w.])")),
+        Rule("H23c", "warning", "medium", perf, "appending an empty text hides the column from an index", literal_where.rlike(r"(?i)[A-Za-z_]\w*\s*\|\|\s*''(?!')")),
+        Rule("H24", "warning", "high", perf, "the pattern begins with a wildcard, so no prefix can be looked up", literal_where.rlike(r"(?i)\bLIKE\s+N?'%")),
+        Rule("H25", "info", "medium", perf, "alternatives of one condition use different columns", spans),
+        Rule("H26", "warning", "medium", perf, F.format_string("groups by %d columns", F.size("group_items")), F.size("group_items") > 5),
+        Rule("H27", "info", "low", perf, "aggregates whole tables: there is no condition", selects & (w == "") & ((F.col("group_q") != "") | agg_items)),
+        Rule("H28", "info", "medium", perf, "counts distinct values exactly", selects & distinct_count),
+        Rule("H29", "warning", "medium", quality, "branches of the set operation differ in width", F.size(branch_sizes) > 1),
+        Rule("H35a", "info", "low", practice, F.concat(F.upper(T.rx(F.col("clean"), r"(?i)^\s*\w+\s+(?:OR\s+REPLACE\s+)?(\w+)", 1)), F.lit(" is defined here: its body is not analysed")),
              F.col("clean").rlike(r"(?i)^\s*(?:CREATE|ALTER|DROP)\s+(?:OR\s+REPLACE\s+)?(?:FUNCTION|PROCEDURE|TRIGGER)\b")),
-        Rule("H35b", "warning", "medium", practice, "Partial extraction: statement kind not recognised", S.operation(F.col("clean")).isNull()),
+        Rule("H35b", "warning", "medium", practice, "kind of statement unknown: only parts were extracted", S.operation(F.col("clean")).isNull()),
     ]
     for letter, (label, (names, kind_, severity)) in zip("abcdef", P.NON_SARGABLE.items()):
         pattern = _wrapped(names)
-        rules.append(Rule(f"H22{letter}", kind_, severity, perf, F.concat(F.lit("Function "), F.upper(T.rx(w, pattern, 1)), F.lit("() on column prevents index usage")), w.rlike(pattern)))
+        rules.append(Rule(f"H22{letter}", kind_, severity, perf, F.concat(F.lit("condition on "), F.upper(T.rx(w, pattern, 1)), F.lit("() of a column, not on the column")), w.rlike(pattern)))
     listed = "|".join(n for names, _, _ in P.NON_SARGABLE.values() for n in names.split()) + "|" + "|".join(P.SARGABLE_AGGREGATES + ["EXISTS", "IN", "ANY", "ALL", "SOME", "AND", "OR", "NOT", "VALUES"])
     other = rf"(?i)(?<![\w.])(?!(?:{listed})\s*\()([A-Za-z_]\w*)\s*\(\s*[A-Za-z_]\w*(?:\.\w+)?\s*\)"
-    rules.append(Rule("H22g", "info", "low", perf, F.concat(F.lit("Function "), F.upper(T.rx(w, other, 1)), F.lit("() on column may prevent index usage")),
+    rules.append(Rule("H22g", "info", "low", perf, F.concat(F.lit("condition on "), F.upper(T.rx(w, other, 1)), F.lit("() of a column, perhaps not on the column")),
                       F.regexp_replace(w, r"\(subq\)", "").rlike(other)))
     return rules
 
@@ -144,7 +144,7 @@ def duplicate_subqueries(stmts: DataFrame) -> DataFrame:
 
 def repeated_tables(stmts: DataFrame) -> DataFrame:
     """Tables a statement reads more than once, with `is_local` for CTE and alias names."""
-    found = R.with_delete_sources(R.ref_matches(F.col("clean")))
+    found = R.with_delete_sources(R.ref_matches(F.col("masked")))
     read = F.transform(F.filter(found, lambda m: m.rlike(r"(?i)^(?:FROM|JOIN)\b")), R.match_name)
     rows = T.hold(stmts.select("doc_id", "path", "stmt_idx", "clean", "masked"), _local=R.local_names(F.col("masked")), _read=F.filter(read, R.is_table_name))
     rows = rows.select("doc_id", "path", "stmt_idx", "_local", F.explode("_read").alias("table_name"))
@@ -156,13 +156,13 @@ def grouped_findings(stmts: DataFrame) -> DataFrame:
     """H8, H9, H11, H16: rules that count within a statement."""
     similar, dup, rep = similar_subqueries(stmts), duplicate_subqueries(stmts), repeated_tables(stmts)
     keys = ["doc_id", "path", "stmt_idx"]
-    h8 = _finding(similar, "H8", "info", "low", "quality", F.format_string("%d similar subqueries detected", F.col("n")))
+    h8 = _finding(similar, "H8", "info", "low", "quality", F.format_string("%d subqueries of one shape", F.col("n")))
     seen = similar.select(*keys).distinct()
-    h9 = _finding(dup.join(seen, keys, "left_anti"), "H9", "info", "low", "quality", F.format_string("%d similar subqueries detected", F.col("n")))
+    h9 = _finding(dup.join(seen, keys, "left_anti"), "H9", "info", "low", "quality", F.format_string("the same subquery stands %d times", F.col("n")))
     h11 = _finding(rep.filter(~F.col("is_local")), "H11", "warning", "medium", "performance",
-                   F.format_string('Table "%s" scanned %d times', F.col("table_name"), F.col("uses")))
+                   F.format_string("%s is read in %d places", F.col("table_name"), F.col("uses")))
     h16 = _finding(rep.filter("is_local"), "H16", "warning", F.when(F.col("uses") > 2, "high").otherwise("medium"), "performance",
-                   F.format_string("Table '%s' is accessed %d times", F.col("table_name"), F.col("uses")))
+                   F.format_string("local result %s is used %d times", F.col("table_name"), F.col("uses")))
     return h8.unionByName(h9).unionByName(h11).unionByName(h16)
 
 
@@ -194,7 +194,7 @@ def index_candidates(stmts: DataFrame) -> DataFrame:
 def unknown_table_functions(stmts: DataFrame, registry: DataFrame, dialect: str = "mysql") -> DataFrame:
     """H30: sources in call form that the registry does not know."""
     return _finding(I.functions_used(stmts, registry, dialect).filter(F.col("is_source") & ~F.col("is_known")).dropDuplicates(["doc_id", "stmt_idx", "name"]),
-                    "H30", "info", "low", "best-practice", F.concat(F.lit("Unrecognized table function: "), F.col("name")))
+                    "H30", "info", "low", "best-practice", F.concat(F.lit("not a known table function: "), F.col("name")))
 
 
 # Dialect whose markers were met -> (markers, dialects where they are fine, type, severity, name shown).

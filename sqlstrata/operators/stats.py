@@ -17,7 +17,7 @@ def level(score: Column) -> Column:
 def feature_counts(stmts: DataFrame) -> DataFrame:
     """Counters per statement, all from its own text: table uses, joins, subqueries, CTEs, aggregates, windows, unions, conditions."""
     m = F.col("masked")
-    named = T.hold(stmts.select("doc_id", "path", "stmt_idx", "clean", "masked"), tables_used=R.names_used(F.col("clean")))
+    named = T.hold(stmts.select("doc_id", "path", "stmt_idx", "clean", "masked"), tables_used=R.names_used(F.col("masked")))
     return named.select(
         "doc_id", "path", "stmt_idx", "tables_used", F.size("tables_used").alias("table_uses"), F.size(F.array_distinct("tables_used")).alias("tables"),
         T.rx_count(m, r"(?i)\bJOIN\b").alias("joins"), T.rx_count(m, r"(?i)\(\s*SELECT\b").alias("subqueries"),
@@ -48,7 +48,7 @@ def breakdown(counts: DataFrame) -> DataFrame:
 
 def table_usage(stmts: DataFrame) -> DataFrame:
     """Uses per (statement, lower-case table). Rows of one statement meet in the map-side aggregate already."""
-    return stmts.select("doc_id", "path", "stmt_idx", F.explode(R.names_used(F.col("clean"))).alias("table_name")).groupBy("doc_id", "path", "stmt_idx", "table_name").agg(F.count("*").alias("uses"))
+    return stmts.select("doc_id", "path", "stmt_idx", F.explode(R.names_used(F.col("masked"))).alias("table_name")).groupBy("doc_id", "path", "stmt_idx", "table_name").agg(F.count("*").alias("uses"))
 
 
 def batch_totals(stats: DataFrame, by: str = "path") -> DataFrame:

@@ -213,9 +213,6 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return _union(found)
 
 
-LABEL_MEMBERS = 1000  # groups above this size have no label; their members are rows of `cycle_members`
-
-
 def cycle_members(edges: DataFrame) -> DataFrame:
     """`(group_id, node)`: strong components by their smallest node, and self-loops outside them."""
     scc = cut(strong_components(edges), "scc")
@@ -226,13 +223,9 @@ def cycle_members(edges: DataFrame) -> DataFrame:
 
 
 def cycle_groups(edges: DataFrame) -> DataFrame:
-    """One row per group of `cycle_members` with its size and a label `a -> b -> a`, members sorted."""
+    """The rows of `cycle_members` with the size of their group: `(group_id, node, members)`. No group is gathered into one row, whatever its size."""
     rows = cut(cycle_members(edges), "members")
-    sizes = rows.groupBy("group_id").agg(F.count("*").alias("members"))
-    small = rows.join(sizes.filter(F.col("members") <= LABEL_MEMBERS), "group_id")
-    labels = small.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list("node")), lambda n: n.cast("string")).alias("_m"))
-    return sizes.join(labels, "group_id", "left").select("group_id", "members", F.when(F.col("_m").isNotNull(), F.concat_ws(
-        " -> ", F.array_join("_m", " -> "), F.get("_m", F.lit(0)))).alias("label"))
+    return rows.join(rows.groupBy("group_id").agg(F.count("*").alias("members")), "group_id").select("group_id", "node", "members")
 
 
 def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:

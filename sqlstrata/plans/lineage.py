@@ -49,9 +49,9 @@ def contains_edges(column_nodes_df: DataFrame) -> DataFrame:
 
 def statement_io(stmts: DataFrame, extended: bool = False) -> DataFrame:
     """`(inputs, outputs)` per statement, from its own row: what it reads and what it writes, local names and itself left out."""
-    base = T.hold(stmts.select("doc_id", "path", "stmt_idx", "clean", "masked"), _m=R.with_delete_sources(R.ref_matches(F.col("clean"), extended)),
+    base = T.hold(stmts.select("doc_id", "path", "stmt_idx", "clean", "masked"), _m=R.with_delete_sources(R.ref_matches(F.col("masked"), extended)),
                   _l=R.local_names(F.col("masked")), _d=D._definition_structs(F.col("masked")),
-                  _ctas=F.col("masked").rlike(r"(?i)\bAS\s+(?:SELECT|WITH|\()") | F.col("masked").rlike(D._INTO))
+                  _ctas=F.col("masked").rlike(r"(?i)(?<!\bALWAYS\s)\bAS\s+(?:SELECT|WITH|\()") | F.col("masked").rlike(D._INTO))
     made = F.transform(F.filter("_d", lambda d: (d["def_type"] == "view") | F.col("_ctas")), lambda d: T.qualified_key(d["name"], d["schema_name"]))
     out = T.hold(base, _in=F.array_except(R.keys_of(F.col("_m"), R.READ), "_l"),
                  outputs=F.array_distinct(F.concat(F.array_except(R.keys_of(F.col("_m"), R.WRITE), "_l"), made)))
@@ -113,7 +113,7 @@ def column_edges(stmts: DataFrame, defs: DataFrame) -> DataFrame:
     """
     io = statement_io(stmts).filter("size(outputs) > 0")
     listed = T.split_top_level(T.rx(F.col("masked"), r"(?i)^\s*INSERT\s+INTO\s+[\w.]+\s*\(([^)]*)\)\s*(?:SELECT|WITH)\b", 1))
-    targets = io.select("doc_id", "stmt_idx", F.get("outputs", F.lit(0)).alias("dst_key"), listed.alias("_listed"))
+    targets = io.select("doc_id", "stmt_idx", F.explode("outputs").alias("dst_key"), listed.alias("_listed"))
     inputs = I.item_inputs(I.select_items(stmts)).filter(F.col("input_table").isNotNull())
     rows = inputs.join(targets, ["doc_id", "stmt_idx"]).select(
         F.col("input_table").alias("src_key"), F.lower("input_column").alias("src_column"), "dst_key",

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sqlstrata.functions import text as T
 
-# Folders whose files are not part of a corpus, and the default size cap of one file.
+# Folders whose files are not part of a corpus.
 SKIPPED_FOLDERS = ["node_modules", ".git", "dist", "build", "out", "coverage", ".vscode", "__pycache__", "target", "vendor"]
-MAX_FILE_BYTES = 10 * 1024 * 1024
 
 # Limits of one text.
 MAX_TEXT_BYTES = 100 * 1024
@@ -27,37 +26,40 @@ def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("s
     return files.filter(~in_skipped_folder(F.col("path")))
 
 
-def analyse_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """`(path, file_name, last_modified, size, content_hash, sql, parse_error)`; a failure is a value, not an exception."""
-    too_big = F.col("length") > max_bytes
+def analyse_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """`(path, file_name, last_modified, size, content_hash, sql, parse_error)`; a failure is a value, not an exception.
+
+    `max_bytes` marks larger files in `parse_error`; their text and hash stay, so nothing is lost to later tables.
+    """
+    too_big = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
     body = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
     return files.select(
         "path",
         F.substring_index("path", "/", -1).alias("file_name"),
         F.col("modificationTime").alias("last_modified"),
         F.col("length").alias("size"),
-        F.when(~too_big, F.sha2(body, 256)).alias("content_hash"),
-        F.when(~too_big, body).alias("sql"),
-        F.when(too_big, F.format_string("File too large: %d bytes (limit %d)", F.col("length"), F.lit(max_bytes))).alias("parse_error"),
+        F.sha2(body, 256).alias("content_hash"),
+        body.alias("sql"),
+        F.when(too_big, F.format_string("size %d exceeds %d bytes", F.col("length"), F.lit(max_bytes or 0))).alias("parse_error"),
     )
 
 
-def read_corpus(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("sql",), max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def read_corpus(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("sql",), max_bytes: int | None = None) -> DataFrame:
     """Files of a folder as a corpus: `doc_id` is the path."""
     return analyse_files(scan_files(spark, root, extensions), max_bytes).withColumn("doc_id", F.col("path"))
 
 
-def from_query_log(log: DataFrame, text_col: str, id_col: str, path_col: str | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """A table of SQL texts as a corpus. One row is one text, so no text is ever gathered from many rows."""
+def from_query_log(log: DataFrame, text_col: str, id_col: str, path_col: str | None = None, max_bytes: int | None = None) -> DataFrame:
+    """A table of SQL texts as a corpus. One row is one text, so no text is ever gathered from many rows. `max_bytes` only marks larger ones."""
     body = F.regexp_replace(F.col(text_col), "^﻿", "")
     size = F.octet_length(F.col(text_col))
-    too_big = size > max_bytes
+    too_big = F.lit(False) if max_bytes is None else size > max_bytes
     return log.select(
         F.col(id_col).alias("doc_id"),
         (F.col(path_col) if path_col else F.col(id_col).cast("string")).alias("path"),
         size.cast("long").alias("size"),
-        F.when(~too_big, F.sha2(body, 256)).alias("content_hash"),
-        F.when(~too_big, body).alias("sql"),
+        F.sha2(body, 256).alias("content_hash"),
+        body.alias("sql"),
         F.when(too_big, F.lit("text too large")).when(F.trim(body) == "", F.lit("empty text")).alias("parse_error"),
     )
 

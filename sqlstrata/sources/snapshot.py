@@ -32,11 +32,10 @@ META = "stamp string, version int, identity string, file_count long, last_update
 
 def read_meta(spark: SparkSession, root: str) -> DataFrame:
     """The newest pointer row, if any."""
-    try:
-        rows = spark.read.schema(META).parquet(f"{root}/snapshot_meta")
-        return rows.orderBy(F.desc("stamp")).limit(1)
-    except Exception:  # no snapshot has been written yet
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/snapshot_meta")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # no snapshot has been written yet
         return spark.createDataFrame([], META)
+    return spark.read.schema(META).parquet(f"{root}/snapshot_meta").orderBy(F.desc("stamp")).limit(1)
 
 
 def load_snapshot(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame] | None:
@@ -65,7 +64,7 @@ def freshness(age_seconds: Column, changes: Column) -> Column:
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, root: str, run: str, filters: str = "", fmt: str = "parquet") -> None:
-    """Node, edge and statistics tables of a run, partitioned by run."""
+    """Node, edge and statistics tables of a run, partitioned by run. The same run written again replaces itself."""
     stats = nodes.groupBy("type").agg(F.count("*").alias("n")).withColumn("filters", F.lit(filters))
     for name, df in {"nodes": nodes, "edges": edges, "stats": stats}.items():
-        df.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").format(fmt).save(f"{root}/{name}")
+        df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").format(fmt).save(f"{root}/{name}")

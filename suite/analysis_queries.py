@@ -205,7 +205,7 @@ def _(spark, d):
 
 @query("H21_index_candidates", """SELECT doc_id, 0 AS stmt_idx, purpose, columns FROM qlog JOIN (VALUES (2, 'sort', 'src.id'), (9, 'filter', 'name'), (10, 'filter', 'a.id|b.v'), (10, 'join', 'b.id|c.id'), (11, 'filter', 'd|name|v|w|n'), (12, 'group', 'region|product|year'), (14, 'filter', 'id'),
   (15, 'filter', 'v|w'), (26, 'group', 'c1|c2|c3|c4|c5|c6'), (27, 'filter', 'name'), (28, 'join', 'f.seq'), (30, 'join', 'a.id|b.pid|c.id|d.id|e.id|f.id|g.id'), (33, 'join', 'u.id|g.id'), (38, 'filter', 'id'), (43, 'join', 'x1.id|x2.id|x3.id'), (44, 'filter', 'id|pid'),
-  (45, 'filter', 'v|w|x|y'), (46, 'filter', 'name|v|w|n|z'), (49, 'filter', 'rownum|connect|prior|id|pid')) v(kind, purpose, columns) USING (kind) UNION ALL SELECT doc_id, 0, 'filter', 't' || a || '.v' FROM qlog WHERE kind = 42
+  (45, 'filter', 'v|w|x|y'), (46, 'filter', 'name|v|w|n|z'), (49, 'filter', 'rownum')) v(kind, purpose, columns) USING (kind) UNION ALL SELECT doc_id, 0, 'filter', 't' || a || '.v' FROM qlog WHERE kind = 42
   UNION ALL SELECT doc_id, 0, 'join', CASE WHEN a = b THEN 't' || a || '.id|dim.id' ELSE 't' || a || '.id|t' || b || '.id|dim.id' END FROM qlog WHERE kind = 42""")
 def _(spark, d):
     return H.index_candidates(stmts(spark, d)).select("doc_id", "stmt_idx", "purpose", F.array_join("columns", "|").alias("columns"))

@@ -103,7 +103,7 @@ CTES = {
           '\{\{\s*ref\(''([^'']+)''\)\s*\}\}', '\1', 'g'), '\{\{\s*source\(''([^'']+)'', ''([^'']+)''\)\s*\}\}', '\1.\2', 'g'),
           '\{%\s*else\s*%\}[^%]*\{%\s*endif\s*%\}', '', 'g'), '\{%[^%]*%\}', '', 'g'),
           '/\*(?:[^*]|\*[^/])*\*/', ' ', 'g'), '--[^\n]*', ' ', 'g'), '#[^\n]*', ' ', 'g'), '^\s+|\s+$', '', 'g') AS clean FROM stmts0)""",
-    "reftext": r"""SELECT *, regexp_replace(clean, '(?i)\b(extract|substring|trim|position)(\s*\()[^()]*\)', '\1\2)', 'g') AS txt FROM stmts""",
+    "reftext": r"""SELECT *, regexp_replace(masked, '(?i)\b(extract|substring|trim|position)(\s*\()[^()]*\)', '\1\2)', 'g') AS txt FROM stmts""",
     "refs": _refs_sql(" UNION ALL ".join(_ref_branch(*b) for b in _PLAIN)),
     "refx": _refs_sql(" UNION ALL ".join(_ref_branch(*b) for b in _PLAIN + _MORE)
                       + " UNION ALL SELECT * FROM (" + _ref_branch("INTO", r"INTO", "insert") + ") WHERE NOT regexp_matches(sql, '(?i)^\\s*(?:INSERT|MERGE)\\s+INTO')"),

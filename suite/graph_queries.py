@@ -293,14 +293,14 @@ def _(spark, d):
     return G.both_ways(e, mid, 3).select("node", "depth")
 
 
-@query("G5_file_scoped_closure", """WITH RECURSIVE s AS (SELECT DISTINCT def_type || ':' || table_key AS seed FROM defs WHERE path = 'q/1.sql'), r(seed, node, depth) AS (SELECT seed, seed, 0 FROM s UNION SELECT seed, dst, depth + 1 FROM r JOIN flow ON src = node WHERE depth < 12)
+@query("G5_file_scoped_closure", """WITH RECURSIVE s AS (SELECT DISTINCT def_type || ':' || table_key AS seed FROM defs WHERE path = 'q/1.sql'), r(seed, node, depth) AS (SELECT seed, seed, 0 FROM s UNION SELECT seed, dst, depth + 1 FROM r JOIN flow ON src = node WHERE depth < (SELECT count(DISTINCT src) FROM flow))
   SELECT node, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY node""")
 def _(spark, d):
     s = stored_stmts(spark, d)
     de = cut(D.definitions(s))
     e = cut(L.table_edges(s, de))
     seeds = de.filter("path = 'q/1.sql'").select(F.concat_ws(":", "def_type", "table_key").alias("seed")).distinct()
-    return G.closure(e, seeds, "down", 12).groupBy("node").agg(F.min("depth").alias("depth"))
+    return G.closure(e, seeds, "down").groupBy("node").agg(F.min("depth").alias("depth"))
 
 
 @query("G6_simple_paths", """SELECT path, depth FROM (WITH RECURSIVE ends AS (SELECT min(src) AS s FROM dag), tgt AS (SELECT arg_max(node, (depth, -node)) AS t FROM down WHERE depth <= 3), r(node, path, depth) AS (SELECT s, CAST(s AS VARCHAR), 1 FROM ends UNION ALL SELECT dst, path || '|' || dst, depth + 1 FROM r JOIN dag ON src = node WHERE node <> (SELECT t FROM tgt))
@@ -345,7 +345,7 @@ def _(spark, d):
     return join_text(G.cycles(cut(X.wandering_graph(spark, d))), "cycle")
 
 
-@query("G11_cycle_groups", """WITH pairs AS (SELECT x.a AS node, min(x.b) AS g FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT g AS group_id, count(*) AS members, string_agg(node, ' -> ' ORDER BY node) || ' -> ' || min(node) AS label FROM pairs GROUP BY g""")
+@query("G11_cycle_groups", """WITH pairs AS (SELECT x.a AS node, min(x.b) AS g FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT g AS group_id, node, count(*) OVER (PARTITION BY g) AS members FROM pairs""")
 def _(spark, d):
     return G.cycle_groups(cut(X.wandering_graph(spark, d)))
 
@@ -396,13 +396,13 @@ def _(spark, d):
 
 
 @query("G19_column_node_lineage", """WITH RECURSIVE g AS (SELECT DISTINCT 'column:' || regexp_replace(src_id, '^[a-z]+:', '') || '.' || src_column AS src, 'column:' || regexp_replace(dst_id, '^[a-z]+:', '') || '.' || dst_column AS dst FROM col_edges), e AS (SELECT src, dst FROM g WHERE src <> dst UNION SELECT parent_id, id FROM col_nodes),
-  r(node, depth) AS (SELECT 'column:raw.sales.amt', 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 10) SELECT node, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY node""")
+  r(node, depth) AS (SELECT 'column:raw.sales.amt', 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < (SELECT count(DISTINCT src) FROM e)) SELECT node, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY node""")
 def _(spark, d):
     s = stored_stmts(spark, d)
     de = cut(D.definitions(s), "defs")
     e = L.column_graph(L.column_edges(s, de)).union(L.contains_edges(L.column_nodes(D.def_columns(de))).select("src", "dst"))
     seed = spark.range(1).select(F.lit("column:raw.sales.amt").alias("seed"))
-    return G.both_ways(cut(e), seed, 10).select("node", "depth")
+    return G.both_ways(cut(e), seed).select("node", "depth")
 
 
 @query("G20_flow_groups", """WITH RECURSIVE r(node) AS (SELECT 'external:raw.sales' UNION SELECT src FROM r JOIN flow ON dst = node) SELECT CASE WHEN n.type = 'external' THEN 'external' ELSE n.type END AS group_type, lower(name) AS name, count(DISTINCT n.id) AS nodes FROM r JOIN nodes n ON n.id = r.node WHERE node <> 'external:raw.sales' GROUP BY 1, 2""")

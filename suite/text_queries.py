@@ -29,7 +29,7 @@ def _(spark, d):
     return corpus(spark, d).select("doc_id", "path", F.length("sql").alias("n_chars"))
 
 
-@query("S3_file_analysis", """SELECT doc_id, path, CAST(strlen(sql) AS BIGINT) AS size, CASE WHEN strlen(sql) <= 150 THEN sha256(sql) END AS content_hash,
+@query("S3_file_analysis", """SELECT doc_id, path, CAST(strlen(sql) AS BIGINT) AS size, sha256(sql) AS content_hash,
   CASE WHEN strlen(sql) > 150 THEN 'text too large' END AS parse_error FROM qlog""")
 def _(spark, d):
     return Q.from_query_log(X.query_log(spark, d), "sql", "doc_id", "path", max_bytes=150).select("doc_id", "path", "size", "content_hash", "parse_error")
@@ -312,7 +312,7 @@ def _(spark, d):
   (9, 0, 'UPPER(name) LIKE '''''), (10, 0, 'a.id = 1'), (10, 1, 'b.v = 2'), (11, 0, 'YEAR(d) = 2020'), (11, 1, 'LOWER(name) = '''''), (11, 2, 'v * 1 > 2'), (11, 3, 'w + 0 = 3'), (11, 4, 'n || '''' = '''''), (14, 0, 'NOT EXISTS (subq)'), (14, 1, 'id NOT IN (subq)'),
   (15, 0, 'v > (subq)'), (15, 1, 'w > (subq)'), (27, 0, 'name LIKE '''''), (32, 0, 'id = 2'), (34, 0, 'x.id > 3'), (35, 0, 't~b.id = t~a.id'), (36, 0, 'v IS NOT NULL'), (38, 0, 'id = 1'), (42, 0, 't~a.v > 5'), (44, 0, 'id IN (subq)'), (44, 1, 'pid IN (subq)'),
   (45, 0, 'v IN (subq)'), (45, 1, 'w IN (subq)'), (45, 2, 'x IN (subq)'), (45, 3, 'y IN (subq)'), (46, 0, 'TRIM(name) = '''''), (46, 1, 'CAST(v AS INT) = 1'), (46, 2, 'COALESCE(w, 0) = 2'), (46, 3, 'REPLACE(n, '''', '''') = '''''), (46, 4, 'ABS(z) = 3'),
-  (49, 0, 'ROWNUM < 5 CONNECT BY PRIOR id = pid')) v(kind, position, predicate) ON q.kind = v.kind""")
+  (49, 0, 'ROWNUM < 5')) v(kind, position, predicate) ON q.kind = v.kind""")
 def _(spark, d):
     return I.predicates(stmts(spark, d)).select("doc_id", "stmt_idx", "position", "predicate")
 

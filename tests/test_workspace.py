@@ -35,7 +35,7 @@ def parts(spark, tmp_path):
 def test_scan_skips_folders_and_caps_size(spark, tmp_path):
     root = workspace(tmp_path)
     assert sorted(r.file_name for r in Q.read_corpus(spark, root).collect()) == ["clients.sql", "load.sql", "report.sql", "sales.sql"]
-    assert Q.read_corpus(spark, root, max_bytes=10).filter("parse_error is not null and sql is null").count() == 4
+    assert Q.read_corpus(spark, root, max_bytes=10).filter("parse_error is not null and sql is not null and content_hash is not null").count() == 4
 
 
 def test_catalog(spark, tmp_path):
@@ -67,7 +67,7 @@ def test_impact(spark, tmp_path):
     summary = {r.change_id: (r.found, r.total_affected, r.severity) for r in M.impact_summary(rows, targets).collect()}
     assert summary == {"a": (True, 2, "low"), "b": (False, 0, "low"), "c": (True, 2, "low")}
     advice = [r.suggestion for r in M.suggestions(M.impact_summary(rows, targets)).filter("change_id = 'b'").orderBy("position").collect()]
-    assert advice[0] == "table 'nowhere' not found in lineage graph"
+    assert advice[0] == "table 'nowhere' is in no lineage edge or definition"
 
 
 def test_severity_bands(spark):
