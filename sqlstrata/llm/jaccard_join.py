@@ -295,3 +295,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link classes of all documents."""
     return jaccard_components(C.table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 4 THEN list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS grams FROM w),
+n AS (SELECT doc_id, len(grams) AS n FROM s), e AS (SELECT doc_id, unnest(grams) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(node, component) AS (SELECT doc_id, doc_id FROM n UNION SELECT b, component FROM r JOIN u ON a = node)
+SELECT CAST(n.doc_id AS BIGINT) AS doc_id, CAST(n.n AS BIGINT) AS n_shingles, CAST(min(component) AS BIGINT) AS component_id FROM n JOIN r ON r.node = n.doc_id GROUP BY n.doc_id, n.n
+"""

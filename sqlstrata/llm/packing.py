@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,9 @@ CAPACITY = 2048
 END = 1  # id after each document
 SHORT = 128  # a rest of at most so many tokens is not cut again
 LEAST = 32  # shortest piece that a cut leaves, so that classes stay few
-CACHED = 400_000  # words whose ids a task remembers
+CACHED = 600_000  # words whose ids a task remembers
 TASKS = 512  # tasks whose leftovers are packed together
+_MARKS = ".,;:!?#$%&*|"
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -43,16 +45,27 @@ class WordTokenizer:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
     def words(self, text: str) -> list[str]:
+        # The tokenizer lower-cases character by character: so does lower() but for these two letters. Special tokens are matched as written.
+        if "<|" not in text and "\u0130" not in text and "\u03a3" not in text:
+            text = text.lower()
         return text.split() if not _ODD.search(text) else [w for w in _SPACE.split(text) if w]
 
+    def _learn(self, new: set[str]) -> None:
+        """Ids of new words. Letters with marks behind them are two tokens' worth of text, whose ids follow each other."""
+        apart = {w: b for w in new if (b := w.rstrip(_MARKS)) and len(b) < len(w) and b.isalpha()}
+        alone = list((new - apart.keys() | set(apart.values()) | {w[len(b):] for w, b in apart.items()}) - self.known.keys())
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            self.known[w] = array("I", e.ids).tobytes()
+        for w, b in apart.items():
+            self.known[w] = self.known[b] + self.known[w[len(b):]]
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Unsigned 32-bit ids of each text, in the byte order of all common machines: little-endian."""
         split = [self.words(t) for t in texts]
-        new = list(set().union(*map(set, split)) - self.known.keys()) if split else []
-        if len(self.known) + len(new) > CACHED:
-            self.known, new = {}, list(set().union(*map(set, split)))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        every = set().union(*map(set, split))
+        if len(self.known) + len(every) > CACHED:
+            self.known = {}
+        self._learn(every - self.known.keys())
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_repeat_index": repeat_index.query,
     "op10_quality_cotraining": quality.query,
 }
-ORACLES: dict[str, str] = {"op6_vantage_point_search": vp_search.SQL}
+ORACLES: dict[str, str] = {"op4_jaccard_join": jaccard_join.SQL, "op6_vantage_point_search": vp_search.SQL}

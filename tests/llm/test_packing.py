@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from sqlstrata.llm import packing as P
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["", " ", "a\x1cb c", "x\x1f \x1dy", "foo<|endoftext|>bar <|startoftext|>", "it's we'll İstanbul ΣΑΣ é ́x", "a b c　d​e", "日本 語。", "𝔘𝔫 ½ ²", "don't'd's 's", "a\u0085b c᠎d"]
+ODD = ["", " ", "a\x1cb c", "x\x1f \x1dy", "foo<|endoftext|>bar <|startoftext|>", "it's we'll İstanbul ΣΑΣ é ́x", "a b c　d​e", "日本 語。", "𝔘𝔫 ½ ²", "don't'd's 's", "a\u0085b c᠎d", "Word. WORD, word!! word's. word's, a1. ,. ..", "<|STARTOFTEXT|> <|endoftext|>.", "ΟΔΟΣ. İSTANBUL.", "한글. 가, é."]
 
 
 @pytest.fixture(scope="module")
