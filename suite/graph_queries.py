@@ -106,7 +106,7 @@ def _(spark, d):
 
 
 @query("J13_aliases", """SELECT doc_id, 0 AS stmt_idx, alias, prefix || CASE num WHEN 'a' THEN CAST(a AS VARCHAR) WHEN 'b' THEN CAST(b AS VARCHAR) WHEN 'c' THEN CAST(c AS VARCHAR) ELSE '' END AS table_key FROM qlog q JOIN (VALUES (1, 'x', 't', 'a'), (1, 'y', 'raw.t', 'c'),
-  (10, 'a', 't', 'a'), (10, 'b', 't', 'b'), (10, 'c', 't', 'c'), (28, 'flatten', 'lateral', ''), (30, 'a', 't', 'a'), (30, 'b', 't', 'a'), (30, 'c', 't', 'b'), (30, 'd', 't', 'c'), (30, 'e', 'raw.sales', ''), (30, 'f', 'raw.dim', ''), (30, 'g', 'raw.geo', ''),
+  (10, 'a', 't', 'a'), (10, 'b', 't', 'b'), (10, 'c', 't', 'c'), (30, 'a', 't', 'a'), (30, 'b', 't', 'a'), (30, 'c', 't', 'b'), (30, 'd', 't', 'c'), (30, 'e', 'raw.sales', ''), (30, 'f', 'raw.dim', ''), (30, 'g', 'raw.geo', ''),
   (34, 'x', 't', 'a'), (34, 'y', 't', 'c'), (40, 'm', 'raw.dim', ''), (41, 's', 'raw.sales', ''), (43, 'x1', 'base', ''), (43, 'x2', 'base', ''), (43, 'x3', 'base', '')) v(k, alias, prefix, num) ON q.kind = v.k""")
 def _(spark, d):
     pairs = stmts(spark, d).select("doc_id", "stmt_idx", F.explode(I.alias_pairs(I._main_query(F.col("masked")))).alias("p")).select("doc_id", "stmt_idx", "p.alias", "p.table_key")
@@ -599,14 +599,14 @@ def feed(spark, d, root):
         return rows.select("path", F.lit(what).alias("change_type"), F.timestamp_seconds(F.lit(second)).alias("mtime"), "sql")
     parts = [batch(log, "create", 1), batch(edited(log).filter(kind.isin(0, 10, 12)), "change", 2), batch(log.filter(kind == 3), "delete", 3)]
     for p in parts:
-        p.coalesce(1).write.mode("append").parquet(root)
+        p.write.mode("append").parquet(root)  # files of one change are older than those of the next
     return spark.read.schema(W.CHANGES).parquet(root)
 
 
 def maintained(spark, d):
     root = scratch_path(spark, "stream")
     changes = feed(spark, d, f"{root}/feed")
-    run = W.maintain_index(W.read_changes(spark, f"{root}/feed", 1), f"{root}/index")
+    run = W.maintain_index(W.read_changes(spark, f"{root}/feed", 8), f"{root}/index")
     run.awaitTermination()
     return changes, f"{root}/index"
 
