@@ -19,6 +19,7 @@ class Rule:
     category: str
     message: object  # text, or a Column over the feature frame
     when: Column
+    each: Column | None = None  # an array: one finding per element, which ends the message
 
 
 def features(stmts: DataFrame, registry: DataFrame | None = None) -> DataFrame:
@@ -75,7 +76,7 @@ def statement_rules() -> list[Rule]:
         Rule("H6", "error", "high", perf, "tables are listed without a condition between them",
              selects & (F.greatest(n_tables, F.col("from_items")) > 1) & (F.col("joins") == 0) & (F.col("conditions") == 0)
              & ~o.rlike(r"(?i)\b(?:UNION|INTERSECT|EXCEPT|WITH)\b") & (F.col("subqueries") == 0) & (F.col("from_items") > 1)),
-        Rule("H7", "warning", "medium", quality, F.concat(F.lit('never read: '), F.array_join(F.array_sort(unused), ", ")), F.size(unused) > 0),
+        Rule("H7", "warning", "medium", quality, "never read: ", F.size(unused) > 0, F.array_sort(unused)),
         Rule("H12", "warning", "medium", perf, F.concat(F.lit("only "), F.get(table_qualifiers, F.lit(0)), F.lit(" is filtered: filter it ahead of the join")),
              selects & (F.col("joins") > 0) & (F.size(table_qualifiers) == 1)),
         Rule("H13", "info", "medium", perf, "the HAVING condition needs no groups: WHERE would do", (F.col("having_q") != "") & ~F.col("having_q").rlike(_AGG)),
@@ -108,15 +109,18 @@ def statement_rules() -> list[Rule]:
     return rules
 
 
-def _as_struct(rule: Rule) -> Column:
-    message = rule.message if isinstance(rule.message, Column) else F.lit(rule.message)
-    return F.when(rule.when, F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.type).alias("type"), F.lit(rule.severity).alias("severity"),
-                                      F.lit(rule.category).alias("category"), message.alias("message")))
+def _as_structs(rule: Rule) -> Column:
+    """Array of the rule's findings: none where it doesn't hold, one, or one per element of `each`."""
+    start = rule.message if isinstance(rule.message, Column) else F.lit(rule.message)
+    of = lambda message: F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.type).alias("type"), F.lit(rule.severity).alias("severity"),
+                                  F.lit(rule.category).alias("category"), message.alias("message"))
+    found = F.array(of(start)) if rule.each is None else F.transform(rule.each, lambda x: of(F.concat(start, x)))
+    return F.when(rule.when, found)
 
 
 def apply_rules(frame: DataFrame, rules: list[Rule]) -> DataFrame:
     """Long table of findings: one pass over the frame, then an explode of the rules that hold."""
-    hits = F.filter(F.array(*[_as_struct(r) for r in rules]), lambda h: h.isNotNull())
+    hits = F.flatten(F.filter(F.array(*[_as_structs(r) for r in rules]), lambda h: h.isNotNull()))
     rows = frame.select("doc_id", "path", "stmt_idx", F.explode(hits).alias("h"))
     return rows.select("doc_id", "path", "stmt_idx", "h.rule_id", "h.type", "h.severity", "h.category", "h.message")
 
