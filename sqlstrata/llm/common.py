@@ -154,10 +154,6 @@ class Rolling:
 SET_BITS = 1 << 25  # 4 MB, whatever the data; more keys only let more others through
 
 
-def slot(key: Column, bits: int = SET_BITS) -> Column:
-    return F.xxhash64(key).bitwiseAND(F.lit(bits - 1))
-
-
 def bit_sets(keys: DataFrame, conditions: list[Column], bits: int = SET_BITS) -> bytes:
     """The keys of the first column of `keys` for which each condition holds, as one bit set after the other. At most bits / 64 rows reach the driver."""
     c = keys.columns[0]

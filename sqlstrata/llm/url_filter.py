@@ -42,13 +42,15 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def codes(text: Column) -> Column:
-    """For each character, and the end, its class and those of the three before it as one number below 32**4."""
+def with_codes(rows: DataFrame, text: Column) -> DataFrame:
+    """Adds `codes`: for each character, and the end, its class and those of the three before it as one number below 32**4."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]", "0"), "[^a-z0/._\\-]", "~")
-    padded = F.concat(F.lit("~" * ORDER), plain, F.lit("~"))
-    place = lambda i, k: F.instr(F.lit(SYMBOLS), F.substring(padded, i + k, F.lit(1))) - 1
-    number = lambda i: place(i, F.lit(0)) * SIZE**3 + place(i, F.lit(1)) * SIZE**2 + place(i, F.lit(2)) * SIZE + place(i, F.lit(3))
-    return F.transform(F.sequence(F.lit(1), F.length(plain) + 1), number)
+    # places by array position: a long URL costs what its length says
+    classes = F.concat(F.array(*[F.lit(0)] * ORDER), F.transform(F.split(plain, ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1), F.array(F.lit(0)))
+    rows = rows.withColumn("_classes", classes)
+    at = lambda i: F.get("_classes", i)
+    number = lambda i: at(i) * SIZE**3 + at(i + 1) * SIZE**2 + at(i + 2) * SIZE + at(i + 3)
+    return rows.withColumn("codes", F.transform(F.sequence(F.lit(0), F.size("_classes") - 1 - ORDER), number)).drop("_classes")
 
 
 def log_ratios(grams: DataFrame) -> DataFrame:
@@ -88,24 +90,31 @@ def scored(urls: DataFrame, ratios: DataFrame) -> DataFrame:
 
 
 def threshold(bins: DataFrame) -> DataFrame:
-    """`bins(bin, a, r)`, at most 2 * BINS + 1 rows, to the one bin from which on URLs are allowed: best mean of the two rates, the higher bin of equal ones."""
-    up = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    rates = bins.select("bin", F.sum("a").over(every).alias("all_a"), F.sum("r").over(every).alias("all_r"), F.coalesce(F.sum("a").over(up), F.lit(0)).alias("lost_a"), F.coalesce(F.sum("r").over(up), F.lit(0)).alias("cut_r"))
-    return rates.where("all_a > 0 AND all_r > 0").agg(F.max_by("bin", F.struct(F.col("cut_r") / F.col("all_r") - F.col("lost_a") / F.col("all_a"), F.col("bin"))).alias("bin"))
+    """`bins(bin, a, r)`, at most 2 * BINS + 1 rows, to the bin from which on URLs are allowed.
+
+    Of the cuts between two bins the one with the best mean of the two kinds' rates is taken, the higher of equal ones; it lies half-way.
+    """
+    order, every = Window.orderBy("bin"), Window.partitionBy()
+    up = order.rowsBetween(Window.unboundedPreceding, -1)
+    middle = F.ceil((F.col("bin") + F.coalesce(F.lag("bin").over(order), "bin")) / 2)
+    rates = bins.select("bin", middle.alias("middle"), F.sum("a").over(every).alias("all_a"), F.sum("r").over(every).alias("all_r"),
+                        F.coalesce(F.sum("a").over(up), F.lit(0)).alias("lost_a"), F.coalesce(F.sum("r").over(up), F.lit(0)).alias("cut_r"))
+    good = F.struct(F.col("cut_r") / F.col("all_r") - F.col("lost_a") / F.col("all_a"), F.col("bin"))
+    return rates.where("all_a > 0 AND all_r > 0").agg(F.max_by("middle", good).alias("bin"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """`pages(page_id bigint, url string, ...)` to `(page_id, host, path, rule, verdict, score)`, one row per input row.
 
-    A URL that a rule fits has its verdict; any other is allowed when its score reaches the threshold at which allowed and blocked held-out
-    URLs are told apart best (the higher of equally good ones). A null URL or one without `://` has empty host and path and is scored as the
+    A URL that a rule fits has its verdict; any other is allowed when its score reaches the threshold that tells allowed and blocked held-out
+    URLs apart best. A null URL or one without `://` has empty host and path and is scored as the
     empty text. Without labelled URLs of both kinds all others are allowed. Repeated rows and null ids are carried along; other columns are
     ignored; an empty table gives no rows. `rules` is a short list: it becomes one expression.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("ruled"), codes(F.concat("host", "path")).alias("codes"))
+    rows = rows.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("ruled"))
+    rows = with_codes(rows, F.concat("host", "path"))
     labelled = rows.where("ruled IS NOT NULL").withColumn("held", F.pmod(F.xxhash64("host", "path"), F.lit(HELD_OUT)) == 0)
     grams = labelled.where("NOT held").select(F.explode("codes").alias("code"), "ruled").groupBy(F.col("code").cast("long").alias("code")).agg(
         F.count_if(F.col("ruled") == "allow").alias("a"), F.count_if(F.col("ruled") == "block").alias("r"))

@@ -85,3 +85,11 @@ def test_without_labels_and_empty(spark):
 def test_no_python_in_the_plan(spark):
     plan = U.judge(frame(spark, URLS))._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_codes(spark):
+    texts = ["ab1", "", "É/x", "a" * 60_000]
+    got = [r["codes"] for r in U.with_codes(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string"), F.col("t")).orderBy("i").collect()]
+    s = U.SYMBOLS.index
+    assert got[0] == [s("a"), s("a") * 32 + s("b"), (s("a") * 32 + s("b")) * 32 + s("0"), ((s("a") * 32 + s("b")) * 32 + s("0")) * 32]
+    assert got[2][0] == 0 and len(got[2]) == 4 and len(got[3]) == 60_001 and all(len(g) for g in got)
