@@ -62,10 +62,12 @@ class WordTokenizer:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Unsigned 32-bit ids of each text, in the byte order of all common machines: little-endian."""
         split = [self.words(t) for t in texts]
-        every = set().union(*map(set, split))
-        if len(self.known) + len(every) > CACHED:
-            self.known = {}
-        self._learn(every - self.known.keys())
+        new: set[str] = set()
+        for words in split:
+            new.update(set(words).difference(self.known))
+        if len(self.known) + len(new) > CACHED:
+            self.known, new = {}, set().union(*split)
+        self._learn(new)
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
