@@ -70,6 +70,10 @@ class Tree:
         def offer(q: np.ndarray, rows: np.ndarray, d: np.ndarray):
             ids = np.broadcast_to(self.ids[rows], d.shape)
             d = np.where(ids == own[q][:, None], np.inf, d)
+            better = d.min(axis=1) <= best[q, -1]  # the others' lists stay as they are
+            q, d, ids = q[better], d[better], ids[better]
+            if not len(q):
+                return
             all_d, all_i = np.concatenate([best[q], d], axis=1), np.concatenate([who[q], np.where(np.isinf(d), np.iinfo(np.int64).max, ids)], axis=1)
             o = np.lexsort((all_i, all_d), axis=1)[:, :k]
             best[q], who[q] = np.take_along_axis(all_d, o, 1), np.take_along_axis(all_i, o, 1)
