@@ -59,9 +59,8 @@ def gram_sets(data: np.ndarray, offsets: np.ndarray, gram: int = GRAM) -> list[n
 
 
 def lead_length(n: int, num: int = NUM, den: int = DEN) -> int:
-    """Entries of a set of n grams: two sets that link share one of these. None where only equal sets can link."""
-    p = n - -(-num * n // den) + 1
-    return p if p > 1 else 0
+    """Entries of a set of n grams: two sets that link share one of these. None where only equal sets can link: not even one of n + 1 grams that holds all n."""
+    return n - -(-num * n // den) + 1 if den * n >= num * (n + 1) else 0
 
 
 def _sets_of(batch: pa.RecordBatch, gram: int):

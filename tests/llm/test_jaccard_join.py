@@ -83,3 +83,14 @@ def test_heads_in_parts():
         J.FLUSH = before
         return sorted(zip(*out.values()))
     assert run(1000, 10**6) == run(7, 10**6) == run(7, 10)
+
+
+def test_one_word_more_or_less_in_short_texts(spark):
+    """Texts of 4 to 12 words with one word added in front, behind or inside, or removed: a set that lies in one of one gram more links."""
+    rows = []
+    for n in range(4, 13):
+        w = prose(500 + n, n).split()
+        for text in (w, ["first", *w], [*w, "last"], w[1:], [*w[:n // 2], "inner", *w[n // 2:]]):
+            rows.append((len(rows) + 1, " ".join(text)))
+    assert got(J.jaccard_components(make_docs(spark, rows))) == brute(rows)
+    assert J.lead_length(6) == 1 and J.lead_length(5) == 0 and J.lead_length(4, 80) == 1
