@@ -17,8 +17,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one of smallest doc_id."""
-    return jaccard_join.one_of_each(docs)
+    """One document of each group of near duplicates, by five-word shingles and a Jaccard similarity of 0.8, stays: the one of smallest doc_id."""
+    return jaccard_join.one_of_each(docs, 5, 80, 100)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

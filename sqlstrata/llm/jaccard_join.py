@@ -279,9 +279,9 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: i
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(own, "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int = DEN) -> DataFrame:
     """The rows of `docs` without all but the smallest doc_id of each component; of repeated rows of one doc_id one stays. Rows without a doc_id stay."""
-    found = C.stored(jaccard_components(docs), "components")
+    found = C.stored(jaccard_components(docs, gram, num, den), "components")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(C.stored(gone, "gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
     again = C.stored(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "again")

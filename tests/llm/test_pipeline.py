@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline as P
-from helpers import prose
+from helpers import make_docs, prose
 
 from sqlstrata.llm import decontaminate, jaccard_join, secret_scan
 
@@ -51,3 +51,12 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r["doc_id"] for r in seen["packing"].collect()} == third
     assert P.run(spark, str(tmp_path)).count() == seen["packing"].count()
     assert decontaminate and jaccard_join and secret_scan
+
+
+def test_near_copies_between_the_thresholds(spark):
+    """Two inner words of 100 replaced: 86 of 106 five-word shingles are shared (over 0.8), but 89 of 105 four-word ones (under 0.85)."""
+    words = [f"w{i}" for i in range(100)]
+    swap = lambda *at: " ".join(f"new{i}" if i in at else w for i, w in enumerate(words))
+    docs = make_docs(spark, [(1, " ".join(words)), (2, swap(30, 60)), (3, swap(10, 30, 50, 70))])
+    assert sorted(r["doc_id"] for r in P.deduplicate(spark, docs, "").collect()) == [1, 3]
+    assert sorted(r["doc_id"] for r in jaccard_join.one_of_each(docs).collect()) == [1, 2, 3]
