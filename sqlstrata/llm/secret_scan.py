@@ -28,9 +28,9 @@ MAX_LABELLED = 20_000  # labelled findings that the forest is fitted on
 TREES, DEPTH = 40, 6
 OFTEN = 20  # occurrences that make a word a dictionary word
 PART = range(4, 13)  # lengths of dictionary words looked for in a candidate
-_ASSIGNED = re.compile(r"""[=:]\s{0,3}(["']?)([A-Za-z0-9+/_\-=.~!@#$%^&*]{8,512})""")
-_LONG = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20,512}={0,2}(?![A-Za-z0-9+/_\-])")
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----.{0,20000}?-----END [A-Z ]{0,40}PRIVATE KEY-----", re.S)
+_ASSIGNED = re.compile(r"""[=:]\s{0,3}(["']?)([A-Za-z0-9+/_\-=.~!@#$%^&*]{8,}+)""")
+_LONG = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20,}+={0,2}(?![A-Za-z0-9+/_\-])")
+_BEGIN, _END = (re.compile(f"-----{w} [A-Z ]{{0,40}}PRIVATE KEY-----") for w in ("BEGIN", "END"))
 _NAME = re.compile(r"([A-Za-z_][\w.\-]{0,60})[\"']?\s*\Z")
 _WORDS = re.compile(r"\w+")
 SECRET_NAMES = ("key", "token", "secret", "password", "passwd", "pwd", "credential", "auth", "bearer", "private", "apikey", "access")
@@ -60,11 +60,19 @@ def figures(value: str, quoted: bool, assigned: bool, name: str, near: list[str]
             has(SECRET_NAMES, near), float(any(w in PLAIN_NAMES for w in near)), has(("test", "example", "sample", "doc", "fixture", "mock"), [path]), has((".env", "config", "secret", ".pem", ".key"), [path])]
 
 
+def blocks(text: str):
+    """(begin, end) of the key blocks, however long: from a first line to the next last line."""
+    begin = _BEGIN.search(text)
+    while begin and (end := _END.search(text, begin.end())):
+        yield begin.start(), end.end()
+        begin = _BEGIN.search(text, end.end())
+
+
 def candidates(text: str) -> list[tuple[int, int, str, bool, str]]:
-    """(begin, end, kind, quoted, name) of what may be a secret, without overlaps: key blocks, then assigned values, then long tokens."""
+    """(begin, end, kind, quoted, name) of what may be a secret, to its real end, without overlaps: key blocks, then assigned values, then long tokens."""
     found: list[tuple[int, int, str, bool, str]] = []
     if "-----BEGIN" in text:
-        found += [(m.start(), m.end(), "block", False, "") for m in _BLOCK.finditer(text)]
+        found += [(a, b, "block", False, "") for a, b in blocks(text)]
     for m in _ASSIGNED.finditer(text):
         name = _NAME.search(text[max(0, m.start() - 64):m.start()])
         if name and not m[2].isalpha():
@@ -81,35 +89,55 @@ def candidates(text: str) -> list[tuple[int, int, str, bool, str]]:
     return out
 
 
+def _part_places(value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and length of the parts of a candidate's letter runs that may be dictionary words."""
+    runs = [m.span() for m in re.finditer(r"[A-Za-z]{4,}", value)]
+    at = [np.arange(a, b - n + 1) for a, b in runs for n in PART if n <= b - a]
+    return (np.concatenate(at), np.repeat([n for a, b in runs for n in PART if n <= b - a], [len(x) for x in at])) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def parts_of(value: str) -> list[tuple[int, int, str]]:
-    """Parts of a candidate's letter runs that may be dictionary words."""
-    return [(m.start() + i, n, m[0][i:i + n].lower()) for m in re.finditer(r"[A-Za-z]{4,}", value[:512]) for n in PART for i in range(len(m[0]) - n + 1)]
+    """(begin, length, part) of those parts, of the whole value."""
+    return [(a, n, value[a:a + n].lower()) for a, n in zip(*(x.tolist() for x in _part_places(value)))]
 
 
-def _word_hash(words: list[str]) -> np.ndarray:
-    raw = [w.encode() for w in words]
-    ends = np.cumsum([len(r) for r in raw]) if raw else np.zeros(0, np.int64)
+def _parts(value: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, length and hash of those parts. One byte stands for each character: parts are ASCII."""
+    at, n = _part_places(value)
     with np.errstate(over="ignore"):
-        return C.Rolling(np.frombuffer(b"".join(raw), np.uint8), C.byte_values(True)).spans(np.r_[0, ends[:-1]].astype(np.int64), ends.astype(np.int64)).view(np.int64) if raw else np.zeros(0, np.int64)
+        return at, n, C.Rolling(np.frombuffer(value.encode("ascii", "replace"), np.uint8), C.byte_values(True)).spans(at, at + n).view(np.int64)
 
 
 _FOUND = ("doc_id bigint, key bigint, begin bigint, end bigint, kind string, name string, value string, path string, figures array<double>, parts array<struct<at:int,n:int,h:bigint>>")
 
 
+PARTS = 500_000  # parts of candidates in one batch
+
+
 def _find(batches):
     schema = pa.schema([*[(c, pa.int64()) for c in ("doc_id", "key", "begin", "end")], *[(c, pa.string()) for c in ("kind", "name", "value", "path")], ("figures", pa.list_(pa.float64())),
                         ("parts", pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("h", pa.int64())])))])
+
+    def made(rows, parts):
+        sizes = np.cumsum([0] + [len(x[0]) for x in parts]).astype(np.int32)
+        columns = [np.concatenate([x[i] for x in parts] or [np.zeros(0, np.int64)]) for i in range(3)]
+        lists = pa.ListArray.from_arrays(pa.array(sizes), pa.StructArray.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, (np.int32, np.int32, np.int64))], ["at", "n", "h"]))
+        return pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema) if f.name != "parts"], lists], schema=schema)
+
     for batch in batches:
-        rows = []
+        rows, parts, size = [], [], 0
         for doc, key, text, path in zip(*[batch.column(i).to_pylist() for i in (0, 1)], batch.column(2), batch.column(3).to_pylist()):
             text = text.as_py() or ""
             for begin, end, kind, quoted, name in candidates(text):
                 value = text[begin:end]
                 near = _WORDS.findall(text[max(0, begin - 80):begin])[-4:] + _WORDS.findall(text[end:end + 80])[:3]
-                parts = parts_of(value)
-                h = _word_hash([p for _, _, p in parts])
-                rows.append((doc, key, begin, end, kind, name, value, path, figures(value, quoted, kind == "assigned", name, near, path or ""), [{"at": a, "n": n, "h": int(x)} for (a, n, _), x in zip(parts, h)]))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+                rows.append((doc, key, begin, end, kind, name, value, path, figures(value, quoted, kind == "assigned", name, near, path or "")))
+                parts.append(_parts(value))
+                size += len(parts[-1][0])
+                if size > PARTS:
+                    yield made(rows, parts)
+                    rows, parts, size = [], [], 0
+        yield made(rows, parts)
 
 
 def _word_counts(wanted):
@@ -143,13 +171,13 @@ def findings(docs: DataFrame, often: int = OFTEN) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"),
                        F.col("source").cast("string").alias("path"))
     found = C.stored(rows.mapInArrow(_find, _FOUND), "found")
-    parts = found.select("value", F.explode("parts").alias("p")).select("value", "p.at", "p.n", "p.h").distinct()
+    parts = found.select(F.xxhash64("value").alias("v"), "parts").select("v", F.explode("parts").alias("p")).select("v", "p.at", "p.n", "p.h").distinct()
     wanted = C.shared_array(spark, C.bit_set(found.select(F.explode("parts").alias("p")).select("p.h")))
     words = rows.select("text").mapInArrow(_word_counts(wanted), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= often).select("h")
-    covered = parts.join(C.stored(words, "words"), "h").select("value", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("place")).groupBy("value").agg(F.count_distinct("place").alias("covered"))
+    covered = parts.join(C.stored(words, "words"), "h").select("v", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("place")).groupBy("v").agg(F.count_distinct("place").alias("covered"))
     at = FIGURES.index("covered")
     share = F.coalesce(F.col("covered") / F.length("value"), F.lit(0.0))
-    return found.drop("parts").join(covered, "value", "left").withColumn("figures", F.transform("figures", lambda x, i: F.when(i == at, share).otherwise(x))).drop("covered")
+    return found.drop("parts").withColumn("v", F.xxhash64("value")).join(covered, "v", "left").withColumn("figures", F.transform("figures", lambda x, i: F.when(i == at, share).otherwise(x))).drop("covered", "v")
 
 
 def figure(name: str):
