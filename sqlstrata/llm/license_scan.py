@@ -1,9 +1,9 @@
 """License scan with a positional rare-token index (operator 8), in DataFrame operations only.
 
 Each template of a licence notice is indexed by word and position. How many documents hold a template word is counted over the whole corpus.
-In a document the rarest template words it holds (highest inverse document frequency) are looked up, the postings of each are shifted by where
-the word stands, and a template whose words meet at one offset often enough is a candidate. A candidate counts once its key phrases stand there
-too. The templates are a fixed list, so all lookups are row by row: the only shuffle is the count of template words.
+For each template whose key phrases stand in a document, the rarest of the template's words that it holds (highest inverse document frequency) are
+looked up, the postings of each are shifted by where the word stands, and the template counts if its words meet at one offset often enough: a
+notice that stands there word for word always does, whatever other notices the document holds. The templates are a fixed list, so all lookups are row by row: the only shuffle is the count of template words.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
     ("proprietary", "all rights reserved unauthorized copying of this file via any medium is strictly prohibited", ["all rights reserved", "strictly prohibited"]),
 ]
-RAREST = 8  # template words of a document that are looked up
+RAREST = 8  # words of each template that are looked up in a document
 SHARE = 0.6  # part of the looked-up weight of a template that must meet at one offset
 
 
@@ -113,31 +113,30 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, rarest: int = RA
 
     # base places
     base = F.flatten(F.array(*[_labelled(phrase_places(F.col("words"), p), label) for p, label in phrases]))
-    # the rarest template words the document holds, with all their places
+    # the template words the document holds, with all their places
     hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(vocab))
     rows = rows.withColumn("hits", F.when(F.exists("words", lambda w: w.isin(_anchors(templates))), hits).otherwise(F.array().cast("array<struct<w:string,i:int>>")))
-    held = F.array_distinct(F.transform("hits", lambda h: h["w"]))
-    rows = rows.withColumn("looked", F.slice(F.filter(F.array(*[F.lit(w) for w in order]), lambda w: F.array_contains(held, w)), 1, rarest))
-    rows = rows.withColumn("hits", F.filter("hits", lambda h: F.array_contains("looked", h["w"])))
-    text = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    rows = rows.withColumn("held", F.array_distinct(F.transform("hits", lambda h: h["w"])))
+    rows = rows.withColumn("joined", F.when(F.size("hits") > 0, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))))
     found = []
     for label, notice, keys in templates:
         postings: dict[str, list[int]] = {}
         for i, w in enumerate(notice.split()):
             postings.setdefault(w, []).append(i)
-        most = _weight(F.col("looked"), {w: idf[w] * len(at) for w, at in postings.items()})
-        part = F.when(most > 0, _meeting(F.col("hits"), postings, idf) / most).otherwise(0.0)
-        verified = _and([text.contains(f" {k} ") for k in keys])
-        found.append(F.struct(F.lit(label).alias("label"), F.when((F.size("looked") > 0) & (part >= share) & verified, F.least(part, F.lit(1.0))).alias("share")))
+        most = {w: idf[w] * len(at) for w, at in postings.items()}
+        looked = F.slice(F.filter(F.array(*[F.lit(w) for w in order if w in postings]), lambda w: F.array_contains("held", w)), 1, rarest)
+        met = F.transform(F.array(looked), lambda k: F.try_divide(_meeting(F.filter("hits", lambda h: F.array_contains(k, h["w"])), postings, idf), _weight(k, most)))  # noqa: B023
+        verified = _and([F.col("joined").contains(f" {k} ") for k in keys])
+        found.append(F.struct(F.lit(label).alias("label"), F.when(verified, F.get(met, 0)).alias("share")))
     rows = rows.withColumn("base", F.when(F.array_contains("words", "license"), base).otherwise(F.array().cast("array<struct<i:int,label:string>>")))
-    rows = rows.withColumn("found", F.when(F.size("looked") > 0, F.filter(F.array(*found), lambda x: x["share"].isNotNull())).otherwise(F.array().cast("array<struct<label:string,share:double>>")))
+    rows = rows.withColumn("found", F.when(F.size("hits") > 0, F.filter(F.array(*found), lambda x: x["share"] >= share)).otherwise(F.array().cast("array<struct<label:string,share:double>>")))
     labels = lambda c: F.transform(c, lambda x: x["label"])
     return rows.select(
         "doc_id", F.size("words").cast("long").alias("n_words"), F.size("base").cast("long").alias("n_base"),
         F.array_min(F.transform("base", lambda x: x["i"])).cast("long").alias("first_word"), F.array_max(F.transform("base", lambda x: x["i"])).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(labels("base"))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(labels("base"), labels("found")))), ",").alias("labels"),
-        F.coalesce(F.array_max(F.transform("found", lambda x: x["share"])), F.lit(0.0)).alias("score"))
+        F.coalesce(F.array_max(F.transform("found", lambda x: F.least(x["share"], F.lit(1.0)))), F.lit(0.0)).alias("score"))
 
 
 def _anchors(templates) -> list[str]:

@@ -39,3 +39,13 @@ def test_empty_table_and_plan(spark):
     assert df.count() == 0
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_several_notices_in_one_text(spark):
+    """Every notice that stands in a text counts, also a common one beside notices of rarer words."""
+    footers = [(i, f"text number {i} licensed under CC BY-SA 4.0") for i in range(200, 260)]
+    bundle = " ".join(f"part {i} {notice}." for i, (_, notice, _) in enumerate(L.TEMPLATES))
+    rows = {r["doc_id"]: r for r in L.scan(make_docs(spark, [(1, TEXTS[10] + " Licensed under CC BY-SA 4.0"), (2, bundle), (3, bundle.upper() * 40), *footers])).collect()}
+    assert rows[1]["labels"] == "bsd,cc-by-sa" and rows[1]["score"] == 1.0
+    assert rows[2]["labels"] == rows[3]["labels"] == ",".join(sorted({label for label, _, _ in L.TEMPLATES}))
+    assert all(rows[i]["labels"] == "cc-by-sa" for i, _ in footers)
