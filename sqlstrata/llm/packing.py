@@ -33,6 +33,8 @@ _MARKS = ".,;:!?#$%&*|"
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+_WITH_IDS = _PIECE + ", ids array<int>"
+ROOM = 4 << 20  # ids in one batch of pieces
 
 
 class WordTokenizer:
@@ -96,14 +98,21 @@ def _pieces(total: int, first: list[int], capacity: int):
         start += n
 
 
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows of pieces; last come the bytes of their ids, which go into one array without a copy per id."""
+    ends = np.cumsum([0] + [len(r[-1]) // 4 for r in rows]).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(r[-1] for r in rows), "<i4")))
+    return pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], pa.int64()) for i in range(len(schema) - 1)], ids], schema=schema)
+
+
 def _fill(path: str, capacity: int):
     def run(batches):
-        schema = pa.schema([(c.split()[0], pa.int64()) for c in _PIECE.split(", ")] + [("task", pa.int64())])
+        schema = pa.schema([(c.split()[0], pa.int64()) for c in _PIECE.split(", ")] + [("task", pa.int64()), ("ids", pa.list_(pa.int32()))])
         words, first, task = WordTokenizer(path), cuts(capacity), TaskContext.get().partitionId()
         bins: dict[int, list] = {}
         closed, end = 0, np.array([END], "<u4").tobytes()
         for batch in batches:
-            ids, texts, size, rows = batch.column(0).to_pylist(), batch.column(1), 0, []
+            ids, texts, size, rows, room = batch.column(0).to_pylist(), batch.column(1), 0, [], 0
             at = 0
             while at < len(ids):
                 to, size = at, 0
@@ -119,18 +128,22 @@ def _fill(path: str, capacity: int):
                     for start, n in _pieces(total, first, capacity):
                         kind = capacity // n
                         open_ = bins.setdefault(kind, [])
-                        open_.append((doc, start, n, zlib.crc32(raw[4 * start:4 * (start + n)]), total))
+                        piece = raw[4 * start:4 * (start + n)]
+                        open_.append((doc, start, n, zlib.crc32(piece), total, piece))
                         if len(open_) == kind:
                             offset, sequence = 0, (task << 32) + closed
                             for p in open_:
-                                rows.append((*p, sequence, offset, task))
+                                rows.append((*p[:5], sequence, offset, task, p[5]))
                                 offset += p[2]
+                            room += offset
                             closed += 1
                             bins[kind] = []
+                            if room >= ROOM:
+                                yield _rows(rows, schema)
+                                rows, room = [], 0
                 at = to
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(8)], schema=schema)
-        rows = [(*p, None, None, task) for open_ in bins.values() for p in open_]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(8)], schema=schema)
+            yield _rows(rows, schema)
+        yield _rows([(*p[:5], None, None, task, p[5]) for open_ in bins.values() for p in open_], schema)
     return run
 
 
@@ -167,25 +180,27 @@ def _again(capacity: int):
         base = (1 << 62) + (int(frame["task"].iloc[0]) // TASKS << 32)
         frame["sequence_id"] = [base + b for b, _ in where]
         frame["offset"] = [o for _, o in where]
-        return frame[[c.split()[0] for c in _PIECE.split(", ")]]
+        return frame[[c.split()[0] for c in _WITH_IDS.split(", ")]]
     return run
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """`docs(doc_id bigint, text string, ...)` to one row per piece: `(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)`.
+    """`docs(doc_id bigint, text string, ...)` to one row per piece: `(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids)`.
+
+    `ids` are the piece's token ids: those of a sequence, by `offset`, are what a model trains on. `ids_crc32` is their digest.
 
     A document is its ids and then END; `start` counts its ids before the piece, `offset` the ids of the sequence before it. A null or empty
     text is the one id END. Each row is a document of its own, also where ids repeat or are null. Any text length is cut to pieces of at most
     `capacity`. Other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    filled = C.stored(rows.mapInArrow(_fill(tokenizer_path, capacity), _PIECE + ", task bigint"), "packed")
-    left = filled.where("sequence_id IS NULL").groupBy(F.floor(F.col("task") / TASKS).alias("group")).applyInPandas(_again(capacity), _PIECE)
+    filled = C.stored(rows.mapInArrow(_fill(tokenizer_path, capacity), _PIECE + ", task bigint, ids array<int>"), "packed")
+    left = filled.where("sequence_id IS NULL").groupBy(F.floor(F.col("task") / TASKS).alias("group")).applyInPandas(_again(capacity), _WITH_IDS)
     return filled.where("sequence_id IS NOT NULL").drop("task").union(left)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, packed."""
+    """All documents, packed; of the ids only the digest."""
     import public_tokenizers
 
-    return pack(C.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(C.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")

@@ -12,7 +12,6 @@ one pass over the text streams the matching statistics of all segments from the
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pandas as pd
@@ -247,21 +246,25 @@ def repeated_segments(texts: DataFrame, length: int = LENGTH, k: int = K) -> tup
 
 
 def _cut(unmarked, length: int):
-    """Rows that no mark can touch, done."""
+    """Rows that no mark can touch, whole."""
     def run(batches):
         bits = np.frombuffer(unmarked.value, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
         for batch in batches:
             data, offs = C.bytes_of(batch.column(1))
-            ids, n, sha = [], [], []
-            for r, doc in enumerate(batch.column(0).to_pylist()):
-                d = data[offs[r]:offs[r + 1]]
-                if not _marked(d, bits, length):
-                    ids.append(doc), n.append(len(d)), sha.append(hashlib.sha256(d).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array([0] * len(n), pa.int64()), pa.array([0] * len(n), pa.int64()), pa.array(sha, pa.string())], schema=schema)
+            rows = [(doc, offs[r + 1] - offs[r], [], d.tobytes()) for r, doc in enumerate(batch.column(0).to_pylist()) if not _marked(d := data[offs[r]:offs[r + 1]], bits, length)]
+            yield _passage_rows(rows)
     return run
 
 
+_PASSAGES = "doc_id bigint, n_bytes bigint, spans array<struct<a:bigint,b:bigint>>, kept binary"
+
+
+def _passage_rows(rows: list[tuple]) -> pa.RecordBatch:
+    span = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(span)), ("kept", pa.binary())])
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(schema)], schema=schema)
+
+
 def _marked(d: np.ndarray, bits: np.ndarray, length: int) -> bool:
     return len(d) >= length and bool(C.in_bits(np.array([_text_key(d)]), bits)[0])
 
@@ -288,26 +291,23 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _without(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
     for batch in batches:
         rows = []
         for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             text = text or b""
             runs = merged([(x["a"], x["b"]) for x in spans or ()])
-            kept, at = hashlib.sha256(), 0
-            for a, b in runs:
-                kept.update(text[at:a])
-                at = b
-            kept.update(text[at:])
-            rows.append((doc, len(text), sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(schema)], schema=schema)
+            ends = [0, *[b for _, b in runs]]
+            kept = b"".join(text[at:a] for at, a in zip(ends, [*[a for a, _ in runs], len(text)]))
+            rows.append((doc, len(text), [{"a": a, "b": b} for a, b in runs], kept))
+        yield _passage_rows(rows)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """`docs(doc_id bigint, text string, ...)` to `(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`, one row per input row.
+def passages(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+    """`docs(doc_id bigint, text string, ...)` to `(doc_id, n_bytes, spans, kept)`, one row per input row.
 
     All bytes covered by a `length`-byte string that also starts anywhere else in the input, the same text included, are removed; matches
-    never cross texts. A null or short text loses nothing (null: 0 bytes). Repeated rows are copies of each other and lose all their
+    never cross texts. `spans` are the removed bytes as (a, b), from a up to but without b, in order and apart; `kept` is the UTF-8 text without
+    them, as bytes, since a span may begin or end within a character. A null or short text loses nothing (null: 0 bytes). Repeated rows are copies of each other and lose all their
     windows. A null doc_id is carried along. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -316,10 +316,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     hits = places.join(marks, "seg").select("key", (F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.least("hi", F.col("windows") - 1) + length).alias("b"))
     spans = C.stored(hits.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
     touched = C.shared_array(spark, C.bit_set(spans.select("key")))
-    out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    clean = rows.mapInArrow(_cut(touched, length), out)
+    clean = rows.mapInArrow(_cut(touched, length), _PASSAGES)
     joined = rows.mapInArrow(_to_join(touched, length), "doc_id bigint, key bigint, text binary").join(spans, "key", "left")
-    return clean.union(joined.select("doc_id", "text", "spans").mapInArrow(_without, out))
+    return clean.union(joined.select("doc_id", "text", "spans").mapInArrow(_without, _PASSAGES))
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+    """Digests of `passages`: `(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`, one row per input row."""
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
+    return passages(docs, length, k).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,3 +69,11 @@ def test_cuts_and_leftovers():
         assert load.get(b, 0) == o
         load[b] = o + n
     assert max(load.values()) <= 2048
+
+
+def test_sequences_hold_the_token_ids(spark, plain):
+    rows = [(d, t) for d, t in awkward() if d is not None] + [(100 + i, t) for i, t in enumerate(ODD)]
+    texts = {d: [*plain.encode(t or "", add_special_tokens=False).ids, P.END] for d, t in rows}
+    pieces = P.pack(make_docs(spark, rows), PATH).collect()
+    assert all(list(p["ids"]) == texts[p["doc_id"]][p["start"]:p["start"] + p["length"]] for p in pieces)
+    assert sum(len(p["ids"]) for p in pieces) == sum(len(texts[d]) for d, _ in rows)

@@ -81,3 +81,11 @@ def test_pieces_of_a_long_text(spark):
         assert got(R.repeats(make_docs(spark, rows))) == want(rows)
     finally:
         R.PIECE = before
+
+
+def test_passages_have_spans_and_kept_text(spark):
+    rows = [r for r in awkward() if r[0] is not None]
+    texts = [(t or "").encode() for _, t in rows]
+    want_ = sorted((d, [i for i, x in enumerate(m) if x], bytes(b for b, x in zip(t, m) if not x)) for (d, _), t, m in zip(rows, texts, covered(texts, 200)))
+    mine = sorted((r["doc_id"], [i for x in r["spans"] for i in range(x["a"], x["b"])], bytes(r["kept"])) for r in R.passages(make_docs(spark, rows)).collect())
+    assert mine == want_ and any(s for _, s, _ in mine)
