@@ -2,11 +2,12 @@
 
 Two views of a document that can each tell good from bad: what it says (its distinct words and punctuation, hashed) and its metadata (source,
 language, length and layout figures). A logistic model per view starts from labelled documents. In each round both score all unlabelled
-documents, and the most confident ones of each view become pseudo-labels for the other view's next model. Last, each view's score is calibrated
-on labelled documents kept out of training, and a combination of the two judges every document.
+documents, calibrated on labelled documents kept out of training, and those of which a view is confident become pseudo-labels for the other
+view's next model. None is taken twice, and none of which the views are confident in opposite ways. Last, each view's score is calibrated
+again, and a combination of the two judges every document.
 
-Bounds, all parameters: at most `max_labelled` labelled documents are fitted on, `exchange` pseudo-labels per view, class and round; models have
-2**18 and 2**12 weights. Scoring, and the search for the most confident documents, cover all documents.
+Bounds, all parameters: at most `max_labelled` labelled documents are fitted on, and of the confident ones the `exchange` most confident per view,
+class and round, since models are fitted in the driver; models have 2**18 and 2**12 weights. Scoring, and the search for the most confident documents, cover all documents.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ C.by_value(__name__)
 
 TEXT_BITS, META_BITS = 18, 12
 MAX_LABELLED, EXCHANGE, ROUNDS = 20_000, 500, 2
+CONFIDENT = 0.9  # calibrated chance of a class from which on a document is a pseudo-label of it
 HELD_OUT = 4  # one labelled document in so many calibrates
 _CLASS = np.full(256, 1, np.uint8)  # 0 space, 1 letters and other bytes of words, 2 marks
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
@@ -146,13 +148,17 @@ class Model:
         self.text, self.meta = text.astype(np.float32), meta.astype(np.float32)
         self.each = [np.array([1.0, 0.0]), np.array([1.0, 0.0])]
         self.both = np.array([1.0, 1.0, 0.0])
+        self.exchanged: list[list[tuple[int, int, int]]] = []  # per round (doc_id, view that learns from it, label)
 
     def raw(self, words: pa.Array, meta: pa.Array) -> np.ndarray:
         return np.c_[Rows(words).score(self.text), Rows(meta).score(self.meta)]
 
+    def logits(self, raw: np.ndarray) -> list[np.ndarray]:
+        return [raw[:, i] * self.each[i][0] + self.each[i][1] for i in (0, 1)]
+
     def calibrated(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Chances that a document is good: by text, by metadata, by both."""
-        logits = [np.clip(raw[:, i] * self.each[i][0] + self.each[i][1], -30, 30) for i in (0, 1)]
+        logits = [np.clip(x, -30, 30) for x in self.logits(raw)]
         both = np.clip(self.both[0] * logits[0] + self.both[1] * logits[1] + self.both[2], -30, 30)
         return tuple(1 / (1 + np.exp(-x)) for x in (*logits, both))
 
@@ -161,8 +167,8 @@ def _scored(model: Model):
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("text", pa.float64()), ("meta", pa.float64())])
         for batch in batches:
-            raw = model.raw(batch.column(1), batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(raw[:, 0]), pa.array(raw[:, 1])], schema=schema)
+            text, meta = model.logits(model.raw(batch.column(1), batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(text), pa.array(meta)], schema=schema)
     return run
 
 
@@ -180,7 +186,7 @@ def features(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_features, "doc_id bigint, words array<int>, meta array<int>, same bigint")
 
 
-def train(found: DataFrame, labels: DataFrame, rounds: int = ROUNDS, exchange: int = EXCHANGE, max_labelled: int = MAX_LABELLED) -> Model | None:
+def train(found: DataFrame, labels: DataFrame, rounds: int = ROUNDS, exchange: int = EXCHANGE, max_labelled: int = MAX_LABELLED, confident: float = CONFIDENT) -> Model | None:
     """Co-trained model from `features()` and `labels(doc_id, quality, toxic)`; good is quality 1 and not toxic. None without labels of both kinds."""
     good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good"))
@@ -206,19 +212,36 @@ def train(found: DataFrame, labels: DataFrame, rounds: int = ROUNDS, exchange: i
         lists = pa.chunked_array([c for p in parts for c in p.chunks])
         return fit(Rows(lists), (yy := np.concatenate(ys)), np.r_[np.ones(len(y_basis)), np.full(len(yy) - len(y_basis), 0.5)], 1 << bits)
 
-    model = Model(fitted(0), fitted(1))
+    test, y_test = (rows.filter(pa.array(held)), y[held]) if held.any() else (rows, y)
+
+    def next_model() -> tuple[Model, np.ndarray]:
+        """Fitted on all labels so far, each view calibrated; and the raw scores of the rows that calibrate."""
+        model = Model(fitted(0), fitted(1))
+        raw = model.raw(test.column("words"), test.column("meta"))
+        model.each = [calibrate(raw[:, [i]], y_test) for i in (0, 1)]
+        return model, raw
+
+    model, raw = next_model()
+    exchanged: list[list[tuple[int, int, int]]] = []
+    taken: set[int] = set()
+    least = float(np.log(confident / (1 - confident)))
     open_ = found.where("doc_id IS NOT NULL").join(good.select(F.col("doc_id").alias("_l")), F.col("doc_id") == F.col("_l"), "left_anti")
     for _ in range(rounds):
         scores = open_.select("doc_id", "words", "meta", "same").mapInArrow(_scored(model), "doc_id bigint, same bigint, text double, meta double")
-        # copies say the same thing once: one row per set of words
-        scores = C.stored(scores.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("meta").alias("meta")), "scores")
+        # copies say the same thing once: one row per set of words, that of the smallest doc_id
+        scores = C.stored(scores.groupBy("same").agg(F.min(F.struct("doc_id", "text", "meta")).alias("x")).select("same", "x.*"), "scores")
+        sure = scores.where(~(((F.col("text") >= least) & (F.col("meta") <= -least)) | ((F.col("text") <= -least) & (F.col("meta") >= least))))
+        if taken:  # at most 4 * exchange a round
+            sure = sure.join(F.broadcast(found.sparkSession.createDataFrame([(i,) for i in sorted(taken)], "_t bigint")), F.col("same") == F.col("_t"), "left_anti")
         picked: dict[int, list[tuple[int, int]]] = {}
         for view, c in enumerate(("text", "meta")):
-            for label, order in ((1, F.desc(c)), (0, F.asc(c))):
-                for r in scores.orderBy(order, "doc_id").limit(exchange).collect():
+            for label, order, some in ((1, F.desc(c), F.col(c) >= least), (0, F.asc(c), F.col(c) <= -least)):
+                for r in sure.where(some).orderBy(order, "doc_id").limit(exchange).collect():
                     picked.setdefault(r["doc_id"], []).append((1 - view, label))  # to the other view
+                    taken.add(r["same"])
         if not picked:
             break
+        exchanged.append([(d, v, label) for d, of in picked.items() for v, label in of])
         spark = found.sparkSession
         ids = spark.createDataFrame([(i,) for i in picked], "doc_id bigint")  # at most 4 * exchange rows
         got = found.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "words", "meta").toArrow()
@@ -227,11 +250,9 @@ def train(found: DataFrame, labels: DataFrame, rounds: int = ROUNDS, exchange: i
             want = [(i, label) for i, d in enumerate(docs) for v, label in picked[d] if v == view]
             if want:
                 more[view].append((got.take(pa.array([i for i, _ in want])), np.array([label for _, label in want], float)))
-        model = Model(fitted(0), fitted(1))
-    test, y_test = (rows.filter(pa.array(held)), y[held]) if held.any() else (rows, y)
-    raw = model.raw(test.column("words"), test.column("meta"))
-    model.each = [calibrate(raw[:, [i]], y_test) for i in (0, 1)]
-    logits = np.c_[[raw[:, i] * model.each[i][0] + model.each[i][1] for i in (0, 1)]].T
+        model, raw = next_model()
+    model.exchanged = exchanged
+    logits = np.c_[model.logits(raw)].T
     model.both = calibrate(np.clip(logits, -30, 30), y_test)
     return model
 

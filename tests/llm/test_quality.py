@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from helpers import awkward, make_docs, prose
 
 from sqlstrata.llm import quality as Q
@@ -66,3 +67,26 @@ def test_fit_finds_the_telling_feature():
     w = Q.fit(Q.Rows(pa.array(lists, pa.list_(pa.int32()))), y, np.ones(400), 64)
     p = Q.Rows(pa.array(lists, pa.list_(pa.int32()))).score(w) > 0
     assert (p == y).mean() > 0.99
+
+
+@pytest.mark.parametrize("size", [600, 3000])
+def test_exchange_with_the_defaults(spark, size):
+    """No document is a pseudo-label of both classes or of two rounds, and confident ones are nearly all right."""
+    r = random.Random(4)
+    rows = []
+    for i in range(size):
+        words = prose(i, 30).split()
+        if i % 3 == 0:
+            words = [w + "###" if j % 2 else w.upper() + "!!" for j, w in enumerate(words)]
+        elif r.random() < 0.3:
+            words = [w + "###" if r.random() < 0.2 else w for w in words]
+        rows.append((i, " ".join(words), "en", f"src{r.randrange(9)}"))
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(size) if i % 5 == 0], "doc_id long, quality int, toxic int")
+    rounds = Q.train(Q.features(make_docs(spark, rows)), labels).exchanged
+    docs = [{d for d, _, _ in x} for x in rounds]
+    assert rounds and docs[0] and sum(map(len, docs)) == len(set().union(*docs))
+    of = {}
+    for d, _, label in (p for x in rounds for p in x):
+        of.setdefault(d, set()).add(label)
+    assert all(len(x) == 1 for x in of.values())
+    assert sum(x == {int(d % 3 != 0)} for d, x in of.items()) > 0.95 * len(of)
