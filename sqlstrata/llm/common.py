@@ -11,8 +11,6 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from sqlstrata.session import scratch_path
-
 CHUNK_BYTES = 1 << 20  # what is hashed at once; longer texts are worked through in pieces or alone
 
 
@@ -37,6 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a step to the shared folder and read it back: it is made once, and a lost executor loses nothing."""
+    from sqlstrata.session import scratch_path  # here, so that what travels to executors does not name the package
+
     path = scratch_path(df.sparkSession, f"llm-{label}")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sqlstrata.llm import decontaminate, jaccard_join, license_scan, main_text, packing, quality, repeat_index, secret_scan, url_filter, vp_search
+from sqlstrata.llm import decontaminate, divergence, jaccard_join, license_scan, main_text, packing, quality, repeat_index, secret_scan, toxicity, url_filter, vp_search, whitening
 
 QUERIES = {
     "op1_harmonic_packing": packing.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_license_scan": license_scan.query,
     "op9_repeat_index": repeat_index.query,
     "op10_quality_cotraining": quality.query,
+    "op11_embedding_whitening": whitening.query,
+    "op12_toxicity_lexicon": toxicity.query,
+    "op13_source_divergence": divergence.query,
 }
-ORACLES: dict[str, str] = {"op4_jaccard_join": jaccard_join.SQL, "op6_vantage_point_search": vp_search.SQL}
+ORACLES: dict[str, str] = {"op4_jaccard_join": jaccard_join.SQL, "op6_vantage_point_search": vp_search.SQL, "op13_source_divergence": divergence.SQL}
