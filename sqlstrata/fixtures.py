@@ -5,7 +5,7 @@ Each input grows with its source table. The same text is written for Spark and f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sqlstrata.session import spread
 
@@ -102,6 +102,47 @@ QLOG_SQL = (
 ).format(n=KINDS, t=", ".join(_quoted(t) for t in TEMPLATES))
 
 
+SCOPE_KINDS = 12
+
+
+def scope_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`slog(doc_id, path, sql)`: one text per customer whose shape is drawn from its key: nesting, chains of CTEs and uses of one CTE differ from row to row.
+
+    Customers of one group share a table `base<group>`; nations number the tables that many groups write.
+    """
+    c = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey"), "c_custkey")
+    a, b, k = F.expr("cast(c_custkey div 12 as string)"), F.expr("cast(c_nationkey as string)"), F.expr("cast(c_custkey div 12 % 6 as int)")
+
+    def text(*parts) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    def each(first: int, last: Column, one, between: str) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(first), last), lambda i: one(i)), between)
+    base = text("base", a)
+    chain = each(0, k, lambda i: text("p", i.cast("string"), " AS (SELECT id, v FROM ", F.when(i == 0, base).otherwise(text("p", (i - 1).cast("string"))), ")"), ", ")
+    uses = F.when(k == 0, "").otherwise(each(1, F.greatest(k, F.lit(1)), lambda i: text(" JOIN cc x", i.cast("string"), " ON x", i.cast("string"), ".id = x0.id"), ""))
+    texts = [
+        text("CREATE TABLE ", base, " (id INT, v INT, z INT, pid INT)"),
+        text("INSERT INTO w", b, " (x, y) SELECT s.c1, s.c2 + 1 FROM ", F.expr("repeat('(SELECT c1, c2 FROM ', cast(c_custkey div 12 % 6 as int) * 8)"), base, " s", F.expr("repeat(') s', cast(c_custkey div 12 % 6 as int) * 8)")),
+        text("INSERT INTO w", b, " WITH ", chain, " SELECT id, SUM(v) AS total FROM p", k.cast("string"), " GROUP BY id"),
+        text("CREATE TABLE u", a, " AS SELECT id AS k1 FROM ", base, " UNION ALL SELECT pid FROM side", b, " UNION SELECT z FROM (SELECT q AS z FROM deep", b, ") d"),
+        text("UPDATE w", b, " SET v = s.v, n = s.v + s.z FROM ", base, " s WHERE s.id = 1"),
+        text("MERGE INTO w", b, " t USING (SELECT id, MAX(v) AS mv FROM ", base, " GROUP BY id) s ON t.id = s.id WHEN MATCHED THEN UPDATE SET v = s.mv WHEN NOT MATCHED THEN INSERT (id, v) VALUES (s.id, s.mv)"),
+        text("CREATE VIEW sv", a, " AS SELECT * FROM (SELECT id, v AS vv FROM ", base, ") d"),
+        text("INSERT INTO w", b, " (m, id) SELECT (SELECT MAX(z) FROM side", b, "), e.id FROM ", base, " e"),
+        text("CREATE TABLE rc", a, " AS WITH RECURSIVE r AS (SELECT id, pid FROM ", base, " UNION ALL SELECT c.id, c.pid FROM ", base, " c JOIN r ON c.pid = r.id) SELECT id FROM r"),
+        text("WITH cc AS (SELECT id FROM ", base, ") SELECT x0.id FROM cc x0", uses),
+        text("INSERT INTO final", b, " SELECT x AS fx FROM w", b, " WHERE x > 1"),
+        text("SELECT s.id FROM (SELECT id, z FROM ", base, " WHERE z > 1) s JOIN side", b, " t ON t.id = s.id WHERE s.z < 9 ORDER BY s.id LIMIT 5"),
+    ]
+    sql = F.element_at(F.array(*texts), (F.col("c_custkey") % SCOPE_KINDS + 1).cast("int"))
+    return c.select(F.col("c_custkey").alias("doc_id"), F.expr("concat('s/', cast(c_custkey div 60 as string), '.sql')").alias("path"), sql.alias("sql"))
+
+
+SLOG_SQL = ("SELECT c_custkey AS doc_id, c_custkey % 12 AS kind, CAST(c_custkey // 12 AS VARCHAR) AS a, CAST(c_nationkey AS VARCHAR) AS b, (c_custkey // 12) % 6 AS k, "
+            "'s/' || CAST(c_custkey // 60 AS VARCHAR) || '.sql' AS path FROM customer")
+
+
 def layered_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`dag(src, dst)`: an acyclic edge per line item from (layer, part) to (layer + 1 or 2, supplier).
 

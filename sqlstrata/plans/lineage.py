@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sqlstrata.functions import text as T
-from sqlstrata.operators import catalog as C, definitions as D, items as I, refs as R
+from sqlstrata.operators import catalog as C, definitions as D, items as I, refs as R, scopes as SC
 from sqlstrata.session import cut
 
 NODE = ["id", "type", "name", "parent_id", "file_path", "line"]
@@ -92,8 +92,11 @@ def external_nodes(edges: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("int").alias("line"))
 
 
-def lineage_graph(stmts: DataFrame, with_columns: bool = True, extended: bool = False, defs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a corpus. Edges carry `relationship`: "flow" or "contains". `defs` saves a pass when it is stored already."""
+def lineage_graph(stmts: DataFrame, with_columns: bool = True, extended: bool = False, defs: DataFrame | None = None, column_flow: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a corpus. Edges carry `relationship`: "flow" or "contains", and with `column_flow` the type of a column edge.
+
+    `column_flow` adds the column edges, and a node for each of their ends that no definition lists. `defs` saves a pass when it is stored already.
+    """
     defs = defs if defs is not None else cut(D.definitions(stmts), "defs")
     flow = cut(table_edges(stmts, defs, extended).select("src", "dst", F.lit("flow").alias("relationship"), "file_path"), "flow")
     nodes = definition_nodes(defs).select(*NODE).unionByName(cte_nodes(R.ctes(stmts)).select(*NODE)).unionByName(external_nodes(flow).select(*NODE))
@@ -101,28 +104,37 @@ def lineage_graph(stmts: DataFrame, with_columns: bool = True, extended: bool =
     if not with_columns:
         return nodes, flow
     cols = cut(column_nodes(D.def_columns(defs)), "columns")
-    return nodes.unionByName(cols.select(*NODE)), flow.unionByName(contains_edges(cols).withColumn("file_path", F.lit(None).cast("string")))
+    nodes, edges = nodes.unionByName(cols.select(*NODE)), flow.unionByName(contains_edges(cols).withColumn("file_path", F.lit(None).cast("string")))
+    if not column_flow:
+        return nodes, edges
+    found = cut(column_edges(stmts, defs), "column_edges")
+    src, dst = column_id(F.col("src_id"), F.col("src_column")), column_id(F.col("dst_id"), F.col("dst_column"))
+    ends = found.select(src.alias("id"), F.col("src_column").alias("name"), F.col("src_id").alias("parent_id")).union(found.select(dst, "dst_column", "dst_id"))
+    more = ends.groupBy("id").agg(F.min("name").alias("name"), F.min("parent_id").alias("parent_id")).join(cols.select("id"), "id", "left_anti")
+    more = more.select("id", F.lit("column").alias("type"), "name", "parent_id", F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("int").alias("line"))
+    data = found.select(src.alias("src"), dst.alias("dst"), I.edge_type(F.col("kind")).alias("relationship"), F.lit(None).cast("string").alias("file_path")).filter("src <> dst")
+    return nodes.unionByName(more), edges.unionByName(data)
 
 
 # --- columns ---------------------------------------------------------------------------------------------------
 
 def column_edges(stmts: DataFrame, defs: DataFrame) -> DataFrame:
-    """`(src_id, src_column, dst_id, dst_column, kind, expression)`: select item x its input columns -> column of the statement's target.
+    """`(src_id, src_column, dst_id, dst_column, kind, expression)`: base column -> column that a statement writes. Distinct over the corpus.
 
-    An INSERT with a column list names its target columns by position. Distinct over the corpus.
+    Covers INSERT (a column list names targets by position), CREATE .. AS, SELECT INTO, UPDATE SET and MERGE, through CTEs, derived tables, scalar
+    subqueries and every branch of a set operation. `*` of a base table gives no edge, since its columns are not known here.
     """
-    io = statement_io(stmts).filter("size(outputs) > 0")
-    listed = T.split_top_level(T.rx(F.col("masked"), r"(?i)^\s*INSERT\s+INTO\s+[\w.]+\s*\(([^)]*)\)\s*(?:SELECT|WITH)\b", 1))
-    targets = io.select("doc_id", "stmt_idx", F.explode("outputs").alias("dst_key"), listed.alias("_listed"))
-    inputs = I.item_inputs(I.select_items(stmts)).filter(F.col("input_table").isNotNull())
-    rows = inputs.join(targets, ["doc_id", "stmt_idx"]).select(
-        F.col("input_table").alias("src_key"), F.lower("input_column").alias("src_column"), "dst_key",
-        F.lower(F.coalesce(F.get("_listed", F.col("position")), F.col("output_name"))).alias("dst_column"), I.edge_kind(F.col("kind")).alias("kind"), F.col("expr").alias("expression")).distinct()
+    rows = SC.base_inputs(stmts).filter("target is not null and `table` is not null and `column` <> '*'")
+    by_place = F.when(~F.col("expr").rlike(r"^(?:\w+\.)?\*$"), F.get("listed", F.col("position")))
+    rows = rows.select(F.col("table").alias("src_key"), F.col("column").alias("src_column"), F.col("target").alias("dst_key"), F.lower(F.coalesce(by_place, F.col("name"))).alias("dst_column"),
+                       I.edge_kind(F.col("kind")).alias("kind"), F.col("expr").alias("expression"))
+    # The first kind and expression of an edge; added up per edge before node ids are looked up.
+    rows = cut(rows.groupBy("src_key", "src_column", "dst_key", "dst_column").agg(F.min(F.struct("kind", "expression")).alias("k")), "column_keys")
     keys = rows.select(F.col("src_key").alias("key")).union(rows.select("dst_key")).distinct()
-    ids = resolve_nodes(keys, defs)
+    ids = cut(resolve_nodes(keys, defs), "column_ids")
     s, d = ids.select(F.col("key").alias("src_key"), F.col("id").alias("src_id")), ids.select(F.col("key").alias("dst_key"), F.col("id").alias("dst_id"))
-    return rows.join(s, "src_key").join(d, "dst_key").groupBy("src_id", "src_column", "dst_id", "dst_column").agg(
-        F.min(F.struct("kind", "expression")).alias("k")).select("src_id", "src_column", "dst_id", "dst_column", "k.kind", "k.expression")
+    return rows.join(s, "src_key").join(d, "dst_key").filter("src_id <> dst_id or src_column <> dst_column").groupBy("src_id", "src_column", "dst_id", "dst_column").agg(
+        F.min("k").alias("k")).select("src_id", "src_column", "dst_id", "dst_column", "k.kind", "k.expression")
 
 
 def column_id(node_id: Column, column: Column) -> Column:
@@ -150,11 +162,9 @@ def trace_column(edges: DataFrame, tables: DataFrame, node_id: str, column: str,
 
 
 def output_sources(stmts: DataFrame) -> DataFrame:
-    """Sources of each output column of a statement, `*` included: `(position, output_name, sources)`, sorted."""
-    items = I.select_items(stmts)
-    star = items.filter(F.col("source_column") == "*").select("doc_id", "stmt_idx", "position", "output_name", F.concat_ws(".", F.coalesce("source_table", F.lit("?")), F.lit("*")).alias("_s"))
-    plain = I.item_inputs(items).select("doc_id", "stmt_idx", "position", "output_name", F.concat_ws(".", F.coalesce("input_table", F.lit("?")), F.lower("input_column")).alias("_s"))
-    return star.unionByName(plain).groupBy("doc_id", "stmt_idx", "position", "output_name").agg(F.array_sort(F.collect_set("_s")).alias("sources"))
+    """`(position, output_name, sources)`: base columns (and `table.*`) behind each output column of a statement, sorted; `?` where a column has no known table."""
+    rows = SC.base_inputs(stmts).select("doc_id", "stmt_idx", "position", F.col("name").alias("output_name"), F.concat_ws(".", F.coalesce("table", F.lit("?")), "column").alias("_s"))
+    return rows.groupBy("doc_id", "stmt_idx", "position", "output_name").agg(F.array_sort(F.collect_set("_s")).alias("sources"))
 
 
 def cte_dependencies(stmts: DataFrame) -> DataFrame:

@@ -214,9 +214,11 @@ def column_edges(spark, d):
 CTES["col_keys"] = """SELECT doc_id, src_key, src_column, dst_key, dst_column FROM (
     SELECT doc_id, 't' || a AS src_key, 'id' AS src_column, 't' || b AS dst_key, 'id' AS dst_column FROM qlog WHERE kind = 1 UNION ALL SELECT doc_id, 't' || a, 'v', 't' || b, 'total' FROM qlog WHERE kind = 1
     UNION ALL SELECT doc_id, 't' || a, 'id', 'v' || b, 'id' FROM qlog WHERE kind = 5 UNION ALL SELECT doc_id, 't' || a, 'k', 'v' || b, 'n' FROM qlog WHERE kind = 5
+    UNION ALL SELECT doc_id, 't' || c, 'v', 't' || a, 'v' FROM qlog WHERE kind = 34 UNION ALL SELECT doc_id, 't' || a, 'id', 't' || b, 'id' FROM qlog WHERE kind = 37 UNION ALL SELECT doc_id, 'v' || c, 'id', 'raw.sales', 'id' FROM qlog WHERE kind = 40 UNION ALL SELECT doc_id, 'v' || c, 'v', 'raw.sales', 'amt' FROM qlog WHERE kind = 40
     UNION ALL SELECT doc_id, 't' || a, col, 't' || b, col FROM qlog, (VALUES ('id'), ('v')) v(col) WHERE kind = 36 UNION ALL SELECT doc_id, 't' || a, 'id', 'tmp' || b, 'id' FROM qlog WHERE kind = 39
     UNION ALL SELECT doc_id, 'raw.sales', col, 'mart.kpi', col FROM qlog, (VALUES ('amt'), ('region')) v(col) WHERE kind = 41) x"""
-CTES["col_edges"] = "SELECT DISTINCT s.id AS src_id, src_column, d.id AS dst_id, dst_column FROM col_keys JOIN node_of s ON s.key = src_key JOIN node_of d ON d.key = dst_key"
+CTES["col_node_of"] = CTES["node_of"].replace("all_keys", "(SELECT key, CASE WHEN instr(key, '.') > 0 THEN substr(key, instr(key, '.') + 1) ELSE key END AS kname FROM (SELECT src_key AS key FROM col_keys UNION SELECT dst_key FROM col_keys))")
+CTES["col_edges"] = "SELECT DISTINCT s.id AS src_id, src_column, d.id AS dst_id, dst_column FROM col_keys JOIN col_node_of s ON s.key = src_key JOIN col_node_of d ON d.key = dst_key WHERE s.id <> d.id OR src_column <> dst_column"
 
 
 @query("L6_column_edges", "SELECT src_id, src_column, dst_id, dst_column FROM col_edges")
@@ -224,21 +226,11 @@ def _(spark, d):
     return column_edges(spark, d).select("src_id", "src_column", "dst_id", "dst_column")
 
 
-@query("L7_output_sources")
-def _(spark, d):
-    return join_text(L.output_sources(stmts(spark, d)), "sources").groupBy("output_name").agg(F.count("*").alias("statements"), F.min("sources").alias("first_sources"))
-
-
 @query("L8_column_paths")
 def _(spark, d):
     return join_text(O.column_paths(stored_stmts(spark, d)), "steps").groupBy("steps").agg(F.count("*").alias("columns"))
 
 
-@query("L9_cte_dependencies")
-def _(spark, d):
-    return L.cte_dependencies(stmts(spark, d))
-
-
 @query("L10_operator_graph", "SELECT doc_id, stmt_idx, chain FROM chains")
 def _(spark, d):
     n = O.op_nodes(stmts(spark, d)).filter("chain is not null")
@@ -396,7 +388,7 @@ def _(spark, d):
 
 
 @query("G19_column_node_lineage", """WITH RECURSIVE g AS (SELECT DISTINCT 'column:' || regexp_replace(src_id, '^[a-z]+:', '') || '.' || src_column AS src, 'column:' || regexp_replace(dst_id, '^[a-z]+:', '') || '.' || dst_column AS dst FROM col_edges), e AS (SELECT src, dst FROM g WHERE src <> dst UNION SELECT parent_id, id FROM col_nodes),
-  r(node, depth) AS (SELECT 'column:raw.sales.amt', 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < (SELECT count(DISTINCT src) FROM e)) SELECT node, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY node""")
+  r(node, depth) AS (SELECT 'column:raw.sales.amt', 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < (SELECT count(DISTINCT src) FROM e)), u(node, depth) AS (SELECT 'column:raw.sales.amt', 0 UNION SELECT src, depth + 1 FROM u JOIN e ON dst = node WHERE depth < 6) SELECT node, min(depth) AS depth FROM (SELECT * FROM r UNION ALL SELECT * FROM u) WHERE depth > 0 GROUP BY node""")
 def _(spark, d):
     s = stored_stmts(spark, d)
     de = cut(D.definitions(s), "defs")
