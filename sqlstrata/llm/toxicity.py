@@ -6,9 +6,12 @@ and exception phrases; it reads a folded text once, the longest pattern that sta
 The weights of a text's matches, over its length, give its score.
 
 The lexicon is a short fixed list plus what labelled documents teach: a stem or word's weight is the lower bound of its log odds of
-documents marked toxic, counted over all labelled documents outside the held-out third. A word that clean documents use has an entry of its own
+documents marked toxic, counted over the labelled documents outside the held-out third. A word that clean documents use has an entry of its own
 with its own, small weight, and overrides the stem it begins with. One labelled document in `CALIBRATES` is left out of these counts, and the
 score's logistic curve is fitted on them. Language, source and id are no inputs.
+
+Bound, a parameter: about `max_labelled` labelled documents of different texts are learned from, drawn by a hash of their ids, so that their ids can be
+broadcast and no text is moved. Fewer than that are all taken. Scoring covers all documents.
 """
 
 from __future__ import annotations
@@ -54,7 +57,7 @@ LONGEST_WORD = 64  # a longer run of letters teaches its stems only
 
 HELD_OUT, HELD_OUT_AT = 3, 1  # crc32 of the id as text: this remainder is never learned from
 CALIBRATES = 5
-MAX_CALIBRATING = 20_000
+MAX_LABELLED = 200_000  # ids of 3 MB
 LEAST_SHARE = 0.002  # of the toxic documents learned from; bounds the lexicon by the words of 500 documents
 LEAST = 3
 BOUND = 1.5  # standard errors below the log odds
@@ -196,17 +199,19 @@ def _densities(lexicon: Lexicon):
     return run
 
 
-def learned(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = None, max_calibrating: int = MAX_CALIBRATING) -> Lexicon:
-    """The lexicon that the labelled documents outside the held-out third teach. Without labels of both kinds it is the fixed one.
+def learned(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = None, max_labelled: int = MAX_LABELLED) -> Lexicon:
+    """The lexicon that about `max_labelled` labelled documents outside the held-out third teach. Without labels of both kinds it is the fixed one.
 
     Several labels of a document count as toxic if one does, a null flag is no label. Of equal texts with equal labels one document counts, so groups of copies teach no more than one."""
     fixed, spared = fixed_patterns()
     spared = spared + [fold(e).rstrip() for e in exceptions or []]
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~_is_held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    ones = texts.join(marked, "doc_id").groupBy(F.xxhash64("text").alias("a"), F.crc32(F.col("text").cast("binary")).alias("b"), "toxic").agg(F.min("doc_id").alias("doc_id"))
-    ones = C.stored(ones.select("doc_id", "toxic"), "learned-from")
-    rows = texts.join(ones, "doc_id").select("text", "toxic", "doc_id")
+    hashes = texts.select("doc_id", F.xxhash64("text").alias("a"), F.crc32(F.col("text").cast("binary")).alias("b"))
+    ones = C.stored(hashes.join(marked, "doc_id").groupBy("a", "b", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic"), "learned-from")
+    drawn = min(1.0, max_labelled / max(1, ones.count()))
+    ones = ones.where(F.pmod(F.xxhash64("doc_id", F.lit("drawn")), F.lit(1 << 30)) < int(drawn * (1 << 30)))
+    rows = texts.join(F.broadcast(ones), "doc_id").select("text", "toxic", "doc_id")  # about max_labelled pairs
     calibrating = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATES)) == 0
     n = {(r["toxic"], r["calibrates"]): r["count"] for r in ones.groupBy("toxic", calibrating.alias("calibrates")).count().collect()}
     apart = all(n.get((t, c)) for t in (0, 1) for c in (True, False))  # else all rows do both
@@ -233,8 +238,7 @@ def learned(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = N
     for r in clean_words.orderBy(F.desc("clean"), "pattern").limit(MAX_ENTRIES).collect():
         weights[r["pattern"]] = max(0.0, r["weight"])
     lexicon = Lexicon(weights, spared)
-    sample = (rows.where(calibrating) if apart else rows).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_calibrating)
-    got = sample.select("text", "toxic").mapInArrow(_densities(lexicon), "density double, toxic int").toArrow()
+    got = (rows.where(calibrating) if apart else rows).select("text", "toxic").mapInArrow(_densities(lexicon), "density double, toxic int").toArrow()
     curve = calibrate(got.column("density").to_numpy()[:, None], got.column("toxic").to_numpy().astype(float))
     if curve[0] > 0:
         lexicon.curve = (float(curve[0]), float(curve[1]))
