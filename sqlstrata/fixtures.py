@@ -131,7 +131,7 @@ def scope_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         text("CREATE VIEW sv", a, " AS SELECT * FROM (SELECT id, v AS vv FROM ", base, ") d"),
         text("INSERT INTO w", b, " (m, id) SELECT (SELECT MAX(z) FROM side", b, "), e.id FROM ", base, " e"),
         text("CREATE TABLE rc", a, " AS WITH RECURSIVE r AS (SELECT id, pid FROM ", base, " UNION ALL SELECT c.id, c.pid FROM ", base, " c JOIN r ON c.pid = r.id) SELECT id FROM r"),
-        text("WITH cc AS (SELECT id FROM ", base, ") SELECT x0.id FROM cc x0", uses),
+        text("WITH cc AS (", F.when(k % 2 == 1, text("WITH dd AS (SELECT id FROM ", base, ") SELECT id FROM dd")).otherwise(text("SELECT id FROM ", base)), ") SELECT x0.id FROM cc x0", uses),
         text("INSERT INTO final", b, " SELECT x AS fx FROM w", b, " WHERE x > 1"),
         text("SELECT s.id FROM (SELECT id, z FROM ", base, " WHERE z > 1) s JOIN side", b, " t ON t.id = s.id WHERE s.z < 9 ORDER BY s.id LIMIT 5"),
     ]

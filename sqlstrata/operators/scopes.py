@@ -68,7 +68,7 @@ def cte_scopes(texts: Column) -> Column:
 _PART = r"""(?:"[^"]+"|`[^`]+`|\[[^\]]+\]|[A-Za-z_][\w$]*+)"""
 _NAME = rf"((?:{_PART}\.)*+{_PART})(?!\s*\()"
 _ALIAS = rf"(?:\s+(?:AS\s+)?(?!(?:{'|'.join(P.NOT_AN_ALIAS)}|SET|USING|WHEN|SELECT|VALUES)\b)([A-Za-z_]\w*))?"
-_SOURCE = rf"(?i)(?:\bFROM|\bJOIN|\bUSING|\bINTO|\bMERGE|\bUPDATE|,)\s+(?:ONLY\s+|LATERAL\s+)?{_NAME}{_ALIAS}"
+_SOURCE = rf"(?i)(?:\bFROM|\bJOIN|\bUSING|\bINTO|\bMERGE(?!\s+INTO\b)|\bUPDATE|,)\s+(?:ONLY\s+|LATERAL\s+)?{_NAME}{_ALIAS}"
 _FROM_END = r"\b(?:WHERE|GROUP\s+BY|HAVING|ORDER\s+BY|LIMIT|QUALIFY|WINDOW|RETURNING|ON\s+CONFLICT|WHEN|FETCH|CONNECT\s+BY|START\s+WITH|SET)\b"
 _HEAD = (r"(?is)^\s*(?:INSERT\s+(?:OR\s+\w+\s+)?(?:INTO|OVERWRITE)(?:\s+INTO)?(?:\s+TABLE)?|REPLACE\s+INTO|MERGE(?:\s+INTO)?|UPDATE(?:\s+ONLY)?"
          r"|CREATE\s+(?:OR\s+REPLACE\s+)?(?:(?:TEMP|TEMPORARY|MATERIALIZED)\s+)?(?:TABLE|VIEW)(?:\s+IF\s+NOT\s+EXISTS)?)\s+")

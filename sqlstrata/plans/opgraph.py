@@ -1,6 +1,6 @@
-"""Operator graph of a statement: which operators it has, in their fixed order, and what hangs on that graph.
+"""Operators of a statement's outermost query as one chain in their fixed order, and the forms a text uses.
 
-All operators of a statement come from its own row; the graph is a chain with the tables as leaves.
+All operators of a statement come from its own row. Graphs with edges, of every scope, are in `opdag`.
 """
 
 from __future__ import annotations
@@ -51,35 +51,6 @@ def op_nodes(stmts: DataFrame) -> DataFrame:
                        F.when(F.col("n.in_chain"), F.col("pos")).alias("chain"), F.concat(F.col("n.kind"), F.lit("_"), F.col("pos").cast("string")).alias("node_id"), F.col("_len").alias("chain_length"))
 
 
-def op_edges(nodes: DataFrame) -> DataFrame:
-    """`(doc_id, stmt_idx, src, dst, clause)`: along the chain, and from each outer leaf into its first operator (a JOIN takes its tables in turn).
-
-    Each edge is decided inside its statement: positions say who is next, so only node ids are looked up.
-    """
-    chain = nodes.filter("chain is not null").select("doc_id", "stmt_idx", "pos", "node_id", "kind", "label", "chain_length")
-    nxt = chain.select("doc_id", "stmt_idx", (F.col("pos") - 1).alias("pos"), F.col("node_id").alias("dst"), F.col("label").alias("clause"))
-    along = chain.join(nxt, ["doc_id", "stmt_idx", "pos"]).select("doc_id", "stmt_idx", F.col("node_id").alias("src"), "dst", "clause")
-    from pyspark.sql import Window
-    order = Window.partitionBy("doc_id", "stmt_idx").orderBy("pos")
-    leaf = nodes.filter("chain is null and parent_label is null and kind = 'table'").withColumn("_i", F.row_number().over(order))
-    n_joins = chain.filter("kind = 'join'").groupBy("doc_id", "stmt_idx").agg(F.count("*").alias("_j"))
-    leaf = leaf.join(n_joins, ["doc_id", "stmt_idx"], "left").withColumn("pos", F.least(F.greatest(F.col("_i") - 2, F.lit(0)), F.greatest(F.coalesce("_j", F.lit(0)) - 1, F.lit(0))).cast("int")).drop("node_id_")
-    entry = chain.select("doc_id", "stmt_idx", "pos", F.col("node_id").alias("dst"), F.col("label").alias("clause"))
-    into = leaf.select("doc_id", "stmt_idx", "pos", F.col("node_id").alias("src")).join(entry, ["doc_id", "stmt_idx", "pos"]).select("doc_id", "stmt_idx", "src", "dst", "clause")
-    return along.unionByName(into)
-
-
-def max_fan_out(edges: DataFrame) -> DataFrame:
-    """Largest number of edges that leave one operator of a statement."""
-    return edges.groupBy("doc_id", "stmt_idx", "src").agg(F.count("*").alias("n")).groupBy("doc_id", "stmt_idx").agg(F.max("n").alias("max_fan_out"))
-
-
-def fan_out_findings(edges: DataFrame) -> DataFrame:
-    """H33: operators with three or more edges out (high from five)."""
-    return edges.groupBy("doc_id", "stmt_idx", "src").agg(F.count("*").alias("fan_out")).filter("fan_out >= 3").select(
-        "doc_id", "stmt_idx", F.col("src").alias("node_id"), "fan_out", F.when(F.col("fan_out") >= 5, "high").otherwise("medium").alias("severity"))
-
-
 def shape(nodes: DataFrame) -> DataFrame:
     """Per statement: nodes, tables, critical path (nodes on the longest way), query depth (edges back from the result), complex flag.
 
@@ -118,33 +89,6 @@ def node_levels(nodes: DataFrame, stats: DataFrame) -> DataFrame:
     return nodes.filter(F.col("kind").isin("join", "aggregate", "subquery")).join(s, ["doc_id", "stmt_idx"]).select("doc_id", "stmt_idx", "node_id", "kind", level.alias("complexity_level"), heavy.alias("is_bottleneck"))
 
 
-def filter_sources(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Tables met walking back from each filter operator.
-
-    In a chain these are the leaves that enter at or before the filter, so one comparison of positions replaces the walk.
-    """
-    place = nodes.filter("chain is not null").select("doc_id", "stmt_idx", F.col("node_id").alias("dst"), F.col("pos").alias("at"))
-    leaves = edges.join(place, ["doc_id", "stmt_idx", "dst"]).join(nodes.filter("kind = 'table' and chain is null").select("doc_id", "stmt_idx", F.col("node_id").alias("src"), F.col("label").alias("table_name")), ["doc_id", "stmt_idx", "src"])
-    filters = nodes.filter("kind = 'filter'").select("doc_id", "stmt_idx", F.col("node_id").alias("filter_id"), F.col("label").alias("filter"), F.col("pos").alias("fpos"))
-    return filters.join(leaves, ["doc_id", "stmt_idx"]).filter("at <= fpos").select("doc_id", "stmt_idx", "filter_id", "filter", "table_name").distinct()
-
-
-def column_paths(stmts: DataFrame) -> DataFrame:
-    """Way of each output column through the chain: array of (operator, step); steps are source, joined, passthrough, aggregated, calculated, renamed."""
-    p = _parts(stmts)
-    base = p.select("doc_id", "stmt_idx", "joins", "w", "g", "h", "ob", "lim")
-    items = I.select_items(stmts).select("doc_id", "stmt_idx", "position", "output_name", "kind")
-    rows = items.join(base, ["doc_id", "stmt_idx"])
-    def step(op: str, what: Column, present: Column) -> Column:
-        return F.when(present, F.concat(F.lit(op + ":"), what))
-    last = F.when(F.col("kind") == "alias", "renamed").when(F.col("kind") == "direct", "passthrough").when(F.col("kind") == "aggregate", "aggregated").otherwise("calculated")
-    grouped = F.when(F.col("kind") == "aggregate", "aggregated").otherwise("passthrough")
-    steps = F.array(step("table", F.lit("source"), F.col("kind") != "literal"), step("join", F.lit("joined"), F.size("joins") > 0), step("where", F.lit("passthrough"), F.col("w") != ""),
-                    step("group", grouped, F.col("g") != ""), step("having", F.lit("passthrough"), F.col("h") != ""), step("select", last, F.lit(True)),
-                    step("sort", F.lit("passthrough"), F.col("ob") != ""), step("limit", F.lit("passthrough"), F.col("lim") != ""))
-    return rows.select("doc_id", "stmt_idx", "position", "output_name", F.filter(steps, lambda s: s.isNotNull()).alias("steps"))
-
-
 def op_profile(stmts: DataFrame) -> DataFrame:
     """Counts per statement of every relational form the text uses: the vocabulary of V1 to V22, row-local."""
     m = F.col("masked")

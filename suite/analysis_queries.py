@@ -105,11 +105,6 @@ def _(spark, d):
 
 
 
-@query("A9_max_fan_out")
-def _(spark, d):
-    return O.max_fan_out(O.op_edges(O.op_nodes(stored_stmts(spark, d)))).groupBy("max_fan_out").agg(F.count("*").alias("statements"))
-
-
 @query("A10_critical_path", "SELECT doc_id, stmt_idx, ops + CAST(has_table AS INTEGER) AS critical_path FROM chains")
 def _(spark, d):
     return O.shape(O.op_nodes(stmts(spark, d))).select("doc_id", "stmt_idx", "critical_path")
@@ -120,16 +115,6 @@ def _(spark, d):
     return O.cte_depth(O.op_nodes(stmts(spark, d))).filter("max_cte_depth > 0").select("doc_id", "max_cte_depth")
 
 
-@query("A12_query_depth")
-def _(spark, d):
-    return O.shape(O.op_nodes(stmts(spark, d))).groupBy("query_depth").agg(F.count("*").alias("statements"))
-
-
-@query("A13_complex_flag")
-def _(spark, d):
-    return O.shape(O.op_nodes(stmts(spark, d))).groupBy("is_complex").agg(F.count("*").alias("statements"), F.max("nodes").alias("most_nodes"))
-
-
 # The join of a recursive CTE's body is no operator of the statement itself.
 @query("A14_node_levels", "SELECT doc_id, count(*) AS nodes, count(*) FILTER (WHERE joins > 3) AS bottlenecks FROM (SELECT doc_id, joins, unnest(range(joins)) FROM counts WHERE kind <> 29) GROUP BY doc_id")
 def _(spark, d):
@@ -217,11 +202,6 @@ def _(spark, d):
     return found.select("doc_id", F.substring_index("message", ": ", -1).alias("name"))
 
 
-@query("H33_high_fan_out")
-def _(spark, d):
-    return O.fan_out_findings(O.op_edges(O.op_nodes(stored_stmts(spark, d)))).select("doc_id", "stmt_idx", "node_id", "fan_out", "severity")
-
-
 @query("H34_over_limit", """WITH n AS (SELECT doc_id, count(*) AS k FROM stmts GROUP BY 1) SELECT q.doc_id, 'H34' AS rule_id, 'Input over limit: ' || CASE WHEN strlen(sql) > 200 THEN strlen(sql) || ' bytes' ELSE k || ' statements' END AS message
   FROM qlog q JOIN n USING (doc_id) WHERE strlen(sql) > 200 OR k > 2""")
 def _(spark, d):

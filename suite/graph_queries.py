@@ -226,11 +226,6 @@ def _(spark, d):
     return column_edges(spark, d).select("src_id", "src_column", "dst_id", "dst_column")
 
 
-@query("L8_column_paths")
-def _(spark, d):
-    return join_text(O.column_paths(stored_stmts(spark, d)), "steps").groupBy("steps").agg(F.count("*").alias("columns"))
-
-
 @query("L10_operator_graph", "SELECT doc_id, stmt_idx, chain FROM chains")
 def _(spark, d):
     n = O.op_nodes(stmts(spark, d)).filter("chain is not null")
@@ -405,12 +400,6 @@ def _(spark, d):
     return near.join(nodes, near.node == nodes.id).groupBy(F.col("type").alias("group_type"), F.lower("name").alias("name")).agg(F.count("*").alias("nodes"))
 
 
-@query("G21_filter_sources")
-def _(spark, d):
-    n = cut(O.op_nodes(stmts(spark, d)), "ops")
-    return O.filter_sources(n, O.op_edges(n)).groupBy("filter", "table_name").agg(F.count("*").alias("statements"))
-
-
 # --- impact ------------------------------------------------------------------------------------------------------
 
 def changes_of(de):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sqlstrata import fixtures as X
-from sqlstrata.operators import definitions as D, statements as S
-from sqlstrata.plans import graph as G, impact as M, lineage as L
+from sqlstrata.operators import definitions as D, items as I, statements as S
+from sqlstrata.plans import graph as G, impact as M, lineage as L, opdag as O, opgraph
 from sqlstrata.session import cut
 from suite.base import CTES, join_text, query
 
@@ -109,3 +109,84 @@ def _(spark, d):
     rows, targets, nodes, edges, de = column_impact(spark, d)
     located = M.locations(rows, nodes, L.node_files(de), edges)
     return M.impact_summary(rows, targets, located).select("change_id", "files_affected")
+
+
+# --- operator graphs ---------------------------------------------------------------------------------------------
+
+# Nodes, tables, fan-out, longest way, edges back from the result and CTE nesting of each shape's outermost graph.
+CTES["sshape"] = """SELECT doc_id, a, b, k, s.kind, CASE s.kind WHEN 2 THEN k + 4 WHEN 9 THEN k + 3 ELSE v.nodes END AS nodes, CASE WHEN s.kind = 1 THEN CAST(k = 0 AS INTEGER) ELSE v.tables END AS tables, CASE s.kind WHEN 9 THEN k + 1 ELSE v.fan END AS max_fan_out,
+    CASE s.kind WHEN 2 THEN k + 4 WHEN 9 THEN k + 3 ELSE v.way END AS critical_path, CASE s.kind WHEN 2 THEN k + 3 WHEN 9 THEN k + 2 ELSE v.depth END AS query_depth, CASE WHEN s.kind = 9 THEN 1 + k % 2 WHEN s.kind IN (2, 8) THEN 1 ELSE 0 END AS cte_depth
+    FROM slog s JOIN (VALUES (0, 0, 0, 0, 0, 0), (1, 3, 0, 1, 3, 2), (2, 0, 0, 1, 0, 0), (3, 11, 2, 1, 5, 2), (4, 3, 2, 1, 2, 0), (5, 2, 1, 0, 1, 0), (6, 3, 0, 1, 3, 2), (7, 4, 1, 1, 3, 2), (8, 3, 0, 1, 3, 2), (9, 0, 0, 0, 0, 0), (10, 4, 1, 1, 4, 3), (11, 8, 1, 1, 7, 6))
+      v(kind, nodes, tables, fan, way, depth) ON s.kind = v.kind"""
+
+
+@query("A9_max_fan_out", "SELECT doc_id, max_fan_out FROM sshape")
+def _(spark, d):
+    return O.shapes(scoped(spark, d)).select("doc_id", "max_fan_out")
+
+
+@query("A10_longest_way", "SELECT doc_id, critical_path FROM sshape")
+def _(spark, d):
+    return O.shapes(scoped(spark, d)).select("doc_id", "critical_path")
+
+
+@query("A11_cte_nesting", "SELECT doc_id, cte_depth FROM sshape")
+def _(spark, d):
+    return O.shapes(scoped(spark, d)).select("doc_id", "cte_depth")
+
+
+@query("A12_query_depth", "SELECT doc_id, query_depth FROM sshape")
+def _(spark, d):
+    return O.shapes(scoped(spark, d)).select("doc_id", "query_depth")
+
+
+@query("A13_complex_flag", "SELECT doc_id, nodes, tables, nodes >= 8 OR tables >= 5 OR query_depth >= 3 AS is_complex FROM sshape")
+def _(spark, d):
+    return O.shapes(scoped(spark, d)).select("doc_id", "nodes", "tables", "is_complex")
+
+
+@query("A14_levels_and_bottlenecks", """SELECT doc_id, 'join' AS kind, CASE WHEN k > 2 THEN 'medium' ELSE 'low' END AS complexity_level, k > 3 AS is_bottleneck, k AS nodes FROM slog WHERE kind = 9 AND k > 0
+  UNION ALL SELECT doc_id, 'cte', NULL, true, 1 FROM slog WHERE kind = 9 AND k >= 2 UNION ALL SELECT doc_id, v.n, 'low', false, 1 FROM slog s JOIN (VALUES (2, 'aggregate'), (3, 'subquery'), (5, 'subquery'), (6, 'subquery'), (7, 'subquery'), (11, 'join'), (11, 'subquery')) v(kind, n) ON s.kind = v.kind
+  UNION ALL SELECT doc_id, 'subquery', 'low', false, 1 FROM slog WHERE kind = 1 AND k > 0""")
+def _(spark, d):
+    rows = O.levels(scoped(spark, d)).filter("complexity_level is not null or is_bottleneck")
+    return rows.groupBy("doc_id", "kind", "complexity_level", "is_bottleneck").agg(F.count("*").alias("nodes"))
+
+
+@query("A18_all_operator_classes", """SELECT cluster, sum(n) AS n FROM (SELECT 'tables' AS cluster, tables AS n FROM sshape UNION ALL SELECT 'joins', CASE kind WHEN 9 THEN k WHEN 11 THEN 1 ELSE 0 END FROM slog UNION ALL SELECT 'filters', 1 FROM slog WHERE kind IN (4, 10, 11)
+  UNION ALL SELECT 'aggregates', 1 FROM slog WHERE kind = 2 UNION ALL SELECT 'sorts', 1 FROM slog WHERE kind = 11 UNION ALL SELECT 'unions', 2 FROM slog WHERE kind = 3 UNION ALL SELECT 'ctes', CASE kind WHEN 2 THEN k + 1 ELSE 1 END FROM slog WHERE kind IN (2, 8, 9)
+  UNION ALL SELECT 'subqueries', 1 FROM slog WHERE kind IN (3, 5, 6, 7, 11) OR (kind = 1 AND k > 0) UNION ALL SELECT 'other', CASE kind WHEN 3 THEN 6 WHEN 11 THEN 3 ELSE 2 END FROM slog WHERE kind IN (1, 2, 3, 6, 7, 8, 9, 10, 11)) GROUP BY cluster""")
+def _(spark, d):
+    rows = O.node_rows(scoped(spark, d)).filter("scope = top")
+    return rows.groupBy(I.map_values(F.col("kind"), opgraph.CLUSTERS, "other").alias("cluster")).agg(F.count("*").alias("n"))
+
+
+@query("H33_high_fan_out", "SELECT doc_id, 'cc' AS label, k + 1 AS fan_out, CASE WHEN k >= 4 THEN 'high' ELSE 'medium' END AS severity FROM slog WHERE kind = 9 AND k >= 2")
+def _(spark, d):
+    return O.fan_outs(scoped(spark, d)).select("doc_id", "label", "fan_out", "severity")
+
+
+@query("L10_operator_edges", """SELECT doc_id, src_label, dst_label, count(*) AS edges FROM (
+    SELECT doc_id, replace(replace(replace(v.s, '~k', CASE WHEN k = 0 THEN 'base~a' ELSE 's' END), '~a', a), '~b', b) AS src_label, v.d AS dst_label FROM slog s JOIN (VALUES (1, '~k', 'SELECT'), (1, 'SELECT', 'RESULT'), (2, 'GROUP BY', 'SELECT'), (2, 'SELECT', 'RESULT'),
+      (3, 'base~a', 'SELECT'), (3, 'side~b', 'SELECT'), (3, 'd', 'SELECT'), (3, 'SELECT', 'RESULT'), (3, 'SELECT', 'RESULT'), (3, 'SELECT', 'RESULT'), (3, 'RESULT', 'UNION ALL'), (3, 'UNION', 'UNION ALL'), (3, 'RESULT', 'UNION'), (3, 'RESULT', 'UNION'),
+      (4, 'w~b', 'WHERE'), (4, 'base~a', 'WHERE'), (6, 'd', 'SELECT'), (6, 'SELECT', 'RESULT'), (7, 'base~a', 'SELECT'), (7, '(subquery)', 'SELECT'), (7, 'SELECT', 'RESULT'), (8, 'r', 'SELECT'), (8, 'SELECT', 'RESULT'), (9, 'SELECT', 'RESULT'),
+      (10, 'w~b', 'WHERE'), (10, 'WHERE', 'SELECT'), (10, 'SELECT', 'RESULT'), (11, 's', 'JOIN'), (11, 'side~b', 'JOIN'), (11, 'JOIN', 'WHERE'), (11, 'WHERE', 'SELECT'), (11, 'SELECT', 'ORDER BY'), (11, 'ORDER BY', 'LIMIT'), (11, 'LIMIT', 'RESULT')) v(kind, s, d) ON s.kind = v.kind
+    UNION ALL SELECT doc_id, 'p' || i, CASE WHEN i = k THEN 'GROUP BY' ELSE 'p' || (i + 1) END FROM (SELECT doc_id, k, unnest(range(k + 1)) AS i FROM slog WHERE kind = 2)
+    UNION ALL SELECT doc_id, 'cc', CASE WHEN k = 0 THEN 'SELECT' ELSE 'JOIN' END FROM (SELECT doc_id, k, unnest(range(k + 1)) FROM slog WHERE kind = 9)
+    UNION ALL SELECT doc_id, 'JOIN', CASE WHEN i = k THEN 'SELECT' ELSE 'JOIN' END FROM (SELECT doc_id, k, unnest(range(1, k + 1)) AS i FROM slog WHERE kind = 9)) GROUP BY ALL""")
+def _(spark, d):
+    return O.edge_rows(scoped(spark, d)).filter("scope = top").groupBy("doc_id", "src_label", "dst_label").agg(F.count("*").alias("edges"))
+
+
+@query("L8_column_paths", """SELECT doc_id, position, output_name, source, source || ':source|' || steps AS steps FROM (SELECT doc_id, v.p AS position, v.o AS output_name, replace(replace(replace(replace(v.s, '~k', CASE WHEN k = 0 THEN 'base~a' ELSE 's' END), '~a', a), '~b', b), '~p', 'p' || k) AS source,
+    CASE WHEN s.kind = 9 THEN repeat('JOIN:joined|', k) ELSE '' END || v.w AS steps FROM slog s JOIN (VALUES (1, 0, 'c1', '~k', 'SELECT:passthrough|RESULT:passthrough'), (1, 1, 's.c2 + 1', '~k', 'SELECT:calculated|RESULT:passthrough'),
+      (2, 0, 'id', '~p', 'GROUP BY:passthrough|SELECT:passthrough|RESULT:passthrough'), (2, 1, 'total', '~p', 'GROUP BY:aggregated|SELECT:aggregated|RESULT:passthrough'), (3, 0, 'k1', 'base~a', 'SELECT:renamed|RESULT:passthrough'), (3, 0, 'pid', 'side~b', 'SELECT:passthrough|RESULT:passthrough'),
+      (3, 0, 'z', 'd', 'SELECT:passthrough|RESULT:passthrough'), (7, 1, 'id', 'base~a', 'SELECT:passthrough|RESULT:passthrough'), (8, 0, 'id', 'r', 'SELECT:passthrough|RESULT:passthrough'), (9, 0, 'id', 'cc', 'SELECT:passthrough|RESULT:passthrough'),
+      (10, 0, 'fx', 'w~b', 'WHERE:passthrough|SELECT:renamed|RESULT:passthrough'), (11, 0, 'id', 's', 'JOIN:joined|WHERE:passthrough|SELECT:passthrough|ORDER BY:passthrough|LIMIT:passthrough|RESULT:passthrough')) v(kind, p, o, s, w) ON s.kind = v.kind)""")
+def _(spark, d):
+    return join_text(O.column_ways(scoped(spark, d)), "steps").select("doc_id", "position", "output_name", "source", "steps")
+
+
+@query("G21_filter_sources", """SELECT doc_id, v.scope, 'WHERE' AS filter, replace(replace(v.t, '~a', a), '~b', b) AS table_name FROM slog s JOIN (VALUES (4, 0, 'w~b'), (4, 0, 'base~a'), (10, 0, 'w~b'), (11, 0, 'base~a'), (11, 1, 'side~b')) v(kind, scope, t) ON s.kind = v.kind""")
+def _(spark, d):
+    return O.filter_tables(scoped(spark, d)).select("doc_id", "scope", "filter", "table_name")

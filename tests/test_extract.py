@@ -96,7 +96,6 @@ def test_fingerprint_ignores_case_blanks_comments_and_aliases(corpus):
 
 
 def test_filter_sources(corpus):
-    from sqlstrata.plans import opgraph as O
-    n = O.op_nodes(S.statements(corpus("SELECT a FROM t1 JOIN t2 ON 1=1 JOIN t3 ON 1=1 WHERE a = 1 GROUP BY a HAVING SUM(b) > 1")))
-    got = {(r["filter"], r.table_name) for r in O.filter_sources(n, O.op_edges(n)).collect()}
-    assert got == {(f, t) for f in ("WHERE", "HAVING") for t in ("t1", "t2", "t3")}
+    from sqlstrata.plans import opdag as O
+    rows = O.filter_tables(S.statements(corpus("SELECT a FROM t1 JOIN t2 ON 1=1 JOIN t3 ON 1=1 WHERE a = 1 GROUP BY a HAVING SUM(b) > 1")))
+    assert {(r["filter"], r.table_name) for r in rows.collect()} == {(f, t) for f in ("WHERE", "HAVING") for t in ("t1", "t2", "t3")}
