@@ -7,7 +7,7 @@ view's next model. None is taken twice, and none of which the views are confiden
 again, and a combination of the two judges every document.
 
 Bounds, all parameters: at most `max_labelled` labelled documents are fitted on, and of the confident ones the `exchange` most confident per view,
-class and round, since models are fitted in the driver; models have 2**18 and 2**12 weights. Scoring, and the search for the most confident documents, cover all documents.
+class and round, since one task fits the models and hands the driver only their weights; models have 2**18 and 2**12 weights. Scoring, and the search for the most confident documents, cover all documents.
 """
 
 from __future__ import annotations
@@ -163,6 +163,29 @@ class Model:
         return tuple(1 / (1 + np.exp(-x)) for x in (*logits, both))
 
 
+def _fitted(batches):
+    """All labelled and pseudo-labelled rows to the numbers of a `Model`. A labelled row in HELD_OUT calibrates, if both classes are on both sides."""
+    table = pa.Table.from_batches(batches)
+    y = table.column("label").to_numpy().astype(float)
+    view = table.column("view").to_numpy(zero_copy_only=False).astype(float)  # nan: labelled
+    labelled = np.isnan(view)
+    held = labelled & np.array([zlib.crc32(str(d).encode()) % HELD_OUT == 0 for d in table.column("doc_id").to_pylist()])
+    if len(set(y[held])) < 2 or len(set(y[labelled & ~held])) < 2:
+        held, test = np.zeros(len(y), bool), labelled
+    else:
+        test = held
+    weights = []
+    for v, (name, bits) in enumerate((("words", TEXT_BITS), ("meta", META_BITS))):
+        use = labelled & ~held | (view == v)
+        weights.append(fit(Rows(table.column(name).filter(pa.array(use))), y[use], np.where(labelled[use], 1.0, 0.5), 1 << bits))
+    model = Model(*weights)
+    raw = model.raw(table.column("words").filter(pa.array(test)), table.column("meta").filter(pa.array(test)))
+    model.each = [calibrate(raw[:, [i]], y[test]) for i in (0, 1)]
+    model.both = calibrate(np.clip(np.c_[model.logits(raw)].T, -30, 30), y[test])
+    numbers = {"text": weights[0], "meta": weights[1], "each0": model.each[0], "each1": model.each[1], "both": model.both}
+    yield pa.RecordBatch.from_arrays([pa.array(list(numbers)), pa.array(list(numbers.values()), pa.list_(pa.float64()))], names=["name", "numbers"])
+
+
 def _scored(model: Model):
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("text", pa.float64()), ("meta", pa.float64())])
@@ -192,36 +215,21 @@ def train(found: DataFrame, labels: DataFrame, rounds: int = ROUNDS, exchange: i
         F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good"))
     good = C.stored(good, "labels")
     sample = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = found.where("doc_id IS NOT NULL").join(sample, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "words", "meta", "good").toArrow()
-    y = rows.column("good").to_numpy().astype(float)
-    if len(set(y)) < 2:
+    known = found.where("doc_id IS NOT NULL").join(sample, "doc_id").dropDuplicates(["doc_id"])
+    known = C.stored(known.select("doc_id", "words", "meta", F.col("good").alias("label"), F.lit(None).cast("int").alias("view")), "known")
+    if known.select("label").distinct().count() < 2:
         return None
-    held = np.array([zlib.crc32(str(d).encode()) % HELD_OUT == 0 for d in rows.column("doc_id").to_pylist()])
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held = np.zeros(len(y), bool)
-    basis = rows.filter(pa.array(~held))
-    y_basis = y[~held]
-    more: list[list[tuple[pa.Table, np.ndarray]]] = [[], []]  # pseudo-labelled rows for each view
-
-    def fitted(view: int) -> np.ndarray:
-        name, bits = (("words", TEXT_BITS), ("meta", META_BITS))[view]
-        parts, ys = [basis.column(name)], [y_basis]
-        for table, labels_ in more[view]:
-            parts.append(table.column(name))
-            ys.append(labels_)
-        lists = pa.chunked_array([c for p in parts for c in p.chunks])
-        return fit(Rows(lists), (yy := np.concatenate(ys)), np.r_[np.ones(len(y_basis)), np.full(len(yy) - len(y_basis), 0.5)], 1 << bits)
-
-    test, y_test = (rows.filter(pa.array(held)), y[held]) if held.any() else (rows, y)
-
-    def next_model() -> tuple[Model, np.ndarray]:
-        """Fitted on all labels so far, each view calibrated; and the raw scores of the rows that calibrate."""
-        model = Model(fitted(0), fitted(1))
-        raw = model.raw(test.column("words"), test.column("meta"))
-        model.each = [calibrate(raw[:, [i]], y_test) for i in (0, 1)]
-        return model, raw
-
-    model, raw = next_model()
+    rows = known  # and the pseudo-labelled rows of each round, with the view that learns from them
+
+    def next_model() -> Model:
+        """Fitted on all labels so far in one task, each view and their combination calibrated on rows kept out."""
+        got = rows.coalesce(1).mapInArrow(_fitted, "name string, numbers array<double>").toArrow()
+        part = {n: np.asarray(v.values, np.float64) for n, v in zip(got.column("name").to_pylist(), got.column("numbers"))}
+        model = Model(part["text"], part["meta"])
+        model.each, model.both = [part["each0"], part["each1"]], part["both"]
+        return model
+
+    model = next_model()
     exchanged: list[list[tuple[int, int, int]]] = []
     taken: set[int] = set()
     least = float(np.log(confident / (1 - confident)))
@@ -244,16 +252,11 @@ def train(found: DataFrame, labels: DataFrame, rounds: int = ROUNDS, exchange: i
         exchanged.append([(d, v, label) for d, of in picked.items() for v, label in of])
         spark = found.sparkSession
         ids = spark.createDataFrame([(i,) for i in picked], "doc_id bigint")  # at most 4 * exchange rows
-        got = found.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "words", "meta").toArrow()
-        docs = got.column("doc_id").to_pylist()
-        for view in (0, 1):
-            want = [(i, label) for i, d in enumerate(docs) for v, label in picked[d] if v == view]
-            if want:
-                more[view].append((got.take(pa.array([i for i, _ in want])), np.array([label for _, label in want], float)))
-        model, raw = next_model()
+        got = found.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "words", "meta")
+        want = spark.createDataFrame([(d, label, v) for d, of in picked.items() for v, label in of], "doc_id bigint, label int, view int")
+        rows = rows.unionByName(C.stored(got.join(F.broadcast(want), "doc_id"), "pseudo-labelled"))
+        model = next_model()
     model.exchanged = exchanged
-    logits = np.c_[model.logits(raw)].T
-    model.both = calibrate(np.clip(logits, -30, 30), y_test)
     return model
 
 
