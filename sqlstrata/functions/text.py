@@ -122,13 +122,22 @@ def has_template(sql: Column) -> Column:
 
 
 def prune_template_blocks(sql: Column) -> Column:
-    """Keep the `if` branch, drop `elif` / `else` branches and `macro` bodies. Handles blocks that do not nest."""
-    tag = r"\{%-?\s*"
-    end = r"\s*[^%]*?-?%\}"
-    no_tag = r"(?:(?!\{%)[\s\S])*+"
-    out = F.regexp_replace(sql, rf"{tag}macro\b{end}{no_tag}{tag}endmacro{end}", "")
-    out = F.regexp_replace(out, rf"(?:{tag}(?:elif|else)\b{end}{no_tag})+{tag}endif{end}", "")
-    return F.regexp_replace(out, r"\{%[\s\S]*?%\}", "")
+    """Keep the `if` branch, drop `elif` / `else` branches and `macro` bodies, at any nesting.
+
+    One fold over tags and the text between them: `level` counts open blocks, `off` is the level whose branch is being dropped (0: none).
+    """
+    start = F.struct(F.lit(0).alias("level"), F.lit(0).alias("off"), F.lit("").alias("text"))
+
+    def step(s: Column, t: Column) -> Column:
+        tag = F.lower(F.regexp_extract(t, r"^\{%[-+]?\s*(\w+)", 1))
+        level = s["level"] + tag.isin("if", "macro").cast("int")
+        stays = s["off"] != 0
+        off = (F.when(tag == "macro", F.when(stays, s["off"]).otherwise(level)).when(tag.isin("else", "elif") & (s["level"] > 0), F.when(stays, s["off"]).otherwise(s["level"]))
+               .when(tag.isin("endif", "endmacro") & (s["off"] == s["level"]), 0).otherwise(s["off"]))
+        shut = F.greatest(F.lit(0), level - tag.isin("endif", "endmacro").cast("int"))
+        return F.struct(shut.alias("level"), off.alias("off"), F.when(~t.startswith("{%") & ~stays, F.concat(s["text"], t)).otherwise(s["text"]).alias("text"))
+    tokens = rx_all(sql, r"\{%[\s\S]*?%\}|(?:(?!\{%)[\s\S])++|\{")
+    return F.when(sql.contains("{%"), F.aggregate(tokens, start, step)["text"]).otherwise(sql)
 
 
 def normalise_template(sql: Column) -> Column:

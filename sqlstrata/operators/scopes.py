@@ -21,7 +21,7 @@ _TOKEN = r"__q(\d+)__"
 _OPEN, _CLOSE = "\uE000", "\uE001"  # parentheses of calls and groups, while queries are looked for
 _STARTS = r"(?:SELECT|WITH)\b|__q\d+__\s*(?:UNION|INTERSECT|EXCEPT|MINUS)\b"
 _GROUP = rf"(?i)\((?!\s*(?:{_STARTS}))([^()]*)\)"
-_QUERY = rf"(?i)\(\s*((?:{_STARTS})[^()]*)\)"
+_QUERY = rf"(?i)\((\s*(?:{_STARTS})[^()]*)\)"
 _CTE = rf"([\w$]+)\s*(?:\(([^()]*)\)\s*)?AS\s+(?:(?:NOT\s+)?MATERIALIZED\s+)?{_TOKEN}"
 _WITH = rf"(?i)\bWITH\s+(?:RECURSIVE\s+)?(?:{_CTE}\s*,?\s*)+"
 
@@ -42,19 +42,35 @@ def _round(state: Column, _: Column) -> Column:
     return F.when(state["text"].contains("("), let(grouped, folded)).otherwise(state)
 
 
-def scope_texts(masked: Column) -> Column:
-    """Array of scope texts: nested queries in the order they close, the statement itself last."""
+def nesting(text: Column) -> Column:
+    """How deep parentheses nest."""
     zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("deepest"))
 
     def step(a: Column, x: Column) -> Column:
         now = a["now"] + F.when(x == "(", 1).otherwise(-1)
         return F.struct(now.alias("now"), F.greatest(a["deepest"], now).alias("deepest"))
-    rounds = F.aggregate(T.rx_all(masked, "[()]"), zero, step)["deepest"]
+    return F.aggregate(T.rx_all(text, "[()]"), zero, step)["deepest"]
+
+
+def scope_texts(masked: Column) -> Column:
+    """Array of scope texts: nested queries in the order they close, the statement itself last."""
     start = F.struct(masked.alias("text"), F.array().cast("array<string>").alias("found"))
-    done = F.aggregate(F.sequence(F.lit(0), rounds), start, _round)
+    done = F.aggregate(F.sequence(F.lit(0), nesting(masked)), start, _round)
     return F.transform(let(done, lambda d: F.concat(d["found"], F.array(d["text"]))), lambda t: F.translate(t, _OPEN + _CLOSE, "()"))
 
 
+def outermost_queries(masked: Column) -> Column:
+    """Texts of the queries in parentheses that lie in no other one, put together again from their scopes."""
+    def whole(texts: Column) -> Column:
+        top = F.size(texts) - 1
+
+        def grown(text: Column) -> Column:
+            return F.aggregate(F.sequence(F.lit(0), F.greatest(top - 1, F.lit(0))), text, lambda t, i: F.replace(t, F.concat(F.lit(" __q"), (top - 1 - i).cast("string"), F.lit("__ ")), F.concat(F.lit("("), F.get(texts, top - 1 - i), F.lit(")"))))
+        direct = T.rx_all(F.get(texts, top), _TOKEN, 1)
+        return F.filter(F.transform(direct, lambda k: F.trim(grown(F.get(texts, k.cast("int"))))), lambda q: F.lower(q).contains("from"))
+    return let(scope_texts(masked), whole)
+
+
 def cte_scopes(texts: Column) -> Column:
     """Array of (name, scope, columns) of all CTEs in the statement's scopes."""
     with_parts = F.filter(F.transform(texts, lambda t: F.array_join(T.rx_all(t, _WITH, 0), " ")), lambda w: w != "")

@@ -2,93 +2,60 @@
 
 from __future__ import annotations
 
-import sys
 from functools import reduce
 
-import pandas as pd
-import regex
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as ty
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sqlstrata.functions import patterns as P, text as T
 
 _SPLIT_COMMENT = rf"(?:{T.BLOCK}|--[^\n]*+|//[^\n]*+|#(?![A-Za-z0-9_])[^\n]*+)"
 _UNIT = (rf"""(?:[^;'"`\-/#$]++|{T.SINGLE_ESC}|{T.DOUBLE_ESC}|{T.BACKTICK}|{_SPLIT_COMMENT}"""
          r"""|\$(\w*+)\$(?:(?!\$\1\$)[\s\S])*+(?:\$\1\$|\z)|[\-/#$])""")
-_CASE = rf"\bCASE\b(?:{T.SINGLE}|(?!\b(?:END|CASE)\b)[\s\S])*+\bEND\b"
-
-
-def _routine_block(nesting: int) -> str:
-    inner = (rf"{T.SINGLE}|{_SPLIT_COMMENT}|\bEND\s+(?:IF|LOOP|WHILE|TRY|CATCH)\b|\bBEGIN\s+(?:TRANSACTION|WORK|TRAN|TRY|CATCH)\b"
-             rf"|{_CASE}|(?!\b(?:BEGIN|END|CASE)\b)[\s\S]")
-    block = rf"\bBEGIN\b(?:{inner})*+\bEND\b"
-    for _ in range(nesting):
-        block = rf"\bBEGIN\b(?:{inner}|{block})*+\bEND\b"
-    return block
-
-
-_ROUTINE = (rf"(?:\s++|{_SPLIT_COMMENT})*+\bCREATE\s+(?:OR\s+REPLACE\s+)?(?:FUNCTION|PROCEDURE|TRIGGER)\b"
-            rf"(?:{T.SINGLE}|(?!\bBEGIN\b)[^;'])*+{_routine_block(6)}[^;]*+")
-# A routine with a body, else any run up to a separator. Every match ends with its separator or at the end.
-STATEMENT = rf"(?i)(?:{_ROUTINE}|{_UNIT}*+)(?:;|\z)"
-
-
-
-def _parenthesised(nesting: int) -> str:
-    """A parenthesis with all it holds, separators too."""
-    plain = rf"""[^()'"`\-/#$]++|{T.SINGLE_ESC}|{T.DOUBLE_ESC}|{T.BACKTICK}|{_SPLIT_COMMENT}|[\-/#$]"""
-    body = rf"\((?:{plain})*+\)"
-    for _ in range(nesting):
-        body = rf"\((?:{plain}|{body})*+\)"
-    return body
-
-
-# For texts that have a separator inside parentheses: those stay whole.
-STATEMENT_AROUND = STATEMENT.replace(_UNIT, _UNIT.replace("(?:[^;'\"`\\-/#$]++", rf"(?:[^;'\"`\-/#$()]++|{_parenthesised(12)}|[()]"))
-_HELD_SEPARATOR = r"\([^)]*;"
-
-# Texts the pattern above may cut wrongly: another delimiter, or a separator inside parentheses.
-NEEDS_HELPER = r"(?i)\bDELIMITER\s+\S|\([^)]*;"
-
-
-def _split_with_delimiters(text: str) -> list[str]:
-    """Leaf helper for the few texts a pattern cannot cut: custom delimiters and separators inside parentheses."""
-    token = regex.compile(rf"(?i){_SPLIT_COMMENT.replace(chr(92) + 'z', chr(92) + 'Z')}"
-                          r"""|'(?:[^'\\]|\\.|'')*+(?:'|\Z)|"[^"]*+(?:"|\Z)|`[^`]*+(?:`|\Z)|^\s*DELIMITER[ \t]+\S+[^\n]*"""
-                          r"""|\bBEGIN\b|\bEND\b|[()]|\S|\s+""", regex.M | regex.S)
-    pieces, current, depth, blocks, stop = [], "", 0, 0, ";"
-    pos = 0
-    while pos < len(text):
-        if depth <= 0 and blocks == 0 and text.startswith(stop, pos):
-            pieces.append(current + stop)
-            current, pos, depth = "", pos + len(stop), 0
-            continue
-        word = token.match(text, pos).group(0)
-        pos += len(word)
-        upper = word.strip().upper()
-        if upper.startswith("DELIMITER") and not current.strip():
-            stop = upper.split()[1] if upper.split()[1] == ";" else word.split()[1]
-            current = ""
-            continue
-        depth += {"(": 1, ")": -1}.get(word, 0)
-        if stop == ";":
-            blocks = max(0, blocks + {"BEGIN": 1, "END": -1}.get(upper, 0))
-        current += word
-    return pieces + [current]
-
-
-# Ship the leaf helper by value, so that executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-@F.pandas_udf(ty.ArrayType(ty.StringType()))
-def split_flagged(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else _split_with_delimiters(t))
+# A run up to a separator that is in no quotes and no comment: enough for texts without blocks.
+STATEMENT = rf"(?i){_UNIT}*+(?:;|\z)"
+
+# Texts whose separators depend on what is open around them: a parenthesis, a block, or another delimiter.
+NEEDS_DEPTH = r"(?i)\bDELIMITER\s+\S|\([^)]*;|\bBEGIN\b"
+_DELIMITER = r"(?im)^[ \t]*DELIMITER[ \t]+(\S+)[^\n]*"
+# A block's BEGIN takes the blank behind it along, so that the BEGIN of a transaction is another token; END IF and its like are one token that closes nothing.
+_OPENS = r"\bBEGIN\s++(?!;|\z|(?:TRANSACTION|WORK|TRAN)\b)"
+_CLOSES = r"\bEND\s+(?:CASE|TRY|CATCH|IF|LOOP|WHILE|REPEAT|FOR)\b"
+_TOKEN = (rf"""(?i:{T.SINGLE_ESC}|{T.DOUBLE_ESC}|{T.BACKTICK}|{_SPLIT_COMMENT}|\$(\w*+)\$(?:(?!\$\1\$)[\s\S])*+(?:\$\1\$|\z)"""
+          rf"""|{_OPENS}|{_CLOSES}|\w++|[^\w'"`\-/#$();]++|[\s\S])""")
+
+
+def _tokens(sql: Column) -> Column:
+    """A text in quotes, comments, words, marks and runs of the rest; joined they are the text again. Its own delimiters come before all but the lines that set them."""
+    line = _DELIMITER.replace("(\\S+)", "\\S+")
+    stops = F.array_join(F.transform(F.array_distinct(T.rx_all(sql, _DELIMITER, 1)), lambda d: F.concat(F.lit("\\Q"), d, F.lit("\\E|"))), "")
+    own = F.concat(F.lit(f"{line}|(?:"), stops, F.lit(f"(?!))|{_TOKEN}"))
+    return F.regexp_extract_all(sql, F.when(sql.rlike(_DELIMITER), own).otherwise(F.lit(_TOKEN)), F.lit(0))
+
+
+def _pieces_by_depth(sql: Column) -> Column:
+    """Pieces of a text by one fold over its tokens: a separator counts where no parenthesis and no block is open. Nesting has no limit."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("parens"), F.lit(0).alias("blocks"), F.lit(";").alias("stop"), F.array().cast("array<struct<end:int,own:boolean>>").alias("cuts"))
+
+    def step(s: Column, t: Column) -> Column:
+        sets = t.rlike(_DELIMITER)
+        parens = F.greatest(F.lit(0), s["parens"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0))
+        word = F.length(t) < 1000
+        blocks = F.greatest(F.lit(0), s["blocks"] + F.when(word & t.rlike(r"(?i)^(?:BEGIN\s+|CASE)$"), 1).when(word & t.rlike(r"(?i)^END(?:\s+(?:CASE|TRY|CATCH))?$"), -1).otherwise(0))
+        ends = (t == s["stop"]) & (s["parens"] == 0) & ((s["blocks"] == 0) | (s["stop"] != ";"))
+        zero = lambda x: F.when(ends | sets, 0).otherwise(x)
+        return F.struct((s["at"] + 1).alias("at"), zero(parens).alias("parens"), zero(blocks).alias("blocks"), F.when(sets, F.regexp_extract(t, _DELIMITER, 1)).otherwise(s["stop"]).alias("stop"),
+                        F.when(ends | sets, F.array_append(s["cuts"], F.struct((s["at"] + 1).alias("end"), (ends & (t != ";")).alias("own")))).otherwise(s["cuts"]).alias("cuts"))
+
+    def cut(tokens: Column) -> Column:
+        whole = F.concat(F.aggregate(tokens, start, step)["cuts"], F.array(F.struct(F.size(tokens).alias("end"), F.lit(False).alias("own"))))
+        return F.get(F.transform(F.array(whole), lambda cuts: F.transform(cuts, lambda c, i: F.get(F.transform(F.array(F.coalesce(F.get(cuts, i - 1)["end"], F.lit(0))), lambda first: F.when(
+            c["own"], F.concat(F.array_join(F.slice(tokens, first + 1, c["end"] - first - 1), ""), F.lit(";"))).otherwise(F.array_join(F.slice(tokens, first + 1, c["end"] - first), ""))), F.lit(0)))), F.lit(0))
+    return F.get(F.transform(F.array(_tokens(sql)), cut), F.lit(0))
 
 
 def pieces(sql: Column) -> Column:
-    """All statements of a text with their separators; joined they are the text again."""
-    return F.when(sql.rlike(_HELD_SEPARATOR), T.rx_all(sql, STATEMENT_AROUND)).otherwise(T.rx_all(sql, STATEMENT))
+    """All statements of a text with their separators; joined they are the text again, but for separators of its own, which become semicolons."""
+    return F.when(sql.rlike(NEEDS_DEPTH), _pieces_by_depth(sql)).otherwise(T.rx_all(sql, STATEMENT))
 
 
 def _without_separator(piece: Column) -> Column:
@@ -96,29 +63,27 @@ def _without_separator(piece: Column) -> Column:
 
 
 def statement_texts(sql: Column) -> Column:
-    """Statements without separators; pieces that hold only comments are dropped."""
-    return F.filter(F.transform(pieces(sql), _without_separator), lambda s: T.strip_leading_comments(s) != "")
+    """Statements without separators; pieces that hold only comments or set a delimiter are dropped."""
+    return F.filter(F.transform(pieces(sql), _without_separator), _says_something)
+
+
+def _says_something(piece: Column) -> Column:
+    return (T.strip_leading_comments(piece) != "") & ~piece.rlike(r"(?i)^\s*DELIMITER(?:[ \t]+\S+[^\n]*)?$")
 
 
 def statement_count(sql: Column) -> Column:
     return F.size(statement_texts(sql))
 
 
-def statements(corpus: DataFrame, templates: bool = True, helper: bool = False) -> DataFrame:
-    """`(doc_id, path, stmt_idx, start_line, end_line, sql, clean, masked)`, one row per statement.
-
-    `helper` sends the texts that match NEEDS_HELPER (and no others) through an Arrow function.
-    """
+def statements(corpus: DataFrame, templates: bool = True) -> DataFrame:
+    """`(doc_id, path, stmt_idx, start_line, end_line, sql, clean, masked)`, one row per statement."""
     cut = pieces(F.col("sql"))
-    if helper:
-        flagged = F.col("sql").rlike(NEEDS_HELPER)
-        cut = F.coalesce(split_flagged(F.when(flagged, F.col("sql"))), F.when(~flagged, cut))
     cols = [c for c in ("doc_id", "path") if c in corpus.columns]
     parts = T.hold(corpus.select(*cols, "sql"), _pieces=cut).drop("sql")
     parts = T.hold(parts, _newlines=F.transform("_pieces", T.newlines))
     lines, before = T.with_prefix_sums(parts, "_newlines")
     kept = F.filter(F.arrays_zip(F.col("_pieces").alias("_pieces"), before.alias("_before")),
-                    lambda p: T.strip_leading_comments(_without_separator(p["_pieces"])) != "")
+                    lambda p: _says_something(_without_separator(p["_pieces"])))
     rows = lines.select(*cols, F.posexplode(kept).alias("stmt_idx", "_p"))
     lead = T.newlines(F.regexp_extract("_p._pieces", r"^\s*", 0))
     rows = rows.select(*cols, "stmt_idx", (F.col("_p._before") + lead + 1).alias("start_line"),

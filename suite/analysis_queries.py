@@ -284,8 +284,8 @@ def _(spark, d):
     return H.apply_rules(H.features(stmts(spark, d)), [rule]).select("doc_id", "stmt_idx", "rule_id", "message")
 
 
-@query("U3_flagged_texts", r"SELECT doc_id, regexp_matches(sql, '(?i)\bDELIMITER\s+\S|\([^)]*;') AS needs_helper FROM qlog")
+@query("U3_flagged_texts", r"SELECT doc_id, regexp_matches(sql, '(?i)\bDELIMITER\s+\S|\([^)]*;|\bBEGIN\b') AS needs_depth FROM qlog")
 def _(spark, d):
-    return X.query_log(spark, d).select("doc_id", F.col("sql").rlike(S.NEEDS_HELPER).alias("needs_helper"))
+    return X.query_log(spark, d).select("doc_id", F.col("sql").rlike(S.NEEDS_DEPTH).alias("needs_depth"))
 
 

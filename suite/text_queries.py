@@ -83,7 +83,7 @@ def _(spark, d):
 
 @query("P1_statement_split", "SELECT doc_id, stmt_idx, sql FROM stmts")
 def _(spark, d):
-    return S.statements(X.query_log(spark, d), helper=True).select("doc_id", "stmt_idx", "sql")
+    return S.statements(X.query_log(spark, d)).select("doc_id", "stmt_idx", "sql")
 
 
 @query("P2_statement_count", "SELECT doc_id, count(*) AS statements FROM stmts GROUP BY doc_id")

@@ -11,7 +11,7 @@ def values(df, col):
     return [r[0] for r in df.select(col).collect()]
 
 
-@pytest.mark.parametrize("text, want", [
+SPLITS = [
     ("a; b", ["a", "b"]),
     ("a;;\n ; b ; -- c;\n;'x;y';", ["a", "b", "'x;y'"]),
     ("SELECT ';'; SELECT \"a;b\"; SELECT `c;d`", ["SELECT ';'", 'SELECT "a;b"', "SELECT `c;d`"]),
@@ -22,12 +22,30 @@ def values(df, col):
     ("DELIMITER //\nCREATE PROCEDURE p() BEGIN SELECT 1; END//\nDELIMITER ;\nSELECT 2;", ["CREATE PROCEDURE p() BEGIN SELECT 1; END", "SELECT 2"]),
     ("CREATE FUNCTION f() AS BEGIN BEGIN a; END; SELECT CASE WHEN 1 THEN 2 END; END; SELECT 2", ["CREATE FUNCTION f() AS BEGIN BEGIN a; END; SELECT CASE WHEN 1 THEN 2 END; END", "SELECT 2"]),
     ("BEGIN TRANSACTION; UPDATE t SET a = 1; COMMIT", ["BEGIN TRANSACTION", "UPDATE t SET a = 1", "COMMIT"]),
-    ("", []), ("-- only a comment", []),
-])
-def test_split(corpus, text, want):
-    got = S.statements(corpus(text), helper=True).orderBy("stmt_idx")
-    clean = [s.rstrip("/").rstrip() if s.endswith("END//") else s for s in values(got, "sql")]
-    assert clean == want
+    ("f" + "(" * 40 + "a;b" + ")" * 40 + "; c", ["f" + "(" * 40 + "a;b" + ")" * 40, "c"]),
+    ("CREATE PROCEDURE p() " + "BEGIN x; " * 10 + "END; " * 9 + "END; SELECT 2", ["CREATE PROCEDURE p() " + "BEGIN x; " * 10 + "END; " * 9 + "END", "SELECT 2"]),
+    ("CREATE PROCEDURE p() BEGIN IF a THEN b; END IF; LOOP c; END LOOP; CASE x WHEN 1 THEN y; END CASE; END; z", ["CREATE PROCEDURE p() BEGIN IF a THEN b; END IF; LOOP c; END LOOP; CASE x WHEN 1 THEN y; END CASE; END", "z"]),
+    ("BEGIN TRY a; END TRY BEGIN CATCH b; END CATCH; c", ["BEGIN TRY a; END TRY BEGIN CATCH b; END CATCH", "c"]),
+    ("BEGIN; a; COMMIT; f(';'; b)", ["BEGIN", "a", "COMMIT", "f(';'; b)"]),
+    ("DELIMITER $$\nSELECT 1; SELECT 2$$\nSELECT (3; 4)$$\nDELIMITER ;\nSELECT 5; SELECT 6", ["SELECT 1; SELECT 2", "SELECT (3; 4)", "SELECT 5", "SELECT 6"]),
+    ("CREATE TRIGGER t BEGIN SELECT 'END; it''s' ; -- END\n a; END; c", ["CREATE TRIGGER t BEGIN SELECT 'END; it''s' ; -- END\n a; END", "c"]),
+    (") ; a", [")", "a"]), ("(a; b", ["(a; b"]), ("", []), ("-- only a comment", []),
+]
+
+
+@pytest.fixture(scope="module")
+def split(spark):
+    """Statements and their number of all texts, in one run each."""
+    texts = spark.createDataFrame([(i, f"f{i}.sql", t) for i, (t, _) in enumerate(SPLITS)], "doc_id int, path string, sql string")
+    found = {}
+    for r in S.statements(texts).orderBy("doc_id", "stmt_idx").collect():
+        found.setdefault(r.doc_id, []).append(r["sql"])
+    return found, {r.doc_id: r.n for r in texts.select("doc_id", S.statement_count(F.col("sql")).alias("n")).collect()}
+
+
+@pytest.mark.parametrize("i", range(len(SPLITS)), ids=[t[:50] for t, _ in SPLITS])
+def test_split(split, i):
+    assert split[0].get(i, []) == SPLITS[i][1] and split[1][i] == len(SPLITS[i][1])
 
 
 def test_lines(corpus):
@@ -91,3 +109,26 @@ def test_declared_dialect(corpus, text, want):
 @pytest.mark.parametrize("text, dialect, want", [("USE WAREHOUSE w", "Snowflake", "USE WAREHOUSE"), ("USE WAREHOUSE w", "MySQL", "USE"), ("SET a = 1", "MySQL", "SET"), ("GO", "TransactSQL", "GO"), ("GO", "MySQL", None), ("SHOW TABLES IN x", "MySQL", "SHOW TABLES"), ("SELECT 1", "MySQL", None)])
 def test_session_commands(corpus, text, dialect, want):
     assert values(corpus(text).select(S.session_command(F.col("sql"), F.lit(dialect)).alias("x")), "x") == [want]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("{% if a %}x{% else %}{% if b %}y{% endif %}z{% endif %}w", "xw"),
+    ("{% if a %}{% if b %}1{% else %}2{% endif %}3{% elif c %}4{% if d %}5{% else %}6{% endif %}{% else %}7{% endif %}8", "138"),
+    ("{%- macro m(x) -%}{% if x %}1{% endif %}{%- endmacro -%}2", "2"),
+    ("{% for t in ts %}a{% endfor %}{% set z = 1 %}b{ c", "ab{ c"),
+    ("{% else %}a{% endif %}b", "ab"), ("no tags", "no tags"), ("{% if a %}" * 30 + "x" + "{% else %}y{% endif %}" * 30, "x"),
+])
+def test_template_blocks_at_any_nesting(corpus, text, want):
+    assert corpus(text).select(T.prune_template_blocks(F.col("sql"))).first()[0] == want
+
+
+def test_lines_behind_a_delimiter(corpus):
+    rows = S.statements(corpus("DELIMITER //\nSELECT\n1//\nDELIMITER ;\nSELECT 2;")).orderBy("stmt_idx").select("start_line", "end_line").collect()
+    assert [tuple(r) for r in rows] == [(2, 3), (5, 5)]
+
+
+def test_subquery_of_forty_levels(corpus):
+    from sqlstrata.operators import items as I
+    deep = "SELECT a FROM " + "(SELECT a FROM " * 39 + "t1" + ")" * 39
+    rows = I.subquery_rows(S.statements(corpus(f"SELECT ({deep}) AS x FROM t2 WHERE b IN (SELECT c FROM t3)"))).orderBy("position").collect()
+    assert [(r.subquery.replace(" ", ""), r.location) for r in rows] == [(deep.replace(" ", ""), "select"), ("SELECTcFROMt3", "where")]
