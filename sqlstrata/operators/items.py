@@ -195,12 +195,16 @@ def functions_used(stmts: DataFrame, registry: DataFrame, dialect: str = "mysql"
     return joined.select("doc_id", "path", "stmt_idx", "name", category.alias("category"), "is_source", F.col("category").isNotNull().alias("is_known"))
 
 
-def subquery_rows(stmts: DataFrame) -> DataFrame:
-    """Outermost subqueries with their clause and normalised text. Texts nested beyond what a pattern reads are folded from the inside out."""
+def subquery_texts(masked: Column) -> Column:
+    """Array of the outermost subqueries. Texts nested beyond what a pattern reads are folded from the inside out."""
     from sqlstrata.operators import scopes as SC
 
-    found = F.when(SC.nesting(F.col("masked")) > 24, SC.outermost_queries(F.col("masked"))).otherwise(T.subqueries(F.col("masked")))
-    rows = T.hold(stmts.select("doc_id", "path", "stmt_idx", "masked"), _q=found)
+    return F.when(SC.nesting(masked) > 24, SC.outermost_queries(masked)).otherwise(T.subqueries(masked))
+
+
+def subquery_rows(stmts: DataFrame) -> DataFrame:
+    """Outermost subqueries with their clause and normalised text."""
+    rows = T.hold(stmts.select("doc_id", "path", "stmt_idx", "masked"), _q=subquery_texts(F.col("masked")))
     rows = rows.select("doc_id", "path", "stmt_idx", "masked", F.posexplode("_q").alias("position", "subquery"))
     # The clause that holds a subquery opens with the last such word before it that is in no closed parenthesis.
     before = F.regexp_replace(F.expr("substring(masked, 1, instr(masked, subquery) - 1)"), rf"\({T.BALANCED}\)", "")

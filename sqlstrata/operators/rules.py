@@ -15,7 +15,7 @@ class Rule:
     """A finding where `when` holds. Users add their own with the same four values and a condition."""
     rule_id: str
     type: str
-    severity: str
+    severity: str | None
     category: str
     message: object  # text, or a Column over the feature frame
     when: Column
@@ -109,18 +109,22 @@ def statement_rules() -> list[Rule]:
     return rules
 
 
+def _struct(rule_id: str, kind: str, severity, category: str, message: Column) -> Column:
+    severity = severity if isinstance(severity, Column) else F.lit(severity).cast("string")
+    return F.struct(F.lit(rule_id).alias("rule_id"), F.lit(kind).alias("type"), severity.alias("severity"), F.lit(category).alias("category"), message.alias("message"))
+
+
 def _as_structs(rule: Rule) -> Column:
     """Array of the rule's findings: none where it doesn't hold, one, or one per element of `each`."""
     start = rule.message if isinstance(rule.message, Column) else F.lit(rule.message)
-    of = lambda message: F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.type).alias("type"), F.lit(rule.severity).alias("severity"),
-                                  F.lit(rule.category).alias("category"), message.alias("message"))
+    of = lambda message: _struct(rule.rule_id, rule.type, rule.severity, rule.category, message)
     found = F.array(of(start)) if rule.each is None else F.transform(rule.each, lambda x: of(F.concat(start, x)))
     return F.when(rule.when, found)
 
 
-def apply_rules(frame: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Long table of findings: one pass over the frame, then an explode of the rules that hold."""
-    hits = F.flatten(F.filter(F.array(*[_as_structs(r) for r in rules]), lambda h: h.isNotNull()))
+def apply_rules(frame: DataFrame, rules: list[Rule], more: list[Column] | None = None) -> DataFrame:
+    """Long table of findings: one pass over the frame, then an explode of the rules that hold. `more` are arrays of findings."""
+    hits = F.flatten(F.filter(F.array(*[_as_structs(r) for r in rules], *(more or [])), lambda h: h.isNotNull()))
     rows = frame.select("doc_id", "path", "stmt_idx", F.explode(hits).alias("h"))
     return rows.select("doc_id", "path", "stmt_idx", "h.rule_id", "h.type", "h.severity", "h.category", "h.message")
 
@@ -131,43 +135,43 @@ def _finding(rows: DataFrame, rule_id: str, type_, severity, category: str, mess
                        F.lit(category).alias("category"), message.alias("message"))
 
 
-def similar_subqueries(stmts: DataFrame) -> DataFrame:
-    """H8: subqueries of one statement with the same table, WHERE presence and first aggregate."""
-    s = I.subquery_rows(stmts)
-    n = F.col("normalized")
-    keyed = s.select("doc_id", "path", "stmt_idx", T.rx(n, r"from\s+(\w+)", 1).alias("_from"), n.contains("where").alias("_where"),
-                     T.rx(n, r"(avg|count|sum|max|min)\s*\(", 1).alias("_agg")).filter(F.col("_from") != "")
-    return keyed.groupBy("doc_id", "path", "stmt_idx", "_from", "_where", "_agg").agg(F.count("*").alias("n")).filter("n > 1")
+def repeated(values: Column) -> Column:
+    """(value, n) of the values that stand in an array more than once: runs of the sorted array, counted inside the row."""
+    def runs(s: Column) -> Column:
+        first = F.filter(F.transform(s, lambda v, i: F.when((i == 0) | (F.get(s, i - 1) != v), F.struct(v.alias("value"), i.alias("at")))), lambda x: x.isNotNull())
+        ends = F.get(F.transform(F.array(first), lambda f: F.transform(f, lambda x, i: F.struct(x["value"].alias("value"), (F.coalesce(F.get(f, i + 1)["at"], F.size(s)) - x["at"]).alias("n")))), F.lit(0))
+        return F.filter(ends, lambda x: x["n"] > 1)
+    return F.get(F.transform(F.array(F.array_sort(values)), runs), F.lit(0))
 
 
-def duplicate_subqueries(stmts: DataFrame) -> DataFrame:
-    """H9: identical normalised subqueries longer than 15 characters."""
-    return (I.subquery_rows(stmts).filter(F.length("normalized") > 15).groupBy("doc_id", "path", "stmt_idx", "normalized")
-            .agg(F.count("*").alias("n")).filter("n > 1"))
+def with_groups(stmts: DataFrame) -> DataFrame:
+    """The frame with `_shapes` (H8), `_copies` (H9), `_reads` (H11) and `_locals` (H16): what a statement repeats, counted in its own row.
+
+    A subquery's shape is its table, WHERE presence and first aggregate; copies are equal normalised texts of over 15 characters.
+    """
+    found = F.transform(F.filter(R.with_delete_sources(R.ref_matches(F.col("masked"))), lambda m: m.rlike(r"(?i)^(?:FROM|JOIN)\b")), R.match_name)
+    rows = T.hold(stmts, _subs=F.transform(I.subquery_texts(F.col("masked")), T.normalise_query), _read=F.filter(found, R.is_table_name), _own=R.local_names(F.col("masked")))
+    shape = lambda n: F.concat_ws("|", T.rx(n, r"from\s+(\w+)", 1), n.contains("where").cast("string"), T.rx(n, r"(avg|count|sum|max|min)\s*\(", 1))
+    return T.hold(rows, _shapes=repeated(F.filter(F.transform("_subs", shape), lambda s: ~s.startswith("|"))), _copies=repeated(F.filter("_subs", lambda n: F.length(n) > 15)),
+                  _reads=repeated(F.filter("_read", lambda t: ~F.array_contains("_own", t))), _locals=repeated(F.filter("_read", lambda t: F.array_contains("_own", t)))).drop("_subs", "_read", "_own")
 
 
-def repeated_tables(stmts: DataFrame) -> DataFrame:
-    """Tables a statement reads more than once, with `is_local` for CTE and alias names."""
-    found = R.with_delete_sources(R.ref_matches(F.col("masked")))
-    read = F.transform(F.filter(found, lambda m: m.rlike(r"(?i)^(?:FROM|JOIN)\b")), R.match_name)
-    rows = T.hold(stmts.select("doc_id", "path", "stmt_idx", "clean", "masked"), _local=R.local_names(F.col("masked")), _read=F.filter(read, R.is_table_name))
-    rows = rows.select("doc_id", "path", "stmt_idx", "_local", F.explode("_read").alias("table_name"))
-    rows = rows.select("doc_id", "path", "stmt_idx", "table_name", F.array_contains("_local", F.col("table_name")).alias("is_local"))
-    return rows.groupBy("doc_id", "path", "stmt_idx", "table_name", "is_local").agg(F.count("*").alias("uses")).filter("uses > 1")
+def _group_structs() -> list[Column]:
+    return [F.transform("_shapes", lambda x: _struct("H8", "info", "low", "quality", F.format_string("%d subqueries of one shape", x["n"]))),
+            F.when(F.size("_shapes") == 0, F.transform("_copies", lambda x: _struct("H9", "info", "low", "quality", F.format_string("the same subquery stands %d times", x["n"])))),
+            F.transform("_reads", lambda x: _struct("H11", "warning", "medium", "performance", F.format_string("%s is read in %d places", x["value"], x["n"]))),
+            F.transform("_locals", lambda x: _struct("H16", "warning", F.when(x["n"] > 2, "high").otherwise("medium"), "performance", F.format_string("local result %s is used %d times", x["value"], x["n"])))]
 
 
 def grouped_findings(stmts: DataFrame) -> DataFrame:
     """H8, H9, H11, H16: rules that count within a statement."""
-    similar, dup, rep = similar_subqueries(stmts), duplicate_subqueries(stmts), repeated_tables(stmts)
-    keys = ["doc_id", "path", "stmt_idx"]
-    h8 = _finding(similar, "H8", "info", "low", "quality", F.format_string("%d subqueries of one shape", F.col("n")))
-    seen = similar.select(*keys).distinct()
-    h9 = _finding(dup.join(seen, keys, "left_anti"), "H9", "info", "low", "quality", F.format_string("the same subquery stands %d times", F.col("n")))
-    h11 = _finding(rep.filter(~F.col("is_local")), "H11", "warning", "medium", "performance",
-                   F.format_string("%s is read in %d places", F.col("table_name"), F.col("uses")))
-    h16 = _finding(rep.filter("is_local"), "H16", "warning", F.when(F.col("uses") > 2, "high").otherwise("medium"), "performance",
-                   F.format_string("local result %s is used %d times", F.col("table_name"), F.col("uses")))
-    return h8.unionByName(h9).unionByName(h11).unionByName(h16)
+    return apply_rules(with_groups(stmts.select("doc_id", "path", "stmt_idx", "masked")), [], _group_structs())
+
+
+def duplicate_subqueries(stmts: DataFrame) -> DataFrame:
+    """H9: identical normalised subqueries longer than 15 characters."""
+    rows = with_groups(stmts.select("doc_id", "path", "stmt_idx", "masked")).select("doc_id", "path", "stmt_idx", F.explode("_copies").alias("c"))
+    return rows.select("doc_id", "path", "stmt_idx", F.col("c.value").alias("normalized"), F.col("c.n").cast("long").alias("n"))
 
 
 def dead_columns(stmts: DataFrame) -> DataFrame:
@@ -212,11 +216,14 @@ FOREIGN_SYNTAX = [
 MERGE_DIALECTS = "TransactSQL Oracle Snowflake BigQuery Teradata".split()  # fixed values
 
 
-def dialect_findings(stmts: DataFrame, dialect: str = "MySQL") -> DataFrame:
-    """H31, H32, H36: syntax of another dialect, MERGE portability, declared against detected dialect."""
-    keep = ("doc_id", "path", "stmt_idx", "sql")
-    marks = S.dialect_markers(stmts, keep)
-    found = S.detected_dialect(marks, keep).select("doc_id", "stmt_idx", "dialect")
+def with_dialect(frame: DataFrame) -> DataFrame:
+    """The frame with a column per syntax marker and the dialect that they speak for."""
+    marks = S.dialect_markers(frame, tuple(frame.columns))
+    return S.detected_dialect(marks, tuple(marks.columns))
+
+
+def dialect_rules(dialect: str = "MySQL") -> list[Rule]:
+    """H31, H32, H36 over `with_dialect`."""
     any_of = lambda names: F.greatest(*[F.col(n).cast("int") for n in names.split()]) == 1 if len(names.split()) > 1 else F.col(names)
     rules = [Rule("H31", t, s, "best-practice", f"{shown} syntax detected", any_of(names)) for _, names, fine, t, s, shown in FOREIGN_SYNTAX if dialect not in fine.split()]
     unnest_free = dialect in ("BigQuery", "PostgreSQL", "Trino", "Athena")
@@ -229,9 +236,13 @@ def dialect_findings(stmts: DataFrame, dialect: str = "MySQL") -> DataFrame:
     ok = dialect in MERGE_DIALECTS
     rules.append(Rule("H32", "info" if ok else "warning", "low" if ok else "medium", "best-practice", "MERGE statement" if ok else "MERGE statement detected", F.col("merge_into")))
     declared = F.coalesce(S.declared_dialect(F.col("sql")), F.lit(dialect))
-    detected = S.detected_dialect(marks, keep).filter(F.col("dialect").isNotNull() & (F.col("dialect") != declared))
-    h36 = _finding(detected, "H36", "info", F.lit(None).cast("string"), "best-practice", F.concat(F.lit("Detected dialect: "), F.col("dialect"), F.lit(", declared: "), declared))
-    return apply_rules(marks, rules).unionByName(h36)
+    rules.append(Rule("H36", "info", None, "best-practice", F.concat(F.lit("Detected dialect: "), F.col("dialect"), F.lit(", declared: "), declared), F.col("dialect").isNotNull() & (F.col("dialect") != declared)))
+    return rules
+
+
+def dialect_findings(stmts: DataFrame, dialect: str = "MySQL") -> DataFrame:
+    """H31, H32, H36: syntax of another dialect, MERGE portability, declared against detected dialect."""
+    return apply_rules(with_dialect(stmts.select("doc_id", "path", "stmt_idx", "sql")), dialect_rules(dialect))
 
 
 def limit_findings(violations: DataFrame) -> DataFrame:
@@ -242,8 +253,6 @@ def limit_findings(violations: DataFrame) -> DataFrame:
 
 
 def findings(stmts: DataFrame, extra_rules: list[Rule] | None = None, dialect: str = "MySQL") -> DataFrame:
-    """All findings of the text, grouping and dialect rules, with the user's own rules on top."""
-    rules = statement_rules() + list(extra_rules or [])
-    return apply_rules(features(stmts), rules).unionByName(grouped_findings(stmts)).unionByName(dialect_findings(stmts, dialect))
-
-
+    """All findings of the text, counting and dialect rules, with the user's own rules on top: one pass over each text, nothing is shuffled."""
+    frame = with_dialect(with_groups(features(stmts)))
+    return apply_rules(frame, statement_rules() + dialect_rules(dialect) + list(extra_rules or []), _group_structs())

@@ -99,3 +99,22 @@ def test_filter_sources(corpus):
     from sqlstrata.plans import opdag as O
     rows = O.filter_tables(S.statements(corpus("SELECT a FROM t1 JOIN t2 ON 1=1 JOIN t3 ON 1=1 WHERE a = 1 GROUP BY a HAVING SUM(b) > 1")))
     assert {(r["filter"], r.table_name) for r in rows.collect()} == {(f, t) for f in ("WHERE", "HAVING") for t in ("t1", "t2", "t3")}
+
+
+def test_findings_are_one_pass(corpus):
+    from sqlstrata.operators import rules as H
+    s = S.statements(corpus("WITH hub AS (SELECT id FROM t1) SELECT a.id FROM hub a JOIN hub b ON b.id = a.id JOIN t2 ON 1=1 JOIN t2 z ON 1=1 WHERE a.v IN (SELECT v FROM t3 WHERE k = 1) OR a.w IN (SELECT v FROM t3 WHERE k = 1)"))
+    rows = H.findings(s)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    found = {(r.rule_id, r.message) for r in rows.collect()}
+    assert {("H16", "local result hub is used 2 times"), ("H11", "t2 is read in 2 places"), ("H11", "t3 is read in 2 places"), ("H8", "2 subqueries of one shape")} <= found
+    assert not any(r == "H9" for r, _ in found)
+
+
+def test_repeated_values_against_a_counter(spark):
+    from collections import Counter
+
+    from sqlstrata.operators import rules as H
+    data = [[], ["a"], ["b", "a", "b"], list("mississippi")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(data)], "i int, v array<string>").select("i", H.repeated(F.col("v")).alias("r"))
+    assert all({(x["value"], x["n"]) for x in r.r} == {(k, n) for k, n in Counter(data[r.i]).items() if n > 1} for r in df.collect())
