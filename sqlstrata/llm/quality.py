@@ -13,6 +13,7 @@ class and round, since one task fits the models and hands the driver only their
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,38 +90,59 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), words, meta, pa.array(same, pa.int64())], schema=schema)
 
 
+BLOCK = 1 << 19  # features that are worked on at once
+
+
 class Rows:
-    """Sparse 0/1 rows, for fitting and scoring."""
+    """Sparse 0/1 rows, for fitting and scoring. The ids stay in the Arrow buffer; a block of rows at a time is spread out."""
 
     def __init__(self, lists: pa.Array):
         if isinstance(lists, pa.ChunkedArray):
             lists = lists.combine_chunks()
         offs = np.asarray(lists.offsets, np.int64)
-        self.ids = np.asarray(lists.values, np.int64)[offs[0]:offs[-1]] if len(offs) else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(len(lists)), np.diff(offs))
+        self.ids = np.asarray(lists.values)[offs[0]:offs[-1]] if len(offs) else np.zeros(0, np.int32)
+        self.offs = offs - offs[0] if len(offs) else np.zeros(1, np.int64)
         self.n = len(lists)
 
+    def blocks(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Slices of rows, with the ids of their features and the row within the slice of each."""
+        i = 0
+        while i < self.n:
+            j = max(i + 1, int(np.searchsorted(self.offs, self.offs[i] + BLOCK, "right")) - 1)
+            yield slice(i, j), self.ids[self.offs[i]:self.offs[j]].astype(np.int64), np.repeat(np.arange(j - i), np.diff(self.offs[i:j + 1]))
+            i = j
+
     def score(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.ids], self.n) + w[-1]
+        out = np.empty(self.n)
+        for s, ids, row in self.blocks():
+            out[s] = np.bincount(row, w[ids], s.stop - s.start)
+        return out + w[-1]
 
 
 def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, size: int, steps: int = 150, least: int = 4, l2: float = 3.0) -> np.ndarray:
     """Logistic weights, the last is the intercept. Each feature is scaled by its log ratio of document shares in the two classes
     (one in fewer than `least` documents by 0), which lets telling words count at once; then accelerated gradient steps with a ridge."""
-    seen = [np.bincount(rows.ids, (weight * (y == c))[rows.row], size) for c in (0, 1)]
+    seen = [np.zeros(size), np.zeros(size)]
+    for s, ids, row in rows.blocks():
+        for c in (0, 1):
+            seen[c] += np.bincount(ids, (weight[s] * (y[s] == c))[row], size)
     total = [max(1e-9, (weight * (y == c)).sum()) for c in (0, 1)]
     ratio = np.log((seen[1] + 1) / (total[1] + 2)) - np.log((seen[0] + 1) / (total[0] + 2))
     ratio[seen[0] + seen[1] < least] = 0
-    x = ratio[rows.ids]
-    top = max(1e-9, np.bincount(rows.row, x * x, rows.n).max())
+    top = 1e-9
+    for s, ids, row in rows.blocks():
+        top = max(top, np.bincount(row, ratio[ids] ** 2, s.stop - s.start).max())
     rate = 1 / (0.25 * (top + 1) * total[0] + 0.25 * (top + 1) * total[1] + l2)
     v = np.r_[np.zeros(size), np.log(total[1] / total[0])]
     ahead, t = v.copy(), 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows.row, ahead[rows.ids] * x, rows.n) + ahead[-1], -30, 30)))
-        err = (p - y) * weight
-        g = np.r_[np.bincount(rows.ids, err[rows.row] * x, size), err.sum()]
-        g[:-1] += l2 * ahead[:-1]
+        scaled, g = ahead[:-1] * ratio, np.zeros(size + 1)
+        for s, ids, row in rows.blocks():
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, scaled[ids], s.stop - s.start) + ahead[-1], -30, 30)))
+            err = (p - y[s]) * weight[s]
+            g[:-1] += np.bincount(ids, err[row], size)
+            g[-1] += err.sum()
+        g[:-1] = g[:-1] * ratio + l2 * ahead[:-1]
         new, t2 = ahead - rate * g, (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead = new + (t - 1) / t2 * (new - v)
         v, t = new, t2
