@@ -169,8 +169,8 @@ def display_name(name: Column, schema: Column) -> Column:
     return F.concat_ws(".", F.nullif(schema, F.lit("")), name)
 
 
-# A name of any number of parts, each quoted or not: group 1 the qualifier with its dots and quotes, group 2 the last part.
-TABLE_NAME = r"""((?:["'`\[]?\w[\w$]*["'`\]]?\.)*+)["'`\[]?(\w+)["'`\]]?"""
+# A name of any number of parts, each quoted or not, blanks inside quotes too: group 1 the qualifier with its dots and quotes, group 2 the last part.
+TABLE_NAME = r"""((?:(?:"[^"]+"|`[^`]+`|\[[^\]]+\]|'\w+'|\w[\w$]*+)\.)*+)["'`\[]?((?<=["`\[])[^"`\[\]\n]+(?=["`\]])|\w+)["'`\]]?"""
 QUOTES = r"""["'`\[\]]"""
 
 

@@ -32,9 +32,29 @@ def _ref_type(context: Column) -> Column:
 _PARSE = rf"(?is)^{_ONE_REF_EXTENDED}\s+{_NAME}(?:\s.*)?$"
 
 
+_ELEMENT = rf"(?:\({T.BALANCED}\)|{_NAME.replace('((?:(?:', '(?:(?:(?:', 1).replace('((?<=', '(?:(?<=', 1)}){_ALIAS.replace('(\\w+)', '\\w+')}"
+_LIST = rf"(?i)\b(?:FROM|USING)\s+{_ELEMENT}(?:\s*,\s*(?:LATERAL\s+)?{_ELEMENT}(?![\w$(]|\s*\())+"
+
+
+def _listed(text: Column) -> Column:
+    """Tables behind the first one of a comma list, as the texts `FROM table [alias]`."""
+    tails = F.transform(T.rx_all(text, _LIST, 0), lambda l: F.slice(T.split_top_level(l), 2, F.length(l)))
+    return F.transform(F.filter(F.flatten(tails), lambda e: ~e.rlike(r"(?i)^(?:LATERAL\b|\()")), lambda e: F.concat(F.lit("FROM "), e))
+
+
 def ref_matches(clean: Column, extended: bool = False) -> Column:
-    """Array of the texts `KEYWORD [schema.]table [alias]` of a statement, in order of appearance."""
-    return T.rx_all(without_function_from(clean), rf"(?i)\b{_ONE_REF_EXTENDED if extended else _ONE_REF}\s+{_NAME}{_ALIAS}", 0)
+    """Array of the texts `KEYWORD [schema.]table [alias]` of a statement, in order of appearance, then those behind a comma as `FROM table [alias]`.
+
+    USING names sources where the statement is a DELETE (with `extended`, in any).
+    """
+    one = rf"(?i)\b{_ONE_REF_EXTENDED if extended else _ONE_REF}\s+{_NAME}{_ALIAS}"
+
+    def found(text: Column) -> Column:
+        plain = T.rx_all(text, one, 0)
+        if not extended:
+            plain = F.when(text.rlike(r"(?i)^\s*DELETE\b"), T.rx_all(text, one.replace("|JOIN)", "|JOIN|USING)"), 0)).otherwise(plain)
+        return F.when(text.contains(","), F.concat(plain, _listed(text))).otherwise(plain)
+    return F.get(F.transform(F.array(without_function_from(clean)), found), F.lit(0))
 
 
 def with_delete_sources(matches: Column) -> Column:
@@ -91,7 +111,7 @@ def _explode_matches(stmts: DataFrame, extended: bool, dedupe: bool, keep: tuple
 
 
 def _finish(rows: DataFrame) -> DataFrame:
-    position = F.expr("instr(lower(sql), lower(_m))")
+    position = F.expr("coalesce(nullif(instr(lower(sql), lower(_m)), 0), instr(lower(sql), lower(substring(_m, 6))))")  # behind a comma the text lacks its FROM
     kind = _ref_type(F.col("context"))
     return rows.select(
         "doc_id", "path", "stmt_idx", "schema_name", "table_name", T.qualified_key(F.col("table_name"), F.col("schema_name")).alias("table_key"),

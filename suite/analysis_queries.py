@@ -17,6 +17,7 @@ _COUNT = lambda p: f"len(regexp_extract_all(masked, '(?i){p}', 0))"
 CTES["uses"] = r"""SELECT doc_id, path, stmt_idx, lower(n) AS table_name FROM (
     SELECT doc_id, path, stmt_idx, unnest(regexp_extract_all(txt, '(?i)\b(?:FROM|JOIN|USING|UPDATE|INTO)\s+(?:\w+\.)?["''`]?(\w+)', 1)) AS n FROM reftext
     UNION ALL SELECT doc_id, path, stmt_idx, unnest(regexp_extract_all(txt, '(?i)\bOVERWRITE\s+TABLE\s+(?:\w+\.)?["''`]?(\w+)', 1)) FROM reftext
+    UNION ALL SELECT doc_id, path, stmt_idx, unnest(regexp_extract_all(txt, '(?i)\bFROM\s+\w+\s*,\s*(\w+)', 1)) FROM reftext
     UNION ALL SELECT doc_id, path, stmt_idx, unnest(regexp_extract_all(txt, '(?i)\bDELETE\s+FROM\s+(?:\w+\.)?["''`]?(\w+)', 1)) FROM reftext)
     WHERE lower(n) NOT IN (SELECT w FROM reserved) AND len(n) >= 2"""
 from sqlstrata.functions import patterns as P  # noqa: E402

@@ -70,7 +70,7 @@ def _ref_branch(context: str, keyword: str, kind: str) -> str:
 
 
 _PLAIN = [("INSERT INTO", r"INSERT\s+INTO", "insert"), ("UPDATE", "UPDATE", "update"), ("DELETE FROM", r"DELETE\s+FROM", "delete"),
-          ("FROM", "FROM", "select"), ("JOIN", "JOIN", "join")]
+          ("FROM", "FROM", "select"), ("JOIN", "JOIN", "join"), ("FROM", r"FROM\s+\w+\s*,", "select"), ("USING", r"DELETE\s+FROM\s+\w+\s+USING", "select")]
 _MORE = [("INSERT OVERWRITE TABLE", r"INSERT\s+OVERWRITE\s+TABLE", "insert"), ("MERGE INTO", r"MERGE\s+INTO", "merge"), ("USING", "USING", "select")]
 
 

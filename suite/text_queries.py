@@ -275,7 +275,7 @@ _ITEMS = [
     (8, 0, "id", "direct", "", ""), (9, 0, "id", "direct", "", ""), (9, 1, "rn", "window", "", ""), (10, 0, "id", "direct", "t", "a"), (10, 1, "v", "direct", "t", "b"), (10, 2, "v", "direct", "t", "c"),
     (11, 0, "un", "scalar", "", ""), (11, 1, "v1", "arithmetic", "", ""), (11, 2, "vi", "cast", "", ""), (11, 3, "cs", "case", "", ""), (11, 4, "seven", "literal", "", ""), (11, 5, "fg", "concat", "", ""),
     (12, 0, "region", "direct", "raw.sales", ""), (12, 1, "product", "direct", "raw.sales", ""), (12, 2, "s", "aggregate", "", ""), (13, 0, "id", "direct", "t", "a"), (13, 1, "rn", "window", "", ""),
-    (14, 0, "id", "direct", "t", "a"), (15, 0, "mx", "subquery", "", ""), (15, 1, "id", "direct", "t", "a"), (21, 0, "id", "direct", "t", "a"), (21, 1, "v", "direct", "t", "a"), (25, 0, "id", "direct", "t", "a"),
+    (14, 0, "id", "direct", "t", "a"), (15, 0, "mx", "subquery", "", ""), (15, 1, "id", "direct", "t", "a"), (21, 0, "id", "direct", "t", "a"), (21, 1, "v", "direct", "t", "a"), (25, 0, "id", "direct", "", ""),
     *[(26, i, f"c{i + 1}", "direct", "t", "a") for i in range(6)], (26, 6, "n", "aggregate", "", ""), (27, 0, "y", "scalar", "", ""), (28, 0, "nm", "complex", "", ""), (29, 0, "id", "direct", "", ""), (30, 0, "id", "direct", "t", "a"),
     (31, 0, "id", "direct", "", ""), (33, 0, "id", "direct", "", ""), (36, 0, "id", "direct", "t", "a"), (36, 1, "v", "direct", "t", "a"), (37, 0, "id", "direct", "t", "a"), (38, 0, "id", "direct", "t", "a"), (39, 0, "id", "direct", "t", "a"),
     (40, 0, "id", "direct", "", ""), (40, 1, "amt", "scalar", "", ""), (41, 0, "amt", "aggregate", "", ""), (41, 1, "region", "direct", "raw.sales", ""), (42, 0, "id", "direct", "t", "a"), (43, 0, "id", "direct", "base", ""),

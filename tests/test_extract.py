@@ -13,6 +13,8 @@ def refs(corpus, text, **kw):
 @pytest.mark.parametrize("text, want", [
     ("SELECT * FROM a1 x JOIN s.b1 AS y ON x.i = y.i", [("a1", "select"), ("s.b1", "join")]), ("INSERT INTO tgt SELECT i FROM src", [("src", "select"), ("tgt", "insert")]),
     ("DELETE FROM tt WHERE i IN (SELECT i FROM uu)", [("tt", "delete"), ("tt", "select"), ("uu", "select")]), ("UPDATE tt SET a = 1", [("tt", "update")]),
+    ("SELECT 1 FROM taa, tbb x, raw.tcc AS y, (SELECT i FROM tdd) q WHERE k IN (1, 2)", [("raw.tcc", "select"), ("taa", "select"), ("tbb", "select"), ("tdd", "select")]),
+    ('SELECT 1 FROM "my db"."my table" q JOIN [dbo].[a b] z ON 1=1', [("dbo.a b", "join"), ("my db.my table", "select")]), ("SELECT 1 FROM tzz, UNNEST(arr) u", [("tzz", "select")]),
     ("SELECT EXTRACT(YEAR FROM d) FROM tt", [("tt", "select")]), ("WITH c1 AS (SELECT i FROM base1) SELECT * FROM c1", [("base1", "select")]), ("SELECT * FROM (SELECT i FROM tt) AS q1 JOIN q1 ON 1=1", [("tt", "select")]),
     ("SELECT 1 FROM dual", []), ("SELECT * FROM tt -- FROM uu", [("tt", "select")]), ("SELECT * FROM tt; SELECT * FROM tt", [("tt", "select"), ("tt", "select")]), ("SELECT i FROM tt UNION SELECT i FROM TT", [("tt", "select")]),
 ])
