@@ -7,7 +7,7 @@ view's next model. None is taken twice, and none of which the views are confiden
 again, and a combination of the two judges every document.
 
 Bounds, all parameters: at most `max_labelled` labelled documents are fitted on, and of the confident ones the `exchange` most confident per view,
-class and round, since one task fits the models and hands the driver only their weights; models have 2**18 and 2**12 weights. Scoring, and the search for the most confident documents, cover all documents.
+class and round, since the driver fits the models; it spreads out a block of rows at a time, and models have 2**18 and 2**12 weights. Scoring, and the search for the most confident documents, cover all documents.
 """
 
 from __future__ import annotations
@@ -185,9 +185,8 @@ class Model:
         return tuple(1 / (1 + np.exp(-x)) for x in (*logits, both))
 
 
-def _fitted(batches):
-    """All labelled and pseudo-labelled rows to the numbers of a `Model`. A labelled row in HELD_OUT calibrates, if both classes are on both sides."""
-    table = pa.Table.from_batches(batches)
+def fitted(table: pa.Table) -> Model:
+    """A model of all labelled and pseudo-labelled rows. A labelled row in HELD_OUT calibrates, if both classes are on both sides."""
     y = table.column("label").to_numpy().astype(float)
     view = table.column("view").to_numpy(zero_copy_only=False).astype(float)  # nan: labelled
     labelled = np.isnan(view)
@@ -204,8 +203,7 @@ def _fitted(batches):
     raw = model.raw(table.column("words").filter(pa.array(test)), table.column("meta").filter(pa.array(test)))
     model.each = [calibrate(raw[:, [i]], y[test]) for i in (0, 1)]
     model.both = calibrate(np.clip(np.c_[model.logits(raw)].T, -30, 30), y[test])
-    numbers = {"text": weights[0], "meta": weights[1], "each0": model.each[0], "each1": model.each[1], "both": model.both}
-    yield pa.RecordBatch.from_arrays([pa.array(list(numbers)), pa.array(list(numbers.values()), pa.list_(pa.float64()))], names=["name", "numbers"])
+    return model
 
 
 def _scored(model: Model):
@@ -241,17 +239,8 @@ def train(found: DataFrame, labels: DataFrame, rounds: int = ROUNDS, exchange: i
     known = C.stored(known.select("doc_id", "words", "meta", F.col("good").alias("label"), F.lit(None).cast("int").alias("view")), "known")
     if known.select("label").distinct().count() < 2:
         return None
-    rows = known  # and the pseudo-labelled rows of each round, with the view that learns from them
-
-    def next_model() -> Model:
-        """Fitted on all labels so far in one task, each view and their combination calibrated on rows kept out."""
-        got = rows.coalesce(1).mapInArrow(_fitted, "name string, numbers array<double>").toArrow()
-        part = {n: np.asarray(v.values, np.float64) for n, v in zip(got.column("name").to_pylist(), got.column("numbers"))}
-        model = Model(part["text"], part["meta"])
-        model.each, model.both = [part["each0"], part["each1"]], part["both"]
-        return model
-
-    model = next_model()
+    rows = known.toArrow()  # and the pseudo-labelled rows of each round, with the view that learns from them
+    model = fitted(rows)
     exchanged: list[list[tuple[int, int, int]]] = []
     taken: set[int] = set()
     least = float(np.log(confident / (1 - confident)))
@@ -276,9 +265,11 @@ def train(found: DataFrame, labels: DataFrame, rounds: int = ROUNDS, exchange: i
         ids = spark.createDataFrame([(i,) for i in picked], "doc_id bigint")  # at most 4 * exchange rows
         got = found.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "words", "meta")
         want = spark.createDataFrame([(d, label, v) for d, of in picked.items() for v, label in of], "doc_id bigint, label int, view int")
-        rows = rows.unionByName(C.stored(got.join(F.broadcast(want), "doc_id"), "pseudo-labelled"))
-        model = next_model()
+        rows = pa.concat_tables([rows, got.join(F.broadcast(want), "doc_id").select(*rows.column_names).toArrow().cast(rows.schema)])
+        model = fitted(rows)
     model.exchanged = exchanged
+    del rows
+    pa.default_memory_pool().release_unused()
     return model
 
 
