@@ -34,7 +34,7 @@ _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 _WITH_IDS = _PIECE + ", ids array<int>"
-ROOM = 4 << 20  # ids in one batch of pieces
+ROOM = 1 << 20  # ids in one batch of pieces, and characters that are cut to words at once
 
 
 class WordTokenizer:
@@ -117,7 +117,7 @@ def _fill(path: str, capacity: int):
             while at < len(ids):
                 to, size = at, 0
                 part = []
-                while to < len(ids) and (not part or size < 4 << 20):
+                while to < len(ids) and (not part or size < ROOM):
                     t = texts[to].as_py() or ""
                     part.append(t)
                     size += len(t)
