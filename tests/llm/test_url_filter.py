@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -28,29 +29,29 @@ def frame(spark, urls):
     return spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)], "page_id long, url string, host string, path string")
 
 
-def model(counts):
-    """The smoothed tables, count by count."""
-    below = {0: (1 / 32, 1 / 32)}
-    for k in range(1, U.ORDER + 2):
-        size, table = 32**k, {}
-        n = {}
-        for code, ar in counts.items():
-            got = n.setdefault(code % size, [0, 0])
-            got[0] += ar[0]
-            got[1] += ar[1]
-        ctx = {}
-        for code, ar in n.items():
-            c = ctx.setdefault(code // 32, [[0, 0], [0, 0]])
-            for i in (0, 1):
-                c[i][0] += ar[i]
-                c[i][1] += ar[i] > 0
-        table = {}
-        for code in range(size) if k < 3 else {c % size for c in counts}:
-            low = below[code % (size // 32)]
-            c = ctx.get(code // 32, [[0, 0], [0, 0]])
-            table[code] = tuple((n.get(code, (0, 0))[i] + c[i][1] * low[i]) / (c[i][0] + c[i][1]) if c[i][0] >= U.LEAST else low[i] for i in (0, 1))
-        below = table
-    return below
+def runs(url):
+    text = U.BEFORE * U.ORDER + url + U.END
+    return [text[i:i + U.ORDER + 1] for i in range(len(url) + 1)]
+
+
+def model(urls, every):
+    """Probability of the last character of a run, from its definition: `urls` train, `every` names the characters there are."""
+    n, after = Counter(), {}
+    for run in (r for u in urls for r in runs(u)):
+        for k in range(U.ORDER + 1):
+            n[run[-k - 1:]] += 1
+            after.setdefault((k, run[-k - 1:-1]), []).append(run[-1])
+    symbols = {r[-1] for u in every for r in runs(u)}
+
+    def p(run):
+        out = 1 / len(symbols)
+        for k in range(U.ORDER + 1):
+            seen = after.get((k, run[-k - 1:-1]), [])
+            if len(seen) >= U.LEAST:
+                out = (n[run[-k - 1:]] + len(set(seen)) * out) / (len(seen) + len(set(seen)))
+        return out
+
+    return p
 
 
 def test_rules_and_parts(spark):
@@ -58,14 +59,35 @@ def test_rules_and_parts(spark):
     assert got == [(*host_path(u), rule(*host_path(u))[0]) for u in URLS]
 
 
-def test_smoothed_table_is_a_distribution_and_matches(spark):
-    counts = {1 * 32**3 + 2 * 32**2 + 3 * 32 + 4: (3, 0), 1 * 32**3 + 2 * 32**2 + 3 * 32 + 5: (1, 2), 9 * 32**3 + 2 * 32**2 + 3 * 32 + 5: (0, 4), 7: (5, 1)}
-    grams = spark.createDataFrame([(c, a, r) for c, (a, r) in counts.items()], "code long, a long, r long")
-    table = U.log_ratios(grams)
-    want = model(counts)
-    got = {r["code"]: r["ratio"] for r in table.where(F.col("code").isin(list(want))).collect()}
-    assert all(math.isclose(got[c], math.log(a / r), rel_tol=1e-9, abs_tol=1e-12) for c, (a, r) in want.items())
-    assert table.count() == 32**4
+LABELLED = [(f"http://w{i % 9}.net/de/{i * 37 % 400}", "allow") for i in range(40)] + [(f"https://v{i % 5}.org/es/{i * 53 % 900}é", "block") for i in range(30)]
+
+
+def test_scores_match_the_definition(spark, monkeypatch):
+    rows = [(i, -i, u, v, i % 6 == 0) for i, (u, v) in enumerate(dict(LABELLED).items())] + [(900, 0, "x" * 300, None, None), (901, 0, "", None, None), (902, 0, "http://\U0001f600.net", None, None)]
+    texts = spark.createDataFrame(rows, "k1 long, k2 long, url string, ruled string, held boolean")
+    every = [r[2] for r in rows]
+    pa, pr = (model([u for _, _, u, v, held in rows if v == kind and not held], every) for kind in ("allow", "block"))
+    want = {k: sum(math.log(pa(r) / pr(r)) for r in runs(u)) / len(runs(u)) for k, _, u, _, _ in rows}
+    ratios = U.log_ratios(U.counted(texts))
+    for often in (U.FREQUENT, 40, 0):  # all runs broadcast, some, none
+        monkeypatch.setattr(U, "FREQUENT", often)
+        got = {r["k1"]: r["score"] for r in U.scored(texts, ratios).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-6) for k in want)
+
+
+def test_probabilities_add_up_and_the_table_grows(spark):
+    urls = [u for u, _ in LABELLED]
+    p = model(urls, urls)
+    symbols = {r[-1] for u in urls for r in runs(u)}
+    assert math.isclose(sum(p("/net" + c) for c in symbols), 1) and math.isclose(sum(p("ZZZZ" + c) for c in symbols), 1)
+    count = lambda us: U.counted(spark.createDataFrame([(u, "allow", False) for u in us], "url string, ruled string, held boolean")).count()
+    assert count(urls) == len({r for u in urls for r in runs(u)}) > count(urls[:20])
+
+
+def test_digits_query_and_other_letters_tell_apart(spark):
+    same = ["http://q.info/1", "http://q.info/2", "http://q.info/é", "http://q.info/1?a"]
+    rows = U.judge(frame(spark, [u for u, _ in LABELLED] + [f"http://n{i}.net/de/1?a" for i in range(30)] + same)).where("page_id >= 100").collect()
+    assert len(rows) == 4 and len({r["score"] for r in rows}) == 4
 
 
 def test_ratio_tells_kinds_apart(spark):
@@ -87,9 +109,14 @@ def test_no_python_in_the_plan(spark):
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
 
 
-def test_codes(spark):
-    texts = ["ab1", "", "É/x", "a" * 60_000]
-    got = [r["codes"] for r in U.with_codes(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string"), F.col("t")).orderBy("i").collect()]
-    s = U.SYMBOLS.index
-    assert got[0] == [s("a"), s("a") * 32 + s("b"), (s("a") * 32 + s("b")) * 32 + s("0"), ((s("a") * 32 + s("b")) * 32 + s("0")) * 32]
-    assert got[2][0] == 0 and len(got[2]) == 4 and len(got[3]) == 60_001 and all(len(g) for g in got)
+def test_runs(spark):
+    texts = ["ab", "", "\U0001f600x", "a" * 60_000]
+    got = [r["runs"] for r in U.with_runs(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string"), F.col("t")).orderBy("i").collect()]
+    assert got == [runs(t) for t in texts]
+
+
+def test_repeated_urls_count_once(spark):
+    few = [u for u, _ in LABELLED] + ["http://q.info/de/", "http://q.info/es/"]
+    once = {r["host"] + r["path"]: r["score"] for r in U.judge(frame(spark, few)).collect()}
+    more = U.judge(frame(spark, few + few[:1] * 50 + few[-1:] * 50)).collect()
+    assert len(more) == len(few) + 100 and all(r["score"] == once[r["host"] + r["path"]] for r in more)
