@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sqlstrata.operators import compare as K, definitions as D, refs as R, statements as S
+from sqlstrata.operators import definitions as D, refs as R, statements as S
 
 CHANGES = "path string, change_type string, mtime timestamp, sql string"
 FILES = "path string, content_hash string"
@@ -20,9 +20,14 @@ def read_changes(spark: SparkSession, folder: str, files_per_batch: int | None =
     return reader.parquet(folder)
 
 
+def _order(kind: Column, mtime: Column, content_hash: Column) -> Column:
+    """What decides between two changes of a path, whatever batch brings them: time (none is the oldest), then a delete, then the greater hash."""
+    return F.struct(F.coalesce(mtime, F.timestamp_seconds(F.lit(0))).alias("t"), kind.alias("d"), F.coalesce(content_hash, F.lit("")).alias("h"))
+
+
 def latest(changes: DataFrame) -> DataFrame:
     """Last change of each path, by time; a delete wins over a write of the same instant."""
-    last = F.max_by(F.struct("change_type", "mtime", "sql"), F.struct("mtime", (F.col("change_type") == "delete").alias("_d")))
+    last = F.max_by(F.struct("change_type", "mtime", "sql"), _order(F.col("change_type") == "delete", F.col("mtime"), F.sha2("sql", 256)))
     return changes.groupBy("path").agg(last.alias("c")).select("path", "c.change_type", "c.mtime", "c.sql")
 
 
@@ -36,73 +41,108 @@ def index_of(files: DataFrame) -> dict[str, DataFrame]:
 
 
 TABLES = ("files", "refs", "defs")
-BUCKETS = 64  # the index is cut by path hash; a batch rewrites only the buckets it touches
-POINTER = "batch long, bucket int, version string"
+COMPACT = 16  # so many deltas are merged into a new base
 
+# A batch writes one delta: `files` has a row for each path it changes, with its last change, a tombstone if that deletes it, and the batch that wrote
+# its `refs` and `defs`. A base is a delta of everything. Empty marker files below `log`, one for each finished version, tell which versions count.
 
-def bucket_of(path: str) -> Column:
-    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
 
+def _fs(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
-def _pointer(spark: SparkSession, root: str) -> dict[int, tuple[int, str]]:
-    """Newest (batch, version) of each bucket, at most BUCKETS rows."""
-    if not _exists(spark, f"{root}/pointer"):
-        return {}
-    rows = spark.read.schema(POINTER).parquet(f"{root}/pointer")
-    last = rows.groupBy("bucket").agg(F.max(F.struct("batch", "version")).alias("p")).select("bucket", "p.batch", "p.version")
-    return {r.bucket: (r.batch, r.version) for r in last.collect()}
 
+def _log(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """Finished versions as (batch, "base" or "delta"), oldest first; a batch's delta before the base made of it. At most about 2 * COMPACT entries."""
+    fs, path = _fs(spark, f"{root}/log")
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    found = [(int(n.split(".")[0]), n.split(".")[1]) for n in names if n.endswith((".base", ".delta"))]
+    return sorted(found, key=lambda v: (v[0], v[1] == "base"))
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
+def _live(log: list[tuple[int, str]]) -> list[str]:
+    """Folders of the newest base and the deltas after it."""
+    last = max((i for i, (_, kind) in enumerate(log) if kind == "base"), default=0)
+    return [f"{batch:012d}.{kind}" for batch, kind in log[last:]]
+
+
+def _finish(spark: SparkSession, root: str, version: str) -> None:
+    fs, path = _fs(spark, f"{root}/log/{version}")
+    fs.create(path, True).close()
 
-def _read(spark: SparkSession, root: str, table: str, pointer: dict[int, tuple[int, str]]) -> DataFrame | None:
-    paths = [f"{root}/{version}/{table}/bucket={bucket}" for bucket, (_, version) in pointer.items()]
-    paths = [p for p in paths if _exists(spark, p)]  # a bucket that lost its last path has no folder
-    if not paths:
-        return None
-    return spark.read.parquet(*paths)
+
+def _read(spark: SparkSession, root: str, table: str, versions: list[str]) -> DataFrame:
+    return spark.read.parquet(*[f"{root}/{v}/{table}" for v in versions])
+
+
+def _newest(files: DataFrame) -> DataFrame:
+    """The last row of each path over several versions."""
+    last = F.max_by(F.struct("mtime", "deleted", "content_hash", "rows_in"), _order(F.col("deleted"), F.col("mtime"), F.col("content_hash")))
+    return files.groupBy("path").agg(last.alias("f")).select("path", "f.*")
+
+
+def _current(spark: SparkSession, root: str, versions: list[str]) -> dict[str, DataFrame]:
+    """The merged tables, tombstones and bookkeeping included. Rows of `refs` and `defs` count if the newest row of their path names their batch."""
+    files = _newest(_read(spark, root, "files", versions))
+    shown = files.where("NOT deleted").select("path", "rows_in")
+    return {"files": files} | {t: _read(spark, root, t, versions).join(shown, ["path", "rows_in"], "left_semi") for t in TABLES[1:]}
 
 
 def load_index(spark: SparkSession, root: str) -> dict[str, DataFrame] | None:
-    """The index tables as of the newest pointer rows."""
-    pointer = _pointer(spark, root)
-    if not pointer:
+    """The index tables as of the last finished version; None before the first."""
+    log = _log(spark, root)
+    if not log:
         return None
-    empty = index_of(spark.createDataFrame([], "path string, sql string"))
-    found = {t: _read(spark, root, t, pointer) for t in TABLES}
-    return {t: df if df is not None else empty[t] for t, df in found.items()}
+    now = _current(spark, root, _live(log))
+    return {"files": now["files"].where("NOT deleted").select("path", "content_hash")} | {t: now[t].drop("rows_in") for t in TABLES[1:]}
+
+
+def compact(spark: SparkSession, root: str) -> None:
+    """Merge the live versions into a base, then remove what lies before the last base but one: a reader of the last one keeps its files."""
+    log = _log(spark, root)
+    version = f"{log[-1][0]:012d}.base"
+    for t, df in _current(spark, root, _live(log)).items():
+        df.write.mode("overwrite").parquet(f"{root}/{version}/{t}")
+    _finish(spark, root, version)
+    bases = [i for i, (_, kind) in enumerate(log) if kind == "base"]
+    for batch, kind in log[:bases[-1]] if bases else []:
+        for folder in (f"log/{batch:012d}.{kind}", f"{batch:012d}.{kind}"):  # the marker first: no version counts without its files
+            fs, path = _fs(spark, f"{root}/{folder}")
+            fs.delete(path, True)
 
 
 def apply_batch(root: str):
-    """A `foreachBatch` function: coalesce, drop what is unchanged by hash, rewrite the touched buckets, move their pointers.
+    """A `foreachBatch` function: coalesce, drop what is older than the index knows, write the rest as a delta.
 
-    Old versions stay, so a reader keeps its view, and a batch that is run again after a failure finds its number and does nothing.
+    A change that comes late loses against a newer one of an earlier batch, deletes included. A change without a difference only moves the time
+    of its path. Work per batch goes with the batch: of the index it reads the changed paths' `files` rows. A batch that is run again after a failure
+    finds its number in the log and does nothing, or writes its delta again.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        pointer = _pointer(spark, root)
-        if any(done >= batch_id for done, _ in pointer.values()):
+        log = _log(spark, root)
+        if log and log[-1][0] >= batch_id:
             return
-        change = latest(batch).withColumn("content_hash", F.when(F.col("change_type") != "delete", F.sha2("sql", 256)))
-        known = _read(spark, root, "files", pointer)
-        if known is not None:
-            change = change.join(known.select("path", "content_hash"), ["path", "content_hash"], "left_anti")
-        staged = f"{root}/changes/{batch_id}"
-        change.withColumn("bucket", bucket_of("path")).write.mode("overwrite").parquet(staged)
-        change = spark.read.parquet(staged)
-        touched = {r.bucket for r in change.select("bucket").distinct().collect()}  # at most BUCKETS values
-        fresh = index_of(change.filter("change_type <> 'delete'").select("path", "sql"))
-        old = {b: p for b, p in pointer.items() if b in touched}
-        version = f"v{batch_id}"
-        for t in TABLES:
-            before = _read(spark, root, t, old)
-            merged = K.merge_index(before, change, fresh[t]) if before is not None else fresh[t]
-            merged.withColumn("bucket", bucket_of("path")).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{version}/{t}")
-        moved = spark.range(BUCKETS).select(F.lit(batch_id).cast("long").alias("batch"), F.col("id").cast("int").alias("bucket"), F.lit(version).alias("version"))
-        moved.filter(F.col("bucket").isin(sorted(touched) or [-1])).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+        version, deleted = f"{batch_id:012d}.delta", F.col("change_type") == "delete"
+        change = latest(batch).select("path", "mtime", deleted.alias("deleted"), F.when(~deleted, F.sha2("sql", 256)).alias("content_hash"), F.when(~deleted, F.col("sql")).alias("sql"))
+        rows_in = F.lit(batch_id).cast("long")
+        if log:
+            before = _newest(_read(spark, root, "files", _live(log)).join(change.select("path"), "path", "left_semi"))
+            before = before.select("path", _order(F.col("deleted"), F.col("mtime"), F.col("content_hash")).alias("_o"), F.col("content_hash").alias("_h"), F.col("rows_in").alias("_r"))
+            change = change.join(before, "path", "left")
+            change = change.where(F.col("_o").isNull() | (_order(F.col("deleted"), F.col("mtime"), F.col("content_hash")) > F.col("_o")))
+            rows_in = F.when(F.col("_h") == F.col("content_hash"), F.col("_r")).otherwise(rows_in)
+        change.select("path", "mtime", "deleted", "content_hash", rows_in.alias("rows_in"), "sql").write.mode("overwrite").parquet(f"{root}/changes/{batch_id}")
+        change = spark.read.parquet(f"{root}/changes/{batch_id}")
+        change.drop("sql").write.mode("overwrite").parquet(f"{root}/{version}/files")
+        fresh = index_of(change.where(~F.col("deleted") & (F.col("rows_in") == batch_id)).select("path", "sql"))
+        for t in TABLES[1:]:
+            fresh[t].withColumn("rows_in", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{root}/{version}/{t}")
+        _finish(spark, root, version)
+        fs, staged = _fs(spark, f"{root}/changes/{batch_id}")
+        fs.delete(staged, True)
+        if len(_live(log)) >= COMPACT:
+            compact(spark, root)
     return run
 
 
@@ -113,12 +153,14 @@ def maintain_index(changes: DataFrame, root: str, continuous: bool = False, inte
 
 
 def pending_changes(feed: DataFrame, root: str) -> DataFrame:
-    """Paths whose newest change is not in the index yet."""
+    """Paths whose newest change is not in the index yet and makes a difference to it."""
     spark = feed.sparkSession
-    now = latest(feed).withColumn("content_hash", F.when(F.col("change_type") != "delete", F.sha2("sql", 256)))
-    old = load_index(spark, root)
-    if old is None:
+    deleted = F.col("change_type") == "delete"
+    now = latest(feed).select("path", "mtime", deleted.alias("deleted"), F.when(~deleted, F.sha2("sql", 256)).alias("content_hash"))
+    log = _log(spark, root)
+    if not log:
         return now.agg(F.count("*").alias("pending"))
-    j = now.join(old["files"].select("path", F.col("content_hash").alias("_h")), "path", "left")
-    waiting = F.when(F.col("change_type") == "delete", F.col("_h").isNotNull()).otherwise(F.col("_h").isNull() | (F.col("_h") != F.col("content_hash")))
-    return j.agg(F.count_if(waiting).alias("pending"))
+    known = _newest(_read(spark, root, "files", _live(log)))
+    known = known.select("path", _order(F.col("deleted"), F.col("mtime"), F.col("content_hash")).alias("_o"), F.when(~F.col("deleted"), F.col("content_hash")).alias("_h"))
+    newer = F.col("_o").isNull() | (_order(F.col("deleted"), F.col("mtime"), F.col("content_hash")) > F.col("_o"))
+    return now.join(known, "path", "left").agg(F.count_if(newer & ~F.col("content_hash").eqNullSafe(F.col("_h"))).alias("pending"))

@@ -626,6 +626,26 @@ def _(spark, d):
     return W.pending_changes(changes, root)
 
 
+def in_order(spark, d, order):
+    """The parts of the feed by their second, each pushed and applied by itself; the folder of the index, and the feed."""
+    root = scratch_path(spark, "late")
+    parts = feed(spark, d, f"{root}/all")
+    for second in order:
+        parts.filter(F.col("mtime") == F.timestamp_seconds(F.lit(second))).write.mode("append").parquet(f"{root}/feed")
+        W.maintain_index(W.read_changes(spark, f"{root}/feed"), f"{root}/index").awaitTermination()
+    return parts, f"{root}/index"
+
+
+@query("T4_late_changes", "SELECT CAST(doc_id AS VARCHAR) AS path, table_key, ref_type, count(*) AS n FROM brefs WHERE doc_id NOT IN (SELECT doc_id FROM qlog WHERE kind = 3) GROUP BY 1, 2, 3")
+def _(spark, d):
+    return W.load_index(spark, in_order(spark, d, (3, 2, 1))[1])["refs"]
+
+
+@query("T6_pending_before_run", "SELECT count(*) AS pending FROM qlog WHERE kind = 3")
+def _(spark, d):
+    return W.pending_changes(*in_order(spark, d, (1, 2)))
+
+
 @query("T7_stream_equals_batch", "SELECT 0 AS differences")
 def _(spark, d):
     changes, root = maintained(spark, d)

@@ -126,6 +126,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert W.pending_changes(all_changes, root).first()[0] == 0
 
 
+def test_index_takes_changes_in_any_order(spark, tmp_path, monkeypatch):
+    """Every order of batches ends in the index of the newest changes, over compactions too; old versions go."""
+    monkeypatch.setattr(W, "COMPACT", 2)
+    rows = [("a", "create", 1, "SELECT 1 FROM t1"), ("a", "change", 4, "SELECT 1 FROM t1"), ("a", "change", 3, "SELECT 1 FROM t2"), ("b", "create", 1, "CREATE TABLE t1 (a INT)"), ("b", "delete", 2, None),
+            ("c", "delete", 2, None), ("c", "create", 2, "SELECT 1 FROM t3"), ("d", "create", None, "SELECT 1 FROM t4"), ("d", "change", 5, "SELECT 1 FROM t5"), ("e", "create", 1, "SELECT 1 FROM t6")]
+    for k, order in enumerate((rows, rows[::-1], rows[5:] + rows[:5])):
+        root = str(tmp_path / str(k))
+        run = W.apply_batch(root)
+        for i in range(0, len(order), 2):
+            batch = spark.createDataFrame(order[i:i + 2], "path string, change_type string, second long, sql string").select("path", "change_type", F.timestamp_seconds("second").alias("mtime"), "sql")
+            run(batch, i // 2)
+            run(batch, i // 2)  # again, as after a failure
+        got = W.load_index(spark, root)
+        assert sorted((r.path, r.table_key) for r in got["refs"].collect()) == [("a", "t1"), ("d", "t5"), ("e", "t6")]
+        assert sorted(r.path for r in got["files"].collect()) == ["a", "d", "e"] and got["defs"].count() == 0
+        kept = sorted(p.name for p in (tmp_path / str(k)).iterdir() if p.name.startswith("0"))
+        assert sorted(p.name for p in (tmp_path / str(k) / "log").iterdir() if not p.name.startswith(".")) == kept
+        assert "000000000000.delta" not in kept and sum(n.endswith("base") for n in kept) == 2
+
+
 def test_compare(spark):
     left = spark.createDataFrame([("join", "JOIN", 0, "x"), ("filter", "Where", 1, "a")], "kind string, label string, pos int, signature string").withColumn("q", F.lit(1))
     right = spark.createDataFrame([("filter", "where ", 0, "b"), ("sort", "ORDER BY", 1, "x")], "kind string, label string, pos int, signature string").withColumn("q", F.lit(1))
