@@ -19,4 +19,4 @@ QUERIES = {
     "op12_toxicity_lexicon": toxicity.query,
     "op13_source_divergence": divergence.query,
 }
-ORACLES: dict[str, str] = {"op4_jaccard_join": jaccard_join.SQL, "op6_vantage_point_search": vp_search.SQL, "op13_source_divergence": divergence.SQL}
+ORACLES: dict[str, str] = {"op4_jaccard_join": jaccard_join.SQL, "op6_vantage_point_search": vp_search.SQL, "op8_license_scan": license_scan.SQL, "op13_source_divergence": divergence.SQL}

@@ -1,5 +1,8 @@
+import math
 import re
 
+import duckdb
+
 from helpers import awkward, make_docs
 
 from sqlstrata.llm import license_scan as L
@@ -49,3 +52,56 @@ def test_several_notices_in_one_text(spark):
     assert rows[1]["labels"] == "bsd,cc-by-sa" and rows[1]["score"] == 1.0
     assert rows[2]["labels"] == rows[3]["labels"] == ",".join(sorted({label for label, _, _ in L.TEMPLATES}))
     assert all(rows[i]["labels"] == "cc-by-sa" for i, _ in footers)
+
+
+def by_hand(texts, templates, rarest, share):
+    """Labels and score of each text, template by template and offset by offset."""
+    words = [re.findall(L.WORD, (t or "").translate(FOLD)) for t in texts]
+    df = lambda w: sum(w in d for d in words)
+    out = []
+    for d in words:
+        labels, score = set(filter(None, base(" ".join(d))[4].split(","))), 0.0
+        for label, notice, keys in templates:
+            n = notice.split()
+            looked = sorted(set(n), key=lambda w: (df(w), w))[:rarest]
+            v = [math.log((len(texts) + 1) / (df(w) + 1)) + 1e-6 if w in looked else 0.0 for w in n]
+            met = max((sum(v[p] for p in range(len(n)) if 0 <= o + p < len(d) and d[o + p] == n[p]) for o in range(-len(n), len(d))), default=0) / sum(v)
+            if all(f" {k} " in f" {' '.join(d)} " for k in keys) and met >= share - 1e-9:
+                labels, score = labels | {label}, max(score, met)
+        out.append((",".join(sorted(labels)), score))
+    return out
+
+
+def cases():
+    whole = [notice for _, notice, _ in L.TEMPLATES]
+    halves = [" ".join(n.split()[:len(n.split()) // 2]) for n in whole]
+    broken = [" ".join(w if i % 5 else "other" for i, w in enumerate(n.split())) for n in whole]
+    return [t for _, t in awkward() if not t or len(t) < 3000] + TEXTS + whole + halves + broken + [a + " and " + b for a, b in zip(whole, whole[1:])] + ["mozilla public license", "free and unencumbered software", "gnu lesser general public license history"]
+
+
+def test_labels_and_score_by_hand_and_in_sql(spark):
+    texts = cases()
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r for r in L.scan(make_docs(spark, rows)).collect()}
+    want = by_hand(texts, L.TEMPLATES, L.RAREST, L.SHARE)
+    assert [got[i]["labels"] for i, _ in rows] == [x for x, _ in want]
+    assert all(abs(got[i]["score"] - s) < 1e-6 for i, (_, s) in enumerate(want))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    cols = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    assert sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({L.SQL})").fetchall()) == sorted(tuple(r[c] for c in cols) for r in got.values())
+
+
+def test_key_phrases_alone_are_no_notice(spark):
+    for_key = [(i, f"we talk about the {keys[0]} and nothing else here") for i, (_, n, keys) in enumerate(L.TEMPLATES) if len(n.split()) > 12 and len(keys[0].split()) * 2 < len(n.split())]
+    filler = [(i, "we talk about plain things of the kind and nothing else here") for i in range(100, 130)]
+    rows = {r["doc_id"]: r for r in L.scan(make_docs(spark, for_key + filler)).collect()}
+    assert len(for_key) > 8 and all(r["labels"] == r["base_labels"] and r["score"] == 0 for r in rows.values())
+
+
+def test_many_templates_and_other_phrases(spark):
+    many = [(f"l{i}", f"terms of the custom{i} grant word{i} may be used by anyone{i} for purpose{i}", [f"custom{i} grant"]) for i in range(300)]
+    docs = make_docs(spark, [(i, f"see here the {many[i * 29][1]} and more") for i in range(10)] + [(99, "see the bsd terms here")])
+    rows = {r["doc_id"]: r for r in L.scan(docs, phrases=[("bsd terms", "bsd")], templates=many).collect()}
+    assert [rows[i]["labels"] for i in range(10)] == [f"l{i * 29}" for i in range(10)] and rows[99]["n_base"] == 1
