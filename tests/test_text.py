@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sqlstrata import fixtures as X
 from sqlstrata.functions import text as T
 from sqlstrata.operators import statements as S
 
@@ -132,3 +133,19 @@ def test_subquery_of_forty_levels(corpus):
     deep = "SELECT a FROM " + "(SELECT a FROM " * 39 + "t1" + ")" * 39
     rows = I.subquery_rows(S.statements(corpus(f"SELECT ({deep}) AS x FROM t2 WHERE b IN (SELECT c FROM t3)"))).orderBy("position").collect()
     assert [(r.subquery.replace(" ", ""), r.location) for r in rows] == [(deep.replace(" ", ""), "select"), ("SELECTcFROMt3", "where")]
+
+
+def test_one_row_group_with_many_splits_is_dealt_to_all_tasks(spark, tmp_path):
+    spark.range(4000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 97).alias("o_custkey")).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    limits = {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        source = spark.read.parquet(str(tmp_path / "orders.parquet"))
+        assert source.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        rows = X.query_log(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in rows) == 4000 and max(r["count"] for r in rows) < 1000
