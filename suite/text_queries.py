@@ -133,7 +133,7 @@ def _(spark, d):
 
 @query("P8_session_command", """SELECT doc_id, stmt_idx, CASE WHEN clean ILIKE 'use warehouse %' THEN 'USE WAREHOUSE' ELSE 'SET' END AS command FROM stmts WHERE clean ILIKE 'use warehouse %' OR clean ILIKE 'set x =%'""")
 def _(spark, d):
-    return stmts(spark, d).select("doc_id", "stmt_idx", S.session_command(F.col("sql"), F.lit("Snowflake")).alias("command")).filter("command is not null")
+    return T.hold(stmts(spark, d).select("doc_id", "stmt_idx", "sql"), command=S.session_command(F.col("sql"), F.lit("Snowflake"))).drop("sql").filter("command is not null")
 
 
 @query("P9_merged_runs", """SELECT doc_id, unit, n_statements, what, 1 AS start_line FROM qlog JOIN (VALUES (5, 'ddl', 1, 'CREATE VIEW'), (6, 'ddl', 1, 'CREATE TABLE'), (19, 'ddl', 1, 'CREATE EXTERNAL TABLE'), (20, 'ddl', 1, 'CREATE STREAM'),

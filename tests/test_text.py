@@ -149,3 +149,10 @@ def test_one_row_group_with_many_splits_is_dealt_to_all_tasks(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sum(r["count"] for r in rows) == 4000 and max(r["count"] for r in rows) < 1000
+
+
+def test_session_command_strips_a_text_once_for_all_patterns(spark, corpus):
+    log = corpus("-- note\nUSE WAREHOUSE w", "SELECT 1", "/* a */ SET x = 1")
+    rows = log.select("doc_id", S.session_command(F.col("sql"), F.lit("Snowflake")).alias("command"))
+    assert {r.doc_id: r.command for r in rows.collect()} == {0: "USE WAREHOUSE", 1: None, 2: "SET"}
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
