@@ -99,3 +99,14 @@ def test_roots_terminals_neighbourhood(spark):
 def test_empty_graph(spark):
     e = frame(spark, [])
     assert G.closure(e, seed(spark, 1)).count() == 0 and G.components(e).count() == 0 and G.levels(e).count() == 0 and G.cycles(e).count() == 0
+
+
+def test_components_of_long_ways_take_few_rounds(spark, monkeypatch):
+    """A ring of 300 nodes with a way of 60 into it, one out of it, and a pair at the end of that."""
+    ring = [(i, (i + 1) % 300) for i in range(300)]
+    e = frame(spark, ring + [(i, i + 1) for i in range(1000, 1060)] + [(1060, 7), (9, 2000)] + [(i, i + 1) for i in range(2000, 2060)] + [(2060, 2059)])
+    written = []
+    for name in ("cut", "cut_counted"):
+        monkeypatch.setattr(G, name, lambda df, label="step", f=getattr(G, name): written.append(label) or f(df, label))
+    assert {(r.group_id, r.node, r.members) for r in G.cycle_groups(e).collect()} == {(0, i, 300) for i in range(300)} | {(2059, 2059, 2), (2059, 2060, 2)}
+    assert len(written) < 150
