@@ -141,7 +141,9 @@ def repeated(values: Column) -> Column:
         first = F.filter(F.transform(s, lambda v, i: F.when((i == 0) | (F.get(s, i - 1) != v), F.struct(v.alias("value"), i.alias("at")))), lambda x: x.isNotNull())
         ends = F.get(F.transform(F.array(first), lambda f: F.transform(f, lambda x, i: F.struct(x["value"].alias("value"), (F.coalesce(F.get(f, i + 1)["at"], F.size(s)) - x["at"]).alias("n")))), F.lit(0))
         return F.filter(ends, lambda x: x["n"] > 1)
-    return F.get(F.transform(F.array(F.array_sort(values)), runs), F.lit(0))
+    def of(v: Column) -> Column:
+        return F.when(F.size(v) > 1, F.get(F.transform(F.array(F.array_sort(v)), runs), F.lit(0))).otherwise(F.array().cast("array<struct<value:string,n:int>>"))
+    return F.get(F.transform(F.array(values), of), F.lit(0))
 
 
 def with_groups(stmts: DataFrame) -> DataFrame:

@@ -156,3 +156,28 @@ def test_session_command_strips_a_text_once_for_all_patterns(spark, corpus):
     rows = log.select("doc_id", S.session_command(F.col("sql"), F.lit("Snowflake")).alias("command"))
     assert {r.doc_id: r.command for r in rows.collect()} == {0: "USE WAREHOUSE", 1: None, 2: "SET"}
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
+
+
+MARKED = {
+    "snowflake_path_operator": "select v : a from t", "snowflake_named_args": "f(a => 1)", "flatten": "flatten (x)", "three_part_names": "from a.b.c", "qualify": "qualify x", "ilike": "a iLike b",
+    "create_or_replace_table": "create or\nreplace table t", "merge_into": "merge\n into t", "bigquery_struct": "struct(1)", "bigquery_unnest": "unnest (a)", "bigquery_array_type": "array<int>",
+    "postgres_interval": "interval '1 day'", "postgres_type_cast": "a:: int", "postgres_at_time_zone": "at  time zone x", "postgres_dollar_quotes": "$a$ b $a$", "postgres_array_access": "a[1]",
+    "postgres_json_operators": "a ->> b", "mysql_backticks": "from `a`", "mysql_group_by_rollup": "group by a with rollup", "mysql_dual": "from dual", "tsql_apply": "cross apply f", "tsql_top": "top (3)",
+    "pivot": "pivot (x)", "oracle_connect_by": "connect by x", "oracle_rownum": "rownum < 2", "oracle_nvl_decode": "nvl2(a)", "oracle_minus": "minus x", "oracle_sequence": "s. nextval",
+    "oracle_outer_join_operator": "a = b (+)", "oracle_sysdate": "sysdate", "flashback": "as of scn 1", "model_clause": "model rules", "hive_lateral_view": "lateral view e", "hive_distribute_by": "distribute by a",
+    "hive_cluster_by": "cluster by a", "hive_sort_by": "sort by a", "hive_serde": "row format x", "trino_rows_from": "rows from (f)", "trino_map_functions": "map_agg(a)", "external_table": "create external table t",
+    "tbl_properties": "tblproperties (a)", "distkey": "distkey a", "sortkey": "sortkey a", "diststyle": "diststyle even", "redshift_copy": "copy t from x", "redshift_unload": "unload (x)",
+    "sqlite_autoincrement": "autoincrement", "sqlite_glob": "a glob b", "sqlite_pragma": "pragma x", "teradata_volatile_table": "create volatile x", "teradata_multiset_or_set_table": "create set table t",
+    "teradata_primary_index": "primary index (a)", "teradata_hash_functions": "hashamp(a)", "teradata_collect_stats": "collect statistics on t", "teradata_macro": "replace macro m", "teradata_join_index": "create join index i",
+    "teradata_locking": "locking row for x", "teradata_sample": "sample .5", "teradata_sel_shorthand": "; sel a", "teradata_range_n": "case_n (a)", "teradata_normalize": "select normalize a", "teradata_rename_table": "rename view v",
+}
+
+
+def test_markers_are_tried_only_where_their_sign_stands(spark, corpus):
+    from sqlstrata.functions import patterns as P
+    assert set(MARKED) == {n for n, _ in P.DIALECT_MARKERS}
+    rows = S.dialect_markers(corpus(*MARKED.values()).withColumn("stmt_idx", F.lit(0))).collect()
+    names = list(MARKED)
+    assert [names[r.doc_id] for r in rows if not r[names[r.doc_id]]] == []  # a sign never hides a match
+    tried = [n for n, p in P.DIALECT_MARKERS if P.marker_sign(n, p)]
+    assert len(tried) > 50 and all(P.marker_sign(n, p) in MARKED[n].upper() for n, p in P.DIALECT_MARKERS)
