@@ -111,3 +111,11 @@ def test_column_enters_at_its_own_join(corpus):
     rows = {r.output_name: r.steps for r in O.column_ways(S.statements(corpus("SELECT x.a, z.b AS c FROM t1 x JOIN t2 y ON x.i = y.i LEFT JOIN t3 z ON z.i = x.i"))).collect()}
     assert rows["a"] == ["t1:source", "JOIN:joined", "LEFT JOIN:joined", "SELECT:passthrough", "RESULT:passthrough"]
     assert rows["c"] == ["t3:source", "LEFT JOIN:joined", "SELECT:renamed", "RESULT:passthrough"]
+
+
+def test_column_edges_look_through_writing_statements_only(corpus, monkeypatch):
+    taken, real = [], SC.base_inputs
+    monkeypatch.setattr(SC, "base_inputs", lambda s: taken.append(s.count()) or real(s))
+    s = S.statements(corpus("SELECT a FROM t1 WHERE b = 'into'", "insert into t2 select a from t1", "Select b Into t3 From t1"))
+    rows = L.column_edges(s, D.definitions(s)).select("src_column", "dst_id").collect()
+    assert taken == [2] and sorted(map(tuple, rows)) == [("a", "external:t2"), ("b", "table:t3")]
