@@ -3,7 +3,8 @@
 Vectors are dealt into shards of bounded size. Each shard is a tree: a node's vantage point splits its vectors at the median distance into near and
 far ones. A search leaves out a side that the triangle inequality rules out for the k-th best distance so far, times a factor: with factor
 one nothing nearer is ever left out, a smaller factor prunes more. Queries go to every shard in blocks, and the k best of each shard are merged.
-All queries of a block walk a tree together, so each step is one array operation.
+All queries of a block walk a tree together, so each step is one array operation: a matrix product tells, with a bound on its error, which rows of
+a leaf may be near enough, and only their distances are computed component by component.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ class Tree:
 
     def __init__(self, points: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
         self.points, self.ids, self.order = points, ids, np.arange(len(points))
+        self.sizes = np.einsum("ij,ij->i", points, points)
         self.nodes: list[tuple] = []
         if len(points):
             self._build(leaf)
@@ -66,40 +68,70 @@ class Tree:
         """(distances, ids) of the k nearest of each query, nearest first and ties by id; inf and -1 where there are fewer. A row of the query's own id is left out."""
         best = np.full((len(queries), k), np.inf)
         who = np.full((len(queries), k), np.iinfo(np.int64).max)
-
-        def offer(q: np.ndarray, rows: np.ndarray, d: np.ndarray):
-            ids = np.broadcast_to(self.ids[rows], d.shape)
-            d = np.where(ids == own[q][:, None], np.inf, d)
-            better = d.min(axis=1) <= best[q, -1]  # the others' lists stay as they are
-            q, d, ids = q[better], d[better], ids[better]
+        dims = queries.shape[-1]
+        slack = 16 * (dims + 8) * np.finfo(float).eps  # more than a matrix product or a sum of squares can be off, as a share of the two squared lengths
+        q_size = np.einsum("ij,ij->i", queries, queries)
+
+        def squares(q: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Squared distances by one matrix product, and how far they may be off."""
+            both = q_size[q][:, None] + self.sizes[rows]
+            return both - 2 * (queries[q] @ self.points[rows].T), slack * both
+
+        def offer(q: np.ndarray, rows: np.ndarray, near: np.ndarray, off: np.ndarray):
+            """Exact distances of the pairs that may belong to a list; all others are surely farther than its last. A NaN may belong."""
+            last = best[q, -1] ** 2
+            may = ~(near - off > (last * (1 + slack))[:, None]) & (self.ids[rows] != own[q][:, None])
+            better = may.any(axis=1)
+            q, may = q[better], may[better]
             if not len(q):
                 return
+            at, col = np.nonzero(may)
+            d = np.full(may.shape, np.inf)
+            for a in range(0, len(at), 1 << 15):
+                d[at[a:a + (1 << 15)], col[a:a + (1 << 15)]] = distances(queries[q[at[a:a + (1 << 15)]]], self.points[rows[col[a:a + (1 << 15)]]])
+            if d.shape[1] > k:  # of a leaf only what its own k nearest reach, ties included
+                cut = np.partition(d, k - 1, axis=1)[:, k - 1]
+                keep = ((d <= cut[:, None]) & ~np.isinf(d)).any(axis=0)
+                d, rows = d[:, keep], rows[keep]
+            ids = np.broadcast_to(self.ids[rows], d.shape)
             all_d, all_i = np.concatenate([best[q], d], axis=1), np.concatenate([who[q], np.where(np.isinf(d), np.iinfo(np.int64).max, ids)], axis=1)
             o = np.lexsort((all_i, all_d), axis=1)[:, :k]
             best[q], who[q] = np.take_along_axis(all_d, o, 1), np.take_along_axis(all_i, o, 1)
 
-        # (node, queries, least distance that the triangle inequality leaves them)
+        def sides(node: tuple, d: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Least distances that the triangle inequality leaves a query to the near and the far vectors, from its squared distance to the vantage point."""
+            near_most, far_least, far_most = node[1:4]
+            low, high = np.sqrt(np.fmax(0.0, (d - off)[:, 0])), np.sqrt(np.fmax(0.0, (d + off)[:, 0]))
+            return np.fmax(0.0, low - near_most * (1 + slack)), np.fmax(np.fmax(0.0, far_least * (1 - slack) - high), low - far_most * (1 + slack))
+
+        # first each query's own leaf, so that its list starts with near rows
+        home = np.full(len(queries), -1)
+        own_way = [(0, np.arange(len(queries)))] if self.nodes else []
+        while own_way:
+            node, q = own_way.pop()
+            what = self.nodes[node]
+            if what[0] is None:
+                home[q] = node
+                rows = self.order[what[1]:what[2]]
+                offer(q, rows, *squares(q, rows))
+                continue
+            to_near, to_far = sides(what, *squares(q, np.array([what[0]])))
+            own_way += [(child, q[side]) for child, side in ((what[4], to_near <= to_far), (what[5], to_near > to_far)) if side.any()]
+        # then all queries walk the tree together, each without its own leaf: (node, queries, least distance that the triangle inequality leaves them)
         todo = [(0, np.arange(len(queries)), np.zeros(len(queries)))] if self.nodes else []
         while todo:
             node, q, least = todo.pop()
-            open_ = least * (1 - 1e-12) <= best[q, -1] * factor
+            open_ = (least * (1 - 1e-12) <= best[q, -1] * factor) & (home[q] != node)
             q = q[open_]
             if not len(q):
                 continue
             what = self.nodes[node]
-            if what[0] is None:
-                rows = self.order[what[1]:what[2]]
-                for a in range(0, len(q), 512):
-                    part = q[a:a + 512]
-                    offer(part, rows, distances(queries[part][:, None, :], self.points[rows][None]))
-                continue
-            vantage, near_most, far_least, far_most, near, far = what
-            d = distances(queries[q], self.points[vantage])
-            offer(q, np.array([vantage]), d[:, None])
-            to_near, to_far = np.maximum(0.0, d - near_most), np.maximum(0.0, np.maximum(far_least - d, d - far_most))
-            near_first = to_near <= to_far
-            for first, second, side, other in ((near, far, near_first, (to_near, to_far)), (far, near, ~near_first, (to_far, to_near))):
-                todo += [(second, q[side], other[1][side]), (first, q[side], other[0][side])]  # the last is walked next
+            rows = self.order[what[1]:what[2]] if what[0] is None else np.array([what[0]])
+            d, off = squares(q, rows)
+            offer(q, rows, d, off)
+            if what[0] is not None:
+                to_near, to_far = sides(what, d, off)
+                todo += [(what[5], q, to_far), (what[4], q, to_near)]
         return best, np.where(np.isinf(best), -1, who)
 
 

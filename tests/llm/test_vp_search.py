@@ -44,3 +44,36 @@ def test_few_and_none(spark, vectors):
     assert V.nearest(frame(spark, vectors[:1])).count() == 0
     assert V.nearest(frame(spark, vectors[:4])).where(F.col("query_id") == 0).count() == 3
     assert V.nearest(frame(spark, [*vectors[:4], *vectors[:4]])).count() == 3
+
+
+def test_few_exact_distances_in_many_dimensions(monkeypatch):
+    r = np.random.RandomState(2)
+    points = r.randn(3000, 48)
+    points[2000:2300] = points[5] + 1e-9 * r.randn(300, 48)
+    ids, asked = np.arange(3000) * 7, np.arange(0, 3000, 10)
+    tree, pairs, plain = V.Tree(points, ids), [], V.distances
+
+    def counted(a, b):
+        pairs.append(math.prod(np.broadcast_shapes(a.shape[:-1], b.shape[:-1])))
+        return plain(a, b)
+    monkeypatch.setattr(V, "distances", counted)
+    d, who = tree.search(points[asked], ids[asked], 10, 1.0)
+    assert sum(pairs) < 0.25 * len(points) * len(asked)  # the triangle inequality alone leaves nearly all of them
+    assert len(pairs) < 3 * len(tree.nodes)  # queries go on together: one step per node
+    for i, q in enumerate(asked):
+        near = plain(points[q], points)
+        near[q] = np.inf
+        order = np.lexsort((ids, near))[:10]
+        assert np.array_equal(ids[order], who[i]) and np.array_equal(near[order], d[i])
+
+
+def test_lengths_that_overflow():
+    r = np.random.RandomState(3)
+    points = np.where(r.rand(500, 1) < 0.3, 1e160, 1.0) * r.randn(500, 8)
+    with np.errstate(all="ignore"):
+        d, who = V.Tree(points, np.arange(500)).search(points[:40], np.arange(40), 5, 1.0)
+        for q in range(40):
+            near = V.distances(points[q], points)
+            near[q] = np.inf
+            order = np.argsort(near, kind="stable")[:5]
+            assert np.array_equal(d[q], near[order]) and np.array_equal(np.where(np.isinf(near[order]), -1, order), who[q])
