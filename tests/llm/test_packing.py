@@ -77,3 +77,18 @@ def test_sequences_hold_the_token_ids(spark, plain):
     pieces = P.pack(make_docs(spark, rows), PATH).collect()
     assert all(list(p["ids"]) == texts[p["doc_id"]][p["start"]:p["start"] + p["length"]] for p in pieces)
     assert sum(len(p["ids"]) for p in pieces) == sum(len(texts[d]) for d, _ in rows)
+
+
+def test_words_stay_known_and_are_encoded_as_by_the_whole_tokenizer(monkeypatch):
+    words = P.WordTokenizer(PATH)
+    texts = [" ".join(f"straße{chr(97 + i % 26)}{chr(97 + i // 26)} häßlich, éléphant!! naïveté ÿ ñandú æsop #{i} it's ªb µm ŉa ét a{i}b" for i in range(j, j + 40)) for j in range(0, 200, 40)]
+    monkeypatch.setattr(P, "CACHED", 100)  # what is in use stays when the rest goes
+    for _ in range(2):
+        for t in texts:
+            assert words.ids([t])[0] == np.array(words.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            assert "naïveté" in words.known and len(words.known) <= 400
+    alone = []
+    monkeypatch.setattr(words, "_model_only", lambda new: alone.extend(new) or [])
+    words.ids(texts[-1:])
+    assert not alone
+    assert P.worker_tokenizer(PATH) is P.worker_tokenizer(PATH)  # the next task of a worker starts with its words
