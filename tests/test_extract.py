@@ -120,3 +120,19 @@ def test_repeated_values_against_a_counter(spark):
     data = [[], ["a"], ["b", "a", "b"], list("mississippi")]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(data)], "i int, v array<string>").select("i", H.repeated(F.col("v")).alias("r"))
     assert all({(x["value"], x["n"]) for x in r.r} == {(k, n) for k, n in Counter(data[r.i]).items() if n > 1} for r in df.collect())
+
+
+def test_plain_texts_skip_patterns(corpus):
+    """A text is scanned for separators, comments and literals only where their marks are there, and a match is taken apart by one pattern."""
+    stmts = S.statements(corpus("select 1"))
+    plan = R.table_refs(stmts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" in plan or "contains" in plan.lower()
+    assert plan.count("regexp_extract(_m") == 0
+    odd = corpus("  ", ";;", "a;;", "-- only\n;", "select 1 -- a;b\n; select 2 ;  ", "DELIMITER //\nselect 1 //", "\x0b select * from tt\x0c;", "select '#' from `q r`.\"s t\" u where x = ';'", "insert\ninto aa.bb select * from cc, dd ee")
+    got = [(r["doc_id"], r["stmt_idx"], r["sql"], r["clean"], r["masked"]) for r in S.statements(odd).orderBy("doc_id", "stmt_idx").collect()]
+    assert got == [(2, 0, "a", "a", "a"), (4, 0, "select 1 -- a;b", "select 1", "select 1"), (4, 1, "select 2", "select 2", "select 2"), (5, 0, "select 1", "select 1", "select 1"),
+                   (6, 0, "select * from tt", "select * from tt", "select * from tt"),
+                   (7, 0, "select '#' from `q r`.\"s t\" u where x = ';'",) + ("select '#' from `q r`.\"s t\" u where x = ';'", "select '' from `q r`.\"s t\" u where x = ''"),
+                   (8, 0, *["insert\ninto aa.bb select * from cc, dd ee"] * 3)]
+    refs = [(r["doc_id"], r["schema_name"], r["table_name"], r["alias"], r["context"], r["line"]) for r in R.table_refs(S.statements(odd)).orderBy("doc_id", "table_name").collect()]
+    assert refs == [(6, None, "tt", None, "FROM", 1), (7, "q r", "s t", "u", "FROM", 1), (8, "aa", "bb", None, "INSERT INTO", 1), (8, None, "cc", None, "FROM", 2), (8, None, "dd", "ee", "FROM", 2)]
