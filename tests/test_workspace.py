@@ -150,3 +150,13 @@ def test_compare(spark):
     left = spark.createDataFrame([("join", "JOIN", 0, "x"), ("filter", "Where", 1, "a")], "kind string, label string, pos int, signature string").withColumn("q", F.lit(1))
     right = spark.createDataFrame([("filter", "where ", 0, "b"), ("sort", "ORDER BY", 1, "x")], "kind string, label string, pos int, signature string").withColumn("q", F.lit(1))
     assert {(r.node_key, r.change) for r in K.diff_nodes(left, right, ["q"]).collect()} == {("join:join", "removed"), ("filter:where", "changed"), ("sort:order by", "added")}
+
+
+def test_differences_of_two_indexes(spark, corpus):
+    files = corpus("SELECT 1 FROM t1 JOIN t2", "CREATE TABLE t3 (a INT)").select("path", "sql")
+    one = W.index_of(files)
+    other = one | {"refs": one["refs"].union(one["refs"].filter("table_key = 't1'")), "defs": one["defs"].limit(0).select("line", "table_key", "def_type", "path")}
+    assert W.differences(one, one).collect() == [(0,)] and W.differences(one, one).dtypes == [("differences", "bigint")]
+    assert W.differences(one, other).collect() == W.differences(other, one).collect() == [(2,)]  # a row that is there twice, one that lacks
+    plan = W.differences(one, other)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [path") <= 2 * len(W.TABLES)  # each table of each side once: no second extraction for the way back
